@@ -160,15 +160,15 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[st
 
 
 def hash_sample_exact(df: DataFrame, group: Sequence[str], fraction: float, key: Sequence[Column], seed: int,
-                      spread: bool | None = None) -> DataFrame:
+                      spread: bool | None = None, by: Column | None = None) -> DataFrame:
     """Mark exactly ``round(fraction * n)`` rows of every group as held out.
 
-    Rows are taken in the order of a seeded hash of their key, so the choice
-    is repeatable. Adds the boolean column ``held_out``.
+    Rows are taken in the order of a seeded hash of their key (or of ``by``),
+    so the choice is repeatable. Adds the boolean column ``held_out``.
     """
     group = list(group)
     sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
-    marked = df.withColumn("_hash", F.xxhash64(*key, F.lit(seed)))
+    marked = df.withColumn("_hash", F.xxhash64(*key, F.lit(seed)) if by is None else by)
     ranked = running(marked, group, [F.col("_hash"), *key], {"_rank": ("position", None)}, spread=spread)
     return (
         ranked.join(sizes, group)

@@ -9,7 +9,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowloom import fixed
 from flowloom.functions.ordered import hash_sample_exact
@@ -60,9 +60,10 @@ def importances(spark: SparkSession, model: Model, features: Sequence[str] = tup
 
 
 def stratified_split(nodes: DataFrame, test_frac: float = 0.25, seed: int = fixed.SEED, label: str = "y",
-                     key: Sequence[str] = ("scenario", "window_start", "ip")) -> tuple[DataFrame, DataFrame]:
+                     key: Sequence[str] = ("scenario", "window_start", "ip"),
+                     by: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact share of every class held out, chosen by a seeded hash."""
-    marked = hash_sample_exact(nodes, [label], test_frac, [F.col(c) for c in key], seed)
+    marked = hash_sample_exact(nodes, [label], test_frac, [F.col(c) for c in key], seed, by=by)
     return marked.where("NOT held_out").drop("held_out"), marked.where("held_out").drop("held_out")
 
 

@@ -63,10 +63,12 @@ def evenly_picked(rank0: Column, n: Column, m: int) -> Column:
     return (n <= m) | hit
 
 
-def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread: bool | None = None) -> DataFrame:
+def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread: bool | None = None,
+                     by: Column | None = None) -> DataFrame:
     """At most ``max_flows`` flows per node.
 
-    Hash sample: the rank filter keeps ``max_flows`` rows per node on the map
+    Hash sample (by a hash of flow, seed and node position, or by the given
+    column): the rank filter keeps ``max_flows`` rows per node on the map
     side already. Even picks: only nodes above the cap need exact ranks; those
     go through the ordered slabs, so a node with a third of all flows is cut
     over many tasks.
@@ -74,7 +76,7 @@ def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread
     cfg = cfg or SequenceConfig()
     m = cfg.max_flows
     if not cfg.even:
-        h = F.xxhash64("flow_id", F.lit(cfg.seed), "node_idx")
+        h = F.xxhash64("flow_id", F.lit(cfg.seed), "node_idx") if by is None else by
         w = Window.partitionBy(*NODE).orderBy(h, "flow_id")
         return focal.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m).drop("_r")
 
@@ -91,12 +93,13 @@ def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread
 
 
 def build_sequences(windowed: DataFrame, nodes: DataFrame, win_cfg: WindowConfig | None = None,
-                    cfg: SequenceConfig | None = None, spread: bool | None = None) -> DataFrame:
+                    cfg: SequenceConfig | None = None, spread: bool | None = None,
+                    by: Column | None = None) -> DataFrame:
     """Long sequence table: one row per node and position, oldest flow first."""
     win_cfg = win_cfg or WindowConfig()
     wide = focal_flows(windowed, nodes).select(
         *NODE, "node_idx", *_TIME, *flow_features(win_cfg.window_s))
-    kept = sample_sequences(wide, cfg, spread)
+    kept = sample_sequences(wide, cfg, spread, by)
     # At most max_flows rows per node are left here.
     w = Window.partitionBy(*NODE).orderBy(*_TIME)
     return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).select(

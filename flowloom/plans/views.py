@@ -60,20 +60,28 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows read as single packets; one capture file per scenario."""
+    """Events read as single packets; one capture file per scenario.
+
+    Both ends are one of twenty hosts and a host always uses the same port, so
+    conversations run in both directions. Times jitter against the capture
+    order, so late packets occur.
+    """
     f = flows(spark, sf_dir)
     number = (F.when(F.col("protocol") == "tcp", 6).when(F.col("protocol") == "udp", 17)
               .when(F.col("protocol") == "icmp", 1).otherwise(2))
-    # Times jitter against capture order, so late packets occur.
-    jitter = F.pmod(F.col("flow_id") * 7919, F.lit(1000)) * 1000
+    jitter = F.pmod(F.col("flow_id") * 7919, F.lit(1000)) * 1_000_000
+    a = F.pmod(F.substring("src_ip", 2, 20).cast("bigint"), F.lit(20))
+    b = F.substring("dst_ip", 2, 20).cast("bigint")
+
+    def host(h):
+        return F.concat(F.lit("h"), h.cast("string"))
+
     return f.select(
         F.when(F.col("scenario") == "sc-a", "caps/mirai_mal_CC_all.pcap").otherwise("caps/torii_leg.pcap").alias("file"),
         F.col("flow_id").alias("packet_no"),
         ((F.unix_micros("start_time") + jitter) / F.lit(1000000.0)).alias("ts"),
-        F.col("src_ip").alias("src"),
-        (F.lit(1024) + F.pmod(F.col("bytes_fwd"), F.lit(4))).cast("int").alias("sport"),
-        F.col("dst_ip").alias("dst"),
-        F.col("dst_port").alias("dport"),
+        host(a).alias("src"), (F.lit(1000) + a).cast("int").alias("sport"),
+        host(b).alias("dst"), (F.lit(1000) + b).cast("int").alias("dport"),
         number.alias("proto"),
         F.pmod(F.col("bytes_fwd"), F.lit(1500)).cast("int").alias("size"),
     )

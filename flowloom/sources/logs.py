@@ -68,13 +68,17 @@ def load_binetflow(spark: SparkSession, path: str) -> DataFrame:
     if header != fixed.BINETFLOW_COLUMNS:
         raise ValueError(f"Unexpected columns in {path}: got {header}, expected {fixed.BINETFLOW_COLUMNS}")
     raw = _csv(spark, path).option("enforceSchema", False).schema(_BINETFLOW_RAW).csv(path)
-    numeric = ["Dur", "sTos", "dTos", "TotPkts", "TotBytes", "SrcBytes"]
+    return binetflow_rows(raw.withColumn("file_path", F.col("_metadata.file_path")))
+
+
+def binetflow_rows(raw: DataFrame) -> DataFrame:
+    """Typed rows and ``class`` from the raw text columns and ``file_path``."""
+    doubles = ["Dur", "sTos", "dTos"]
     return raw.select(
         parse_naive(F.col("StartTime")).alias("StartTime"),
-        *[(lenient_double(F.col(c)).alias(c) if c in numeric[:3] else F.col(c))
+        *[(lenient_double(F.col(c)).alias(c) if c in doubles else F.col(c))
           for c in fixed.BINETFLOW_COLUMNS[1:]],
-        binetflow_label(F.col("Label")).alias("class"),
-        F.col("_metadata.file_path").alias("file_path"),
+        binetflow_label(F.col("Label")).alias("class"), "file_path",
     )
 
 
@@ -117,8 +121,12 @@ def load_zeek(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
     if not path.endswith(ZEEK_GLOB):
         reader = reader.option("pathGlobFilter", ZEEK_GLOB)
-    lines = reader.text(path).select(
-        F.regexp_replace("value", "#.*$", "").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    return zeek_rows(reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path")))
+
+
+def zeek_rows(text: DataFrame) -> DataFrame:
+    """Typed rows and ``class`` from lines (``value``) and ``file_path``."""
+    lines = text.select(F.regexp_replace("value", "#.*$", "").alias("line"), "file_path")
     fields = F.split("line", "\t")
     names = fixed.ZEEK_COLUMNS
 
