@@ -53,6 +53,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
     ``sum``          sum up to and including the row
     ``max_before``   maximum over the earlier rows, NULL for the first
     ``previous``     value of the preceding row, NULL for the first
+    ``total``        sum over the whole group
 
     ``spread`` forces the slab way (True) or the plain window (False); by
     default the planned input size decides. ``few_groups`` promises that groups
@@ -80,7 +81,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
     # Rows of a slab are numbered consecutively in sort order, so the rank
     # inside the slab is plain arithmetic; other kinds use a per-slab window.
     rank = {n: F.col("_row") - F.col("_first_row") + 1 for n, (k, _) in spec.items() if k == "position"}
-    rest = {n: v for n, v in spec.items() if v[0] != "position"}
+    rest = {n: v for n, v in spec.items() if v[0] not in ("position", "total")}
     local = {**rank, **_local(rest, by_slab), "_at": F.col("_row") - F.col("_first_row") + 1}
     return (
         joined.withColumns(local)
@@ -97,6 +98,7 @@ def _local(spec, w):
         "sum": lambda c: F.sum(c).over(upto),
         "max_before": lambda c: F.max(c).over(before),
         "previous": lambda c: F.lag(c).over(w),
+        "total": lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     }
     return {n: make[k](c) for n, (k, c) in spec.items()}
 
@@ -107,18 +109,24 @@ def _slab_state(name, kind, c):
         "sum": lambda: F.sum(c),
         "max_before": lambda: F.max(c),
         "previous": lambda: F.max_by(c, F.col("_row")),
+        "total": lambda: F.sum(c),
     }[kind]()
     return agg.alias(f"_state_{name}")
 
 
 def _carry(name, kind, earlier):
     s = F.col(f"_state_{name}")
+    if kind == "total":
+        return F.sum(s).over(earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"_carry_{name}")
     fold = {"position": F.sum, "sum": F.sum, "max_before": F.max, "previous": F.last}[kind]
     return fold(s).over(earlier).alias(f"_carry_{name}")
 
 
 def _combine(name, kind):
-    here, carry = F.col(name), F.col(f"_carry_{name}")
+    carry = F.col(f"_carry_{name}")
+    if kind == "total":
+        return carry
+    here = F.col(name)
     if kind in ("position", "sum"):
         # A slab without any non-null value leaves the other part unchanged.
         return F.coalesce(here + carry, here, carry)
@@ -128,35 +136,38 @@ def _combine(name, kind):
     return F.when(F.col("_at") == 1, carry).otherwise(here)
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, float],
+def exact_quantiles(df: DataFrame, group: Sequence[str], qs: dict[str, tuple[str, float]],
                     spread: bool | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, without holding a group.
 
-    Equal values are counted first, so the ordered pass runs over distinct
-    values; each quantile then reads the two values around its rank.
+    ``qs`` maps a result column to ``(value column, quantile)``; NULL values
+    are skipped. Equal values are counted first, so the ordered pass runs over
+    distinct values, for all value columns at once; each quantile then reads
+    the two values around its rank.
     """
     group = list(group)
+    columns = list(dict.fromkeys(c for c, _ in qs.values()))
+    item = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+        df.select(*group, item.alias("_i")).where("_i.v IS NOT NULL")
+        .groupBy(*group, F.col("_i.c").alias("_c"), F.col("_i.v").alias("_v")).agg(F.count("*").alias("_n"))
     )
     if spread is None:
         spread = not is_small(df)
-    cum = running(counts, group, [F.col("_v")], {"_cum": ("sum", F.col("_n"))}, spread=spread)
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    both = cum.join(totals, group) if group else cum.crossJoin(F.broadcast(totals))  # one row
-    picks = []
-    for name, q in qs.items():
-        at = (F.col("_total") - 1) * F.lit(float(q))
-        picks.append(F.min(F.when(F.col("_cum") > F.floor(at), F.col("_v"))).alias(f"_lo_{name}"))
-        picks.append(F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_v"))).alias(f"_hi_{name}"))
-    found = both.groupBy(*group).agg(F.max("_total").alias("_total"), *picks)
-    out = []
-    for name, q in qs.items():
+    placed = running(counts, [*group, "_c"], [F.col("_v")],
+                     {"_cum": ("sum", F.col("_n")), "_total": ("total", F.col("_n"))}, spread=spread)
+    picks, out = [], []
+    for name, (column, q) in qs.items():
+        mine = F.col("_c") == column
         at = (F.col("_total") - 1) * F.lit(float(q))
+        picks += [
+            F.min(F.when(mine & (F.col("_cum") > F.floor(at)), F.col("_v"))).alias(f"_lo_{name}"),
+            F.min(F.when(mine & (F.col("_cum") > F.ceil(at)), F.col("_v"))).alias(f"_hi_{name}"),
+            F.max(F.when(mine, at - F.floor(at))).alias(f"_part_{name}"),
+        ]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return found.select(*group, *out)
+        out.append((lo + (hi - lo) * F.col(f"_part_{name}")).alias(name))
+    return placed.groupBy(*group).agg(*picks).select(*group, *out)
 
 
 def hash_sample_exact(df: DataFrame, group: Sequence[str], fraction: float, key: Sequence[Column], seed: int,

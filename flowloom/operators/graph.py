@@ -9,7 +9,7 @@ host that takes part in a third of all flows is spread over its peers and ports.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,7 +19,7 @@ from flowloom.config import GraphConfig, WindowConfig
 from flowloom.functions.scalars import entropy_bits, protocol_flags
 from flowloom.operators.windows import (
     WIN, assign_windows, drop_background, endpoints, host_activity, large_enough,
-    number_windows, window_sizes,
+    number_windows, pair_counts, window_sizes,
 )
 
 PAIR = [*WIN, "src_ip", "dst_ip"]
@@ -29,34 +29,32 @@ _SUMS = ["n_flows", "bytes_fwd", "bytes_bwd", "packets", "duration", "n_duration
 
 def port_table(windowed: DataFrame) -> DataFrame:
     """Partial sums per (window, source, destination, destination port)."""
-    proto = F.when(F.col("protocol").isin(fixed.PROTOCOLS), F.col("protocol")).otherwise("other")
+    known = ", ".join(f"'{p}'" for p in fixed.PROTOCOLS)
     per_protocol = []
     for p in fixed.PROTOCOLS:
-        per_protocol += [
-            F.count(F.when(proto == p, 1)).alias(f"n_{p}"),
-            F.min(F.when(proto == p, F.col("flow_id"))).alias(f"first_{p}"),
-        ]
-    return windowed.groupBy(*PAIR, "dst_port").agg(
-        F.count("*").alias("n_flows"),
-        F.sum("bytes_fwd").alias("bytes_fwd"),
-        F.sum("bytes_bwd").alias("bytes_bwd"),
-        F.sum(F.col("pkts_fwd") + F.col("pkts_bwd")).alias("packets"),
-        F.sum("duration_s").alias("duration"),
-        F.count("duration_s").alias("n_duration"),
-        F.sum("mean_iat_ms").alias("iat"),
-        F.count("mean_iat_ms").alias("n_iat"),
-        F.count(F.when(F.col("label") == "bot", 1)).alias("n_bot"),
+        mine = f"protocol NOT IN ({known}) OR protocol IS NULL OR protocol = 'other'" if p == "other" else f"protocol = '{p}'"
+        per_protocol += [f"count_if({mine}) AS n_{p}", f"min(flow_id) FILTER (WHERE {mine}) AS first_{p}"]
+    return windowed.groupBy(*PAIR, "dst_port").agg(*map(F.expr, [
+        "count(*) AS n_flows",
+        "sum(bytes_fwd) AS bytes_fwd", "sum(bytes_bwd) AS bytes_bwd", "sum(pkts_fwd + pkts_bwd) AS packets",
+        "sum(duration_s) AS duration", "count(duration_s) AS n_duration",
+        "sum(mean_iat_ms) AS iat", "count(mean_iat_ms) AS n_iat",
+        "count_if(label = 'bot') AS n_bot",
         *per_protocol,
-    )
+    ]))
 
 
 def pair_table(ports: DataFrame) -> DataFrame:
     """Roll the port table up to one row per (window, source, destination)."""
-    per_protocol = []
-    for p in fixed.PROTOCOLS:
-        per_protocol += [F.sum(f"n_{p}").alias(f"n_{p}"), F.min(f"first_{p}").alias(f"first_{p}")]
-    return ports.groupBy(*PAIR).agg(
-        *[F.sum(c).alias(c) for c in _SUMS], F.count("dst_port").alias("distinct_dst_ports"), *per_protocol)
+    sums = [*_SUMS, *[f"n_{p}" for p in fixed.PROTOCOLS]]
+    # Node positions depend on the pair alone; they ride along if present.
+    idx = [c for c in ("src_idx", "dst_idx") if c in ports.columns]
+    return ports.groupBy(*PAIR).agg(*map(F.expr, [
+        *[f"sum({c}) AS {c}" for c in sums],
+        "count(dst_port) AS distinct_dst_ports",
+        *[f"min(first_{p}) AS first_{p}" for p in fixed.PROTOCOLS],
+        *[f"max({c}) AS {c}" for c in idx],
+    ]))
 
 
 def source_ports(windowed: DataFrame) -> DataFrame:
@@ -70,11 +68,8 @@ def source_ports(windowed: DataFrame) -> DataFrame:
 
 def dominant_protocol() -> Column:
     """Most frequent protocol of a pair; the one seen first wins a tie."""
-    ranked = F.array_max(F.array(*[
-        F.struct(F.col(f"n_{p}").alias("n"), (-F.col(f"first_{p}")).alias("first"), F.lit(p).alias("name"))
-        for p in fixed.PROTOCOLS
-    ]))
-    return ranked["name"]
+    ranked = ", ".join(f"struct(n_{p} AS n, -first_{p} AS first, '{p}' AS name)" for p in fixed.PROTOCOLS)
+    return F.expr(f"array_max(array({ranked})).name")
 
 
 def select_nodes(pairs: DataFrame, win_cfg: WindowConfig | None = None,
@@ -107,12 +102,12 @@ def restrict_to_nodes(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     return flows
 
 
-def with_node_index(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Inner-join both endpoints to their node position."""
+def with_node_index(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Inner-join both endpoints to their node position; drops other rows."""
     for end, idx in (("src_ip", "src_idx"), ("dst_ip", "dst_idx")):
         side = nodes.select(*WIN, F.col("ip").alias(end), F.col("node_idx").alias(idx))
-        pairs = pairs.join(side, [*WIN, end])
-    return pairs
+        table = table.join(side, [*WIN, end])
+    return table
 
 
 def edge_features(pairs: DataFrame) -> DataFrame:
@@ -135,8 +130,13 @@ def edge_features(pairs: DataFrame) -> DataFrame:
 
 def compute_edges(windowed: DataFrame, nodes: DataFrame) -> DataFrame:
     """One directed edge per (source, destination) of a window."""
-    pairs = with_node_index(pair_table(port_table(windowed)), nodes).join(source_ports(windowed), PAIR)
-    return edge_features(pairs).select(*PAIR, "src_idx", "dst_idx", *fixed.EDGE_FEATURES)
+    return edge_table(pair_table(with_node_index(port_table(windowed), nodes)), windowed)
+
+
+def edge_table(pairs: DataFrame, windowed: DataFrame) -> DataFrame:
+    """Edges from the pairs among nodes; source ports come from the flows."""
+    both = pairs.join(source_ports(windowed), PAIR)
+    return edge_features(both).select(*PAIR, "src_idx", "dst_idx", *fixed.EDGE_FEATURES)
 
 
 def port_entropy(ports: DataFrame) -> DataFrame:
@@ -149,49 +149,39 @@ def port_entropy(ports: DataFrame) -> DataFrame:
 
 def role_sums(pairs: DataFrame) -> DataFrame:
     """Outgoing and incoming sums of every host in one pass over the pairs."""
-    def role(name, end):
-        return F.struct(F.lit(name).alias("role"), F.col(end).alias("ip"))
-
-    rows = pairs.withColumn("_r", F.explode(F.array(role("out", "src_ip"), role("in", "dst_ip"))))
-    out, inc = F.col("_r.role") == "out", F.col("_r.role") == "in"
-
-    def total(c, cond):
-        return F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
-
-    return rows.groupBy(*WIN, F.col("_r.ip").alias("ip")).agg(
-        F.count(F.when(out, 1)).alias("fan_out"),
-        F.count(F.when(inc, 1)).alias("fan_in"),
-        total(F.col("n_flows"), out).alias("flows_out"),
-        total(F.col("n_flows"), inc).alias("flows_in"),
-        F.sum(F.when(out, F.col("duration"))).alias("duration_out"),
-        F.sum(F.when(inc, F.col("duration"))).alias("duration_in"),
-        total(F.col("n_duration"), out).alias("n_duration_out"),
-        total(F.col("n_duration"), inc).alias("n_duration_in"),
-        F.sum(F.when(out, F.col("bytes_fwd")).otherwise(F.col("bytes_bwd"))).alias("sent"),
-        F.sum(F.when(out, F.col("bytes_bwd")).otherwise(F.col("bytes_fwd"))).alias("received"),
-        F.sum("packets").alias("packets"),
-        F.sum("n_bot").alias("bot_flows"),
-        F.sum("n_flows").alias("all_flows"),
-        *[total(F.col(f"n_{p}"), out).alias(f"n_{p}") for p in fixed.PROTOCOLS],
-    )
+    both = pairs.withColumn("_r", F.expr(
+        "explode(array(struct(true AS out, src_ip AS ip), struct(false AS out, dst_ip AS ip)))"))
+    return both.groupBy(*WIN, F.col("_r.ip").alias("ip")).agg(*map(F.expr, [
+        "count_if(_r.out) AS fan_out", "count_if(NOT _r.out) AS fan_in",
+        "coalesce(sum(n_flows) FILTER (WHERE _r.out), 0) AS flows_out",
+        "coalesce(sum(n_flows) FILTER (WHERE NOT _r.out), 0) AS flows_in",
+        "sum(duration) FILTER (WHERE _r.out) / nullif(sum(n_duration) FILTER (WHERE _r.out), 0) AS mean_out",
+        "sum(duration) FILTER (WHERE NOT _r.out) / nullif(sum(n_duration) FILTER (WHERE NOT _r.out), 0) AS mean_in",
+        "sum(if(_r.out, bytes_fwd, bytes_bwd)) AS sent", "sum(if(_r.out, bytes_bwd, bytes_fwd)) AS received",
+        "sum(packets) AS packets", "sum(n_bot) AS bot_flows", "sum(n_flows) AS all_flows",
+        *[f"coalesce(sum(n_{p}) FILTER (WHERE _r.out), 0) AS n_{p}" for p in fixed.PROTOCOLS],
+    ]))
 
 
-def compute_node_features(ports: DataFrame, nodes: DataFrame, window_s: float,
-                          cfg: GraphConfig | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """Nine features and the label of every node, from flows among nodes.
+def labelled_nodes(nodes: DataFrame, pairs: DataFrame, cfg: GraphConfig | None = None) -> DataFrame:
+    """Nodes with their role sums (NULL without a flow) and the label ``y``."""
+    cfg = cfg or GraphConfig()
+    if cfg.label_rule == "majority":
+        label = F.col("bot_flows") * 2 > F.col("all_flows")
+    else:
+        label = F.col("bot_flows") > 0
+    return nodes.join(role_sums(pairs), NODE, "left").withColumn("y", F.coalesce(label.cast("int"), F.lit(0)))
+
+
+def node_features(labelled: DataFrame, ports: DataFrame, window_s: float) -> DataFrame:
+    """Nine features of every node, from the flows among nodes.
 
     A node without a remaining flow keeps zeros. Durations and flow counts use
     the outgoing flows and fall back to incoming ones only if there are none.
     """
-    cfg = cfg or GraphConfig()
-    kept_ports = restrict_to_nodes(ports, nodes)
-    kept_pairs = pair_table(kept_ports) if pairs is None else pairs
-    roles = role_sums(kept_pairs)
     win = max(float(window_s), fixed.RATIO_EPS)
     volume = F.col("sent") + F.col("received")
     has_out = F.col("flows_out") > 0
-    mean_out = F.col("duration_out") / F.nullif(F.col("n_duration_out"), F.lit(0))
-    mean_in = F.col("duration_in") / F.nullif(F.col("n_duration_in"), F.lit(0))
     features = {
         "fan_out": F.col("fan_out").cast("double"),
         "fan_in": F.col("fan_in").cast("double"),
@@ -200,18 +190,19 @@ def compute_node_features(ports: DataFrame, nodes: DataFrame, window_s: float,
         "packet_rate": F.col("packets") / F.lit(win),
         "protocol_entropy": entropy_bits([F.col(f"n_{p}") for p in fixed.PROTOCOLS]),
         "out_in_ratio": F.when(volume > 0, F.col("sent") / (volume + F.lit(fixed.RATIO_EPS))).otherwise(0.0),
-        "avg_flow_duration": F.when(has_out, mean_out).otherwise(mean_in),
+        "avg_flow_duration": F.when(has_out, F.col("mean_out")).otherwise(F.col("mean_in")),
         "log1p_total_flows": F.log1p(F.when(has_out, F.col("flows_out")).otherwise(F.col("flows_in")).cast("double")),
     }
-    if cfg.label_rule == "majority":
-        label = F.col("bot_flows") * 2 > F.col("all_flows")
-    else:
-        label = F.col("bot_flows") > 0
-    joined = nodes.join(roles, NODE, "left").join(port_entropy(kept_ports), NODE, "left")
-    return joined.select(
+    return labelled.join(port_entropy(ports), NODE, "left").select(
         *NODE, "node_idx",
-        *[F.coalesce(features[f], F.lit(0.0)).alias(f) for f in fixed.NODE_FEATURES],
-        F.coalesce(label.cast("int"), F.lit(0)).alias("y"))
+        *[F.coalesce(features[f], F.lit(0.0)).alias(f) for f in fixed.NODE_FEATURES], "y")
+
+
+def compute_node_features(windowed: DataFrame, nodes: DataFrame, window_s: float,
+                          cfg: GraphConfig | None = None) -> DataFrame:
+    """Features and label of given nodes."""
+    ports = with_node_index(port_table(windowed), nodes)
+    return node_features(labelled_nodes(nodes, pair_table(ports), cfg), ports, window_s)
 
 
 def graph_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -225,41 +216,78 @@ def graph_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @dataclass
 class GraphTables:
-    """The three tables of a graph build, plus what they were derived from."""
+    """Node, edge and graph tables, for example read back from a store."""
 
     nodes: DataFrame
     edges: DataFrame
     graphs: DataFrame
-    shared: tuple[DataFrame, ...] = ()
-
-    def release(self) -> None:
-        for df in self.shared:
-            df.unpersist()
 
 
-def build_graphs(flows: DataFrame, win_cfg: WindowConfig | None = None, cfg: GraphConfig | None = None,
-                 keep_background: bool = False, share: bool = False) -> GraphTables:
-    """Flows -> node, edge and graph tables.
+class GraphBuild:
+    """A graph build over one flow table; each result is planned on first use.
 
     ``share=True`` keeps the two reduced tables that all results use in
     executor storage (spilling to disk, recomputed if lost); use it when more
-    than one result is written.
+    than one result is written, and call :meth:`release` afterwards. The host
+    activity then comes from the port table, else from a narrow scan of its
+    own.
     """
-    win_cfg, cfg = win_cfg or WindowConfig(), cfg or GraphConfig()
-    base = flows if keep_background else drop_background(flows)
-    windowed = assign_windows(base, win_cfg)
-    ports = port_table(windowed)
-    if share:
-        ports = ports.persist(StorageLevel.MEMORY_AND_DISK)
-    selected = select_nodes(pair_table(ports), win_cfg, cfg)
-    if share:
-        selected = selected.persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = with_node_index(pair_table(ports), selected)
-    nodes = compute_node_features(ports, selected, win_cfg.window_s, cfg, pairs=pairs)
-    edges = edge_features(pairs.join(source_ports(windowed), PAIR)).select(
-        *PAIR, "src_idx", "dst_idx", *fixed.EDGE_FEATURES)
-    graphs = graph_table(nodes, edges)
-    return GraphTables(nodes, edges, graphs, (ports, selected) if share else ())
+
+    def __init__(self, flows: DataFrame, win_cfg: WindowConfig | None = None, cfg: GraphConfig | None = None,
+                 keep_background: bool = False, share: bool = False):
+        self.win_cfg, self.cfg, self._share = win_cfg or WindowConfig(), cfg or GraphConfig(), share
+        self.windowed = assign_windows(flows if keep_background else drop_background(flows), self.win_cfg)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._share else df
+
+    @cached_property
+    def ports(self) -> DataFrame:
+        return self._keep(port_table(self.windowed))
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        if self._share:
+            counts = self.ports.groupBy(*PAIR).agg(F.sum("n_flows").alias("n_flows"))
+        else:
+            counts = pair_counts(self.windowed)
+        return self._keep(select_nodes(counts, self.win_cfg, self.cfg))
+
+    @cached_property
+    def kept_ports(self) -> DataFrame:
+        return with_node_index(self.ports, self.selected)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return pair_table(self.kept_ports)
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return labelled_nodes(self.selected, self.pairs, self.cfg)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return node_features(self.labelled, self.kept_ports, self.win_cfg.window_s)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return edge_table(self.pairs, self.windowed)
+
+    @cached_property
+    def graphs(self) -> DataFrame:
+        # Sizes and labels need neither features nor source ports.
+        return graph_table(self.labelled, self.pairs)
+
+    def release(self) -> None:
+        if self._share:
+            self.selected.unpersist()
+            self.ports.unpersist()
+
+
+def build_graphs(flows: DataFrame, win_cfg: WindowConfig | None = None, cfg: GraphConfig | None = None,
+                 keep_background: bool = False, share: bool = False) -> GraphBuild:
+    """Flows -> node, edge and graph tables."""
+    return GraphBuild(flows, win_cfg, cfg, keep_background, share)
 
 
 def with_window_idx(table: DataFrame, graphs: DataFrame) -> DataFrame:

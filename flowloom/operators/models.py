@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +17,7 @@ from flowloom import fixed
 from flowloom.functions.ordered import hash_sample_exact
 from flowloom.operators.metrics import confusion, rates
 from flowloom.operators.scaling import class_weights, with_weight
+from flowloom.session import checkpoint_dir
 
 SCORED = "scenario string, window_idx int, node_idx int, y_true int, y_pred int, proba double"
 
@@ -23,24 +26,38 @@ def assemble(nodes: DataFrame, features: Sequence[str] = tuple(fixed.NODE_FEATUR
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(nodes)
 
 
+@contextmanager
+def _kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Keep training rows in executor storage while a fit passes over them."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def fit_forest(train: DataFrame, trees: int = 500, depth: int = 30, seed: int = fixed.SEED, label: str = "y",
                features: Sequence[str] = tuple(fixed.NODE_FEATURES)) -> Model:
     """Random forest with balanced class weights. Spark limits depth to 30."""
     rf = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
-    return rf.fit(assemble(with_weight(train, label), features))
+    with _kept(train.select(label, *features)) as rows:
+        return rf.fit(assemble(with_weight(rows, label), features))
 
 
 def fit_boosted(train: DataFrame, val: DataFrame, rounds: int = 500, depth: int = 6, step: float = 0.1,
                 seed: int = fixed.SEED, label: str = "y", features: Sequence[str] = tuple(fixed.NODE_FEATURES)) -> Model:
     """Boosted trees that stop when the validation loss no longer improves;
     positives are weighted by the negative-to-positive ratio."""
-    ratio = class_weights(train, label).first()["scale_pos_weight"]
-    # Rounds share their input; checkpoints every ten rounds cut the lineage.
-    both = train.withColumn("validating", F.lit(False)).unionByName(val.withColumn("validating", F.lit(True)))
-    both = both.withColumn("weight", F.when(F.col(label) == 1, F.lit(ratio)).otherwise(1.0))
+    checkpoint_dir(train.sparkSession)  # the rounds cut their lineage there
+    columns = [label, *features]
     gbt = GBTClassifier(labelCol=label, weightCol="weight", validationIndicatorCol="validating", maxIter=rounds,
                         maxDepth=depth, stepSize=step, seed=seed)
-    return gbt.fit(assemble(both, features))
+    both = train.select(*columns, F.lit(False).alias("validating")).unionByName(
+        val.select(*columns, F.lit(True).alias("validating")))
+    with _kept(both) as rows:
+        ratio = class_weights(rows.where("NOT validating"), label).first()["scale_pos_weight"]
+        weighted = rows.withColumn("weight", F.when(F.col(label) == 1, F.lit(ratio)).otherwise(1.0))
+        return gbt.fit(assemble(weighted, features))
 
 
 def score_table(model: Model, nodes: DataFrame, label: str = "y",
@@ -89,4 +106,6 @@ def score_graphs(nodes: DataFrame, edges: DataFrame,
     ``fn(nodes, edges)`` gets one graph as two pandas frames, at most
     ``max_nodes`` nodes and their edges, and returns scored rows.
     """
+    # Fresh column identities: both tables may stem from the same flows.
+    edges = edges.select(*[F.col(c).alias(c) for c in edges.columns])
     return nodes.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(fn, schema)

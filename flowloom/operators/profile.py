@@ -59,7 +59,8 @@ def top_sources(df: DataFrame, src: str = "src_ip", label: str = "label", k: int
         is_c = F.col(label) == c
         by_class += [F.count(F.when(is_c, 1)).alias(f"n_{c}"), F.min(F.when(is_c, F.col("flow_id"))).alias(f"first_{c}")]
     ranked = F.array_max(F.array(*[
-        F.struct(F.col(f"n_{c}"), -F.col(f"first_{c}"), F.lit(c).alias("name")) for c in fixed.LABELS]))
+        F.struct(F.col(f"n_{c}").alias("n"), (-F.col(f"first_{c}")).alias("first"), F.lit(c).alias("name"))
+        for c in fixed.LABELS]))
     return (
         df.groupBy(F.col(src).alias("src_ip")).agg(F.count("*").alias("flows"), *by_class)
         .select("src_ip", "flows", F.col("n_bot").alias("bot_flows"), ranked["name"].alias("dominant_class"))
@@ -130,12 +131,12 @@ def host_profile(pkts: DataFrame, spread: bool | None = None) -> DataFrame:
         F.avg("size").alias("size_mean"), F.stddev_samp("size").alias("size_std"),
         F.max("gap_s").alias("gap_max_s"), F.avg("gap_s").alias("_gap_mean"), F.stddev_samp("gap_s").alias("_gap_std"))
     peers = pkts.select("src", "dst_ip").distinct().groupBy("src").agg(F.count("dst_ip").alias("distinct_peers"))
-    sizes = exact_quantiles(pkts, ["src"], "size", {f"size_p{int(q * 100)}": q for q in fixed.SIZE_QUANTILES}, spread)
-    gap_names = {f"gap_p{int(q * 100)}_ms": q for q in fixed.GAP_QUANTILES}
-    gap_q = exact_quantiles(gaps, ["src"], "gap_s", gap_names, spread)
+    size_names = {f"size_p{int(q * 100)}": ("size", q) for q in fixed.SIZE_QUANTILES}
+    gap_names = {f"gap_p{int(q * 100)}_ms": ("gap_s", q) for q in fixed.GAP_QUANTILES}
+    quantiles = exact_quantiles(gaps, ["src"], {**size_names, **gap_names}, spread)
     cv = F.when(F.col("_gap_mean") > 0, F.col("_gap_std") / F.col("_gap_mean"))
     return (
-        basic.join(peers, "src").join(sizes, "src").join(gap_q, "src", "left")
+        basic.join(peers, "src").join(quantiles, "src")
         .withColumns({n: F.col(n) * 1000 for n in gap_names})
         .withColumns({
             "packets_per_s": F.when(F.col("span_s") > 0, F.col("packets") / F.col("span_s")),
@@ -221,9 +222,8 @@ def window_size_stats(graphs: DataFrame, spread: bool | None = None) -> DataFram
         F.count("*").alias("windows"), F.sum("n_nodes").alias("n_total"), F.sum("n_bot_nodes").alias("n_pos"),
         F.avg("n_nodes").alias("nodes_mean"), F.min("n_nodes").alias("nodes_min"), F.max("n_nodes").alias("nodes_max"),
         F.avg("n_edges").alias("edges_mean"))
-    nodes = exact_quantiles(graphs, ["scenario"], "n_nodes", {"nodes_median": 0.5}, spread)
-    edges = exact_quantiles(graphs, ["scenario"], "n_edges", {"edges_median": 0.5}, spread)
-    return base.join(nodes, "scenario").join(edges, "scenario")
+    medians = {"nodes_median": ("n_nodes", 0.5), "edges_median": ("n_edges", 0.5)}
+    return base.join(exact_quantiles(graphs, ["scenario"], medians, spread), "scenario")
 
 
 def flows_per_node_stats(matched: DataFrame, spread: bool | None = None) -> DataFrame:
@@ -233,7 +233,8 @@ def flows_per_node_stats(matched: DataFrame, spread: bool | None = None) -> Data
         F.count("*").alias("nodes"), F.avg("seq_len").alias("mean"),
         F.avg((F.col("seq_len") <= 1).cast("double")).alias("share_le1"),
         F.avg((F.col("seq_len") <= 3).cast("double")).alias("share_le3"))
-    q = exact_quantiles(matched, key, "seq_len", {"p10": 0.1, "median": 0.5, "p90": 0.9}, spread)
+    points = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    q = exact_quantiles(matched, key, {n: ("seq_len", p) for n, p in points.items()}, spread)
     return base.join(q, key)
 
 

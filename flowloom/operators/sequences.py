@@ -97,6 +97,9 @@ def build_sequences(windowed: DataFrame, nodes: DataFrame, win_cfg: WindowConfig
                     by: Column | None = None) -> DataFrame:
     """Long sequence table: one row per node and position, oldest flow first."""
     win_cfg = win_cfg or WindowConfig()
+    if spread is None:
+        # Join size estimates are products; the flows themselves are the bound.
+        spread = not is_small(windowed)
     wide = focal_flows(windowed, nodes).select(
         *NODE, "node_idx", *_TIME, *flow_features(win_cfg.window_s))
     kept = sample_sequences(wide, cfg, spread, by)

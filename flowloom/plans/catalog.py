@@ -72,7 +72,7 @@ def windowed(spark, sf) -> DataFrame:
     return W.assign_windows(W.drop_background(V.flows(spark, sf)), V.WINDOWS)
 
 
-def built(spark, sf, cfg: GraphConfig = V.GRAPHS) -> G.GraphTables:
+def built(spark, sf, cfg: GraphConfig = V.GRAPHS) -> G.GraphBuild:
     return G.build_graphs(V.flows(spark, sf), V.WINDOWS, cfg)
 
 
@@ -1285,7 +1285,7 @@ def _(spark, sf):
     f = V.flows(spark, sf)
     f.write.parquet(src)
     last = f.orderBy(F.desc("start_time")).limit(1).withColumns({
-        "start_time": F.col("start_time") + F.make_dt_interval(days=F.lit(30)), "scenario": F.lit("end"), "label": F.lit("benign")})
+        "start_time": F.col("start_time") + F.make_dt_interval(days=F.lit(100)), "scenario": F.lit("end"), "label": F.lit("benign")})
     last.write.mode("append").parquet(src)
     q = stream.run_available(stream.edge_stream(stream.flow_stream(spark, src), V.WINDOWS, "40 days"), out, state)
     q.awaitTermination()

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom import fixed
 from flowloom.config import GraphConfig, WindowConfig
 from flowloom.schema import ntz_to_utc
 
@@ -27,36 +26,30 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     if dict(e.dtypes)["ts"] == "timestamp_ntz":
         e = e.withColumn("ts", ntz_to_utc(F.col("ts")))
-    eid, value, user = F.col("event_id"), F.col("value"), F.col("user_id")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    null = F.lit(None).cast("double")
-    start_us = F.unix_micros("ts")
-    duration = value / F.lit(10.0)
-    kind = F.col("event_type")
-    return e.select(
-        eid.alias("flow_id"),
-        F.when(eid % 2 == 0, "sc-a").otherwise("sc-b").alias("scenario"),
-        F.concat(F.lit("u"), user.cast("string")).alias("src_ip"),
-        F.concat(F.lit("u"), (k % 20).cast("string")).alias("dst_ip"),
-        (1024 + eid % 500).cast("int").alias("src_port"),
-        F.element_at(F.array(*[F.lit(p) for p in (80, 53, 443, 6667, 23)]), (eid % 5 + 1).cast("int")).alias("dst_port"),
-        F.when(kind.isin("click", "purchase"), "tcp").when(kind == "view", "udp")
-        .when(kind == "error", "icmp").otherwise("other").alias("protocol"),
-        F.col("ts").alias("start_time"),
-        F.timestamp_micros(start_us + F.rint(duration * 1_000_000).cast("bigint")).alias("end_time"),
-        duration.alias("duration_s"),
-        F.floor(value * 100).cast("bigint").alias("bytes_fwd"),
-        F.floor(value * 37).cast("bigint").alias("bytes_bwd"),
-        (1 + eid % 7).alias("pkts_fwd"),
-        (eid % 5).alias("pkts_bwd"),
-        F.when(eid % 3 == 0, value).otherwise(null).alias("mean_iat_ms"),
-        null.alias("std_iat_ms"),
-        null.alias("min_pkt_size"),
-        F.when(eid % 4 == 0, 1500.0).otherwise(null).alias("max_pkt_size"),
-        F.when((kind == "error") & (user % 10 < 2), "bot").when(kind == "signup", "background")
-        .otherwise("benign").alias("label"),
-        kind.alias("detailed_label"),
-    ).select(*fixed.FLOW_COLUMNS)
+    return e.selectExpr(
+        "event_id AS flow_id",
+        "CASE WHEN event_id % 2 = 0 THEN 'sc-a' ELSE 'sc-b' END AS scenario",
+        "concat('u', user_id) AS src_ip",
+        "concat('u', CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20) AS dst_ip",
+        "CAST(1024 + event_id % 500 AS INT) AS src_port",
+        "CASE event_id % 5 WHEN 0 THEN 80 WHEN 1 THEN 53 WHEN 2 THEN 443 WHEN 3 THEN 6667 ELSE 23 END AS dst_port",
+        "CASE event_type WHEN 'click' THEN 'tcp' WHEN 'purchase' THEN 'tcp' WHEN 'view' THEN 'udp' "
+        "WHEN 'error' THEN 'icmp' ELSE 'other' END AS protocol",
+        "ts AS start_time",
+        "timestamp_micros(unix_micros(ts) + CAST(rint(value / 10D * 1000000) AS BIGINT)) AS end_time",
+        "value / 10D AS duration_s",
+        "CAST(floor(value * 100) AS BIGINT) AS bytes_fwd",
+        "CAST(floor(value * 37) AS BIGINT) AS bytes_bwd",
+        "1 + event_id % 7 AS pkts_fwd",
+        "event_id % 5 AS pkts_bwd",
+        "CASE WHEN event_id % 3 = 0 THEN value END AS mean_iat_ms",
+        "CAST(NULL AS DOUBLE) AS std_iat_ms",
+        "CAST(NULL AS DOUBLE) AS min_pkt_size",
+        "CASE WHEN event_id % 4 = 0 THEN 1500D END AS max_pkt_size",
+        "CASE WHEN event_type = 'error' AND user_id % 10 < 2 THEN 'bot' WHEN event_type = 'signup' THEN 'background' "
+        "ELSE 'benign' END AS label",
+        "event_type AS detailed_label",
+    )
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowloom import fixed
-from flowloom.operators.graph import GraphTables, with_window_idx
+from flowloom.operators.graph import GraphBuild, GraphTables, with_window_idx
 from flowloom.operators.sequences import attach
 from flowloom.operators.windows import WIN
 from flowloom.schema import FLOW_SCHEMA, validate_flow_df
@@ -49,7 +49,7 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLOW_SCHEMA).parquet(path).select(*fixed.FLOW_COLUMNS)
 
 
-def write_graphs(tables: GraphTables, root: str, mode: str = "overwrite") -> None:
+def write_graphs(tables: GraphTables | GraphBuild, root: str, mode: str = "overwrite") -> None:
     """Store nodes, edges and graphs. ``graphs`` comes last: a scenario counts
     as complete once its graph rows are there."""
     _write(with_window_idx(tables.nodes, tables.graphs), f"{root}/nodes", mode)
