@@ -99,27 +99,27 @@ def protocol_flags(protocol: Column) -> list[Column]:
     return [*flags, rest]
 
 
-_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_HEX = r"^0[xX][0-9A-Fa-f]+$"
+_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_HEX = r"^\s*0[xX][0-9A-Fa-f]+\s*$"
 
 
 def lenient_double(raw: Column) -> Column:
-    """Number or NULL; no exception, no Java-only suffixes such as ``1d``."""
-    s = F.trim(raw.cast("string"))
-    return F.when(s.rlike(_DECIMAL), s.try_cast("double"))
+    """Number or NULL; no exception, no Java-only spellings such as ``1d``."""
+    return F.when(raw.rlike(_DECIMAL), raw.try_cast("double"))
 
 
 def lenient_long(raw: Column) -> Column:
-    """Integer part of a number, exact for large integers; bad text is 0."""
-    s = F.trim(raw.cast("string"))
-    return F.coalesce(s.try_cast("bigint"), lenient_double(raw).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Integer part of a number, exact for large integers; bad text is 0.
+
+    The pattern is only looked at when the text is not a plain integer.
+    """
+    return F.coalesce(raw.try_cast("bigint"), lenient_double(raw).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def port_number(raw: Column) -> Column:
     """Decimal, else 0x-hex, else 0; clipped to 0..65535."""
-    s = F.trim(raw.cast("string"))
-    from_hex = F.when(s.rlike(_HEX), F.conv(F.substring(s, 3, 64), 16, 10).cast("double"))
-    value = F.coalesce(lenient_double(s), from_hex, F.lit(0.0))
+    from_hex = F.when(raw.rlike(_HEX), F.conv(F.substring(F.trim(raw), 3, 64), 16, 10).try_cast("double"))
+    value = F.coalesce(raw.try_cast("bigint").cast("double"), lenient_double(raw), from_hex, F.lit(0.0))
     return F.greatest(F.lit(0), F.least(F.lit(65535.0), F.floor(value))).cast("int")
 
 

@@ -1,9 +1,14 @@
 """Host graphs per window: nodes, edges, labels.
 
-The flows are aggregated once, to (window, source, destination, port); hosts,
-edges and features all come from that reduced table. Selecting hosts afterwards
-costs joins of reduced rows only, and no step groups raw flows by host, so a
-host that takes part in a third of all flows is spread over its peers and ports.
+The flows are aggregated once, to (window, source, destination, port); edges
+and features all come from that reduced table. No step groups raw flows by
+host, so a host that takes part in a third of all flows is spread over its
+peers and ports.
+
+Restricting flows to the selected hosts happens in one of two places. If the
+selected hosts are few (their number is checked), they are broadcast and the
+flows are filtered while they are scanned, before any shuffle. Otherwise the
+aggregated table is joined with them, which moves reduced rows only.
 """
 
 from __future__ import annotations
@@ -19,11 +24,13 @@ from flowloom.config import GraphConfig, WindowConfig
 from flowloom.functions.scalars import entropy_bits, protocol_flags
 from flowloom.operators.windows import (
     WIN, assign_windows, drop_background, endpoints, host_activity, large_enough,
-    number_windows, pair_counts, window_sizes,
+    number_windows, window_sizes,
 )
 
 PAIR = [*WIN, "src_ip", "dst_ip"]
 NODE = [*WIN, "ip"]
+# A broadcast host row takes about 100 bytes: 50 MB at most per executor.
+BROADCAST_NODES = 500_000
 _SUMS = ["n_flows", "bytes_fwd", "bytes_bwd", "packets", "duration", "n_duration", "iat", "n_iat", "n_bot"]
 
 
@@ -72,16 +79,15 @@ def dominant_protocol() -> Column:
     return F.expr(f"array_max(array({ranked})).name")
 
 
-def select_nodes(pairs: DataFrame, win_cfg: WindowConfig | None = None,
+def select_nodes(activity: DataFrame, win_cfg: WindowConfig | None = None,
                  cfg: GraphConfig | None = None) -> DataFrame:
-    """Active hosts of the windows that are large enough, at most ``max_nodes``
+    """Active hosts (see ``host_activity``) of the windows that are large enough, at most ``max_nodes``
     per window, numbered by address.
 
     The rank filter prunes to ``max_nodes`` rows per window on the map side
     before anything is shuffled by window.
     """
     cfg = cfg or GraphConfig()
-    activity = host_activity(pairs)
     kept = large_enough(window_sizes(activity), win_cfg).select(*WIN)
     busiest = Window.partitionBy(*WIN).orderBy(F.desc("activity"), F.asc("ip"))
     by_name = Window.partitionBy(*WIN).orderBy("ip")
@@ -98,7 +104,8 @@ def select_nodes(pairs: DataFrame, win_cfg: WindowConfig | None = None,
 def restrict_to_nodes(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows whose two endpoints are both nodes of their window."""
     for end in ("src_ip", "dst_ip"):
-        flows = flows.join(nodes.select(*WIN, F.col("ip").alias(end)), [*WIN, end], "left_semi")
+        side = nodes.select(*WIN, F.col("ip").alias(end))
+        flows = flows.join(side, [*WIN, end], "left_semi")
     return flows
 
 
@@ -226,36 +233,41 @@ class GraphTables:
 class GraphBuild:
     """A graph build over one flow table; each result is planned on first use.
 
-    ``share=True`` keeps the two reduced tables that all results use in
-    executor storage (spilling to disk, recomputed if lost); use it when more
+    ``share=True`` keeps the reduced tables that all results use in executor
+    storage (spilling to disk, recomputed if lost); use it when more
     than one result is written, and call :meth:`release` afterwards. The host
     activity then comes from the port table, else from a narrow scan of its
     own.
     """
 
     def __init__(self, flows: DataFrame, win_cfg: WindowConfig | None = None, cfg: GraphConfig | None = None,
-                 keep_background: bool = False, share: bool = False):
+                 keep_background: bool = False, share: bool = False, broadcast_nodes: int = BROADCAST_NODES):
         self.win_cfg, self.cfg, self._share = win_cfg or WindowConfig(), cfg or GraphConfig(), share
+        self._broadcast_nodes = broadcast_nodes
         self.windowed = assign_windows(flows if keep_background else drop_background(flows), self.win_cfg)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._share else df
 
     @cached_property
-    def ports(self) -> DataFrame:
-        return self._keep(port_table(self.windowed))
+    def selected(self) -> DataFrame:
+        return self._keep(select_nodes(host_activity(self.windowed), self.win_cfg, self.cfg))
 
     @cached_property
-    def selected(self) -> DataFrame:
-        if self._share:
-            counts = self.ports.groupBy(*PAIR).agg(F.sum("n_flows").alias("n_flows"))
-        else:
-            counts = pair_counts(self.windowed)
-        return self._keep(select_nodes(counts, self.win_cfg, self.cfg))
+    def _few_nodes(self) -> bool:
+        return self._share and self.selected.count() <= self._broadcast_nodes
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Windowed flows; only those among nodes if these are few."""
+        if self._few_nodes:
+            return restrict_to_nodes(self.windowed, F.broadcast(self.selected))
+        return self.windowed
 
     @cached_property
     def kept_ports(self) -> DataFrame:
-        return with_node_index(self.ports, self.selected)
+        nodes = F.broadcast(self.selected) if self._few_nodes else self.selected
+        return self._keep(with_node_index(port_table(self.candidates), nodes))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -271,17 +283,17 @@ class GraphBuild:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return edge_table(self.pairs, self.windowed)
+        return edge_table(self.pairs, self.candidates)
 
     @cached_property
     def graphs(self) -> DataFrame:
         # Sizes and labels need neither features nor source ports.
-        return graph_table(self.labelled, self.pairs)
+        return self._keep(graph_table(self.labelled, self.pairs))
 
     def release(self) -> None:
-        if self._share:
-            self.selected.unpersist()
-            self.ports.unpersist()
+        for name in ("graphs", "kept_ports", "selected"):
+            if self._share and name in self.__dict__:
+                getattr(self, name).unpersist()
 
 
 def build_graphs(flows: DataFrame, win_cfg: WindowConfig | None = None, cfg: GraphConfig | None = None,

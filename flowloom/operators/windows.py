@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.config import WindowConfig
 from flowloom.functions.scalars import floor_div, floor_to, micros
@@ -70,23 +70,21 @@ def window_starts(bounds: DataFrame, cfg: WindowConfig | None = None) -> DataFra
     )
 
 
-def endpoints(*extra: Column) -> list[Column]:
+def endpoints(*extra) -> list:
     """Two output rows per input row, one for each endpoint, plus ``extra``."""
     return [*extra, F.explode(F.array("src_ip", "dst_ip")).alias("ip")]
 
 
-def pair_counts(windowed: DataFrame) -> DataFrame:
-    """Flows per (window, source, destination): all later host and window
-    counts are derived from this much smaller table."""
-    return windowed.groupBy(*WIN, "src_ip", "dst_ip").agg(F.count("*").alias("n_flows"))
+def host_activity(windowed: DataFrame, weight: str | None = None) -> DataFrame:
+    """Flows touching each host of a window; a self-flow counts twice.
 
-
-def host_activity(pairs: DataFrame) -> DataFrame:
-    """Flows touching each host of a window; a self-flow counts twice."""
-    return (
-        pairs.select(*endpoints(*WIN, F.col("n_flows")))
-        .groupBy(*WIN, "ip").agg(F.sum("n_flows").alias("activity"))
-    )
+    Rows are counted, or ``weight`` summed for tables that are already reduced.
+    The count is combined before the shuffle, so a busy host sends one row per
+    task.
+    """
+    each = F.count("*") if weight is None else F.sum(weight)
+    extra = [] if weight is None else [F.col(weight)]
+    return windowed.select(*endpoints(*WIN, *extra)).groupBy(*WIN, "ip").agg(each.alias("activity"))
 
 
 def window_sizes(activity: DataFrame) -> DataFrame:
@@ -102,7 +100,7 @@ def large_enough(sizes: DataFrame, cfg: WindowConfig | None = None) -> DataFrame
 
 def keep_large_windows(windowed: DataFrame, cfg: WindowConfig | None = None) -> DataFrame:
     """Flows of the windows with enough flows and enough distinct hosts."""
-    sizes = window_sizes(host_activity(pair_counts(windowed)))
+    sizes = window_sizes(host_activity(windowed))
     return windowed.join(large_enough(sizes, cfg).select(*WIN), WIN, "left_semi")
 
 

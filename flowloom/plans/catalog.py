@@ -77,7 +77,7 @@ def built(spark, sf, cfg: GraphConfig = V.GRAPHS) -> G.GraphBuild:
 
 
 def selected(spark, sf, cfg: GraphConfig = V.GRAPHS) -> DataFrame:
-    return G.select_nodes(W.pair_counts(windowed(spark, sf)), V.WINDOWS, cfg)
+    return G.select_nodes(W.host_activity(windowed(spark, sf)), V.WINDOWS, cfg)
 
 
 def rounded(cols: list[str], prefix: str = "") -> str:
@@ -317,7 +317,7 @@ def _(spark, sf):
 
 @query("large_windows", "SELECT scenario, ws, n_flows, n_hosts FROM sizes WHERE n_flows >= 150 AND n_hosts >= 60")
 def _(spark, sf):
-    sizes = W.window_sizes(W.host_activity(W.pair_counts(windowed(spark, sf))))
+    sizes = W.window_sizes(W.host_activity(windowed(spark, sf)))
     return tidy(W.large_enough(sizes, WindowConfig(86400, None, 150, 60)))
 
 
@@ -366,7 +366,7 @@ def _(spark, sf):
 @query("window_numbers", """
 SELECT scenario, ws, CAST(row_number() OVER (PARTITION BY scenario ORDER BY ws) - 1 AS INT) AS window_idx FROM big""")
 def _(spark, sf):
-    sizes = W.window_sizes(W.host_activity(W.pair_counts(windowed(spark, sf))))
+    sizes = W.window_sizes(W.host_activity(windowed(spark, sf)))
     return tidy(W.number_windows(W.large_enough(sizes, V.WINDOWS).select(*W.WIN)))
 
 
@@ -374,7 +374,7 @@ def _(spark, sf):
 
 @query("host_activity", "SELECT scenario, ws, ip, activity FROM act")
 def _(spark, sf):
-    return tidy(W.host_activity(W.pair_counts(windowed(spark, sf))))
+    return tidy(W.host_activity(windowed(spark, sf)))
 
 
 @query("node_selection", "SELECT scenario, ws, ip, activity, node_idx FROM sel")
@@ -441,7 +441,7 @@ LEFT JOIN (SELECT scenario, CAST(sum(n_flows) AS BIGINT) AS sized FROM sizes WHE
 LEFT JOIN (SELECT scenario, count(*) AS graphs, CAST(sum(graph_y) AS BIGINT) AS bot_graphs,
                   CAST(sum(n_bot_nodes) AS BIGINT) AS total_bot_nodes FROM graphs GROUP BY scenario) g USING (scenario)""")
 def _(spark, sf):
-    sizes = W.window_sizes(W.host_activity(W.pair_counts(windowed(spark, sf))))
+    sizes = W.window_sizes(W.host_activity(windowed(spark, sf)))
     return G.build_summary(V.flows(spark, sf), built(spark, sf).graphs, sizes, V.WINDOWS)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.config import GraphConfig, WindowConfig
 from flowloom.schema import ntz_to_utc
+from flowloom.session import tune
 
 # Day-long windows fit the 30-day events table.
 WINDOWS = WindowConfig(window_s=86400, min_flows=5, min_nodes=2)
@@ -17,8 +18,7 @@ GRAPHS = GraphConfig(min_flows_per_node=3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,33 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Runtime settings that results and speed depend on.
+SETTINGS = {
+    # Windows and naive timestamps are read as UTC.
+    "spark.sql.session.timeZone": "UTC",
+    # The JVM does not compile methods above 8000 bytes of bytecode; a wide
+    # projection fused into one method would be interpreted. Beyond the limit
+    # Spark splits the projection into several methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session somebody else made."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "flowloom") -> SparkSession:
     """A session for tests and the local bench; clusters bring their own."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -126,19 +126,21 @@ def load_zeek(spark: SparkSession, path: str) -> DataFrame:
 
 def zeek_rows(text: DataFrame) -> DataFrame:
     """Typed rows and ``class`` from lines (``value``) and ``file_path``."""
-    lines = text.select(F.regexp_replace("value", "#.*$", "").alias("line"), "file_path")
-    fields = F.split("line", "\t")
     names = fixed.ZEEK_COLUMNS
+    # The array is its own projection step, so each line is split once.
+    lines = text.select(F.split(F.substring_index("value", "#", 1), "\t").alias("f"), "file_path").where(
+        (F.size("f") > 1) | (F.get("f", F.lit(0)) != ""))
 
     def field(i):
-        value = F.get(fields, F.lit(i))
+        value = F.get("f", F.lit(i))
         return F.when(~value.isin(fixed.ZEEK_NULLS), value)
 
-    tail = F.split(F.coalesce(field(20), F.lit("-   -   -")), r"\s+", 3)
-    parts = [F.coalesce(F.get(tail, F.lit(i)), F.lit("-")) for i in range(3)]
-    return lines.where(F.trim("line") != "").select(
-        epoch_to_timestamp(lenient_double(field(0))).alias("ts"),
-        *[field(i).alias(names[i]) for i in range(1, 20)],
+    raw = lines.select(
+        F.get("f", F.lit(0)).alias("ts"), *[field(i).alias(names[i]) for i in range(1, 20)],
+        F.split(F.coalesce(field(20), F.lit("-   -   -")), r"\s+", 3).alias("tail"), "file_path")
+    parts = [F.coalesce(F.get("tail", F.lit(i)), F.lit("-")) for i in range(3)]
+    return raw.select(
+        epoch_to_timestamp(lenient_double(F.col("ts"))).alias("ts"), *[f"`{n}`" for n in names[1:20]],
         *[p.alias(n) for p, n in zip(parts, names[20:])],
         zeek_label(parts[1]).alias("class"), "file_path",
     )
@@ -146,24 +148,23 @@ def zeek_rows(text: DataFrame) -> DataFrame:
 
 def zeek_to_flows(raw: DataFrame, scenario: Column | None = None) -> DataFrame:
     """Canonical projection: originator is the source, responder the destination."""
-    def number(c):
-        return lenient_long(F.col(f"`{c}`"))
-
-    null = F.lit(None).cast("double")
     rows = raw.dropna(subset=["ts", "`id.orig_h`", "`id.resp_h`"])
-    out = rows.where(number("orig_pkts") + number("resp_pkts") >= 1).select(
+    number = {c: lenient_long(F.col(f"`{c}`")) for c in (
+        "id.orig_p", "id.resp_p", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")}
+    null = F.lit(None).cast("double")
+    out = rows.select(
         F.lit(0).alias("flow_id"),
         (zeek_scenario(F.col("file_path")) if scenario is None else scenario).alias("scenario"),
         F.col("`id.orig_h`").alias("src_ip"), F.col("`id.resp_h`").alias("dst_ip"),
-        number("id.orig_p").alias("src_port"), number("id.resp_p").alias("dst_port"),
+        number["id.orig_p"].alias("src_port"), number["id.resp_p"].alias("dst_port"),
         protocol_from_name(F.col("proto")).alias("protocol"),
         F.col("ts").alias("start_time"),
         F.coalesce(lenient_double(F.col("duration")), F.lit(0.0)).alias("duration_s"),
-        number("orig_bytes").alias("bytes_fwd"), number("resp_bytes").alias("bytes_bwd"),
-        number("orig_pkts").alias("pkts_fwd"), number("resp_pkts").alias("pkts_bwd"),
+        number["orig_bytes"].alias("bytes_fwd"), number["resp_bytes"].alias("bytes_bwd"),
+        number["orig_pkts"].alias("pkts_fwd"), number["resp_pkts"].alias("pkts_bwd"),
         *[null.alias(c) for c in ("mean_iat_ms", "std_iat_ms", "min_pkt_size", "max_pkt_size")],
         F.col("class").alias("label"), F.col("detailed-label").alias("detailed_label"),
-    )
+    ).where(F.col("pkts_fwd") + F.col("pkts_bwd") >= 1)
     return coerce_to_schema(out.withColumn("end_time", add_seconds(F.col("start_time"), F.col("duration_s"))))
 
 
