@@ -94,7 +94,7 @@ def _local(spec, w):
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     make = {
-        "position": lambda c: F.row_number().over(w).cast("bigint"),
+        "position": lambda c: F.row_number().over(w),
         "sum": lambda c: F.sum(c).over(upto),
         "max_before": lambda c: F.max(c).over(before),
         "previous": lambda c: F.lag(c).over(w),
@@ -136,6 +136,29 @@ def _combine(name, kind):
     return F.when(F.col("_at") == 1, carry).otherwise(here)
 
 
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
+                  spread: bool | None = None) -> DataFrame:
+    """The first ``k`` rows of every group in a total order.
+
+    Up to Spark's group-limit threshold the rank filter is applied per task
+    before the shuffle, so a group sends at most ``k`` rows per task. Above it
+    ranks come from :func:`running`.
+    """
+    pruned = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    ranked = running(df, group, order, {"_rank": ("position", None)}, spread=False if k <= pruned else spread)
+    return ranked.where(F.col("_rank") <= k).drop("_rank")
+
+
+def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A reduced table as join side: broadcast if it has at most ``max_rows``.
+
+    The table is checkpointed, counted, and only then given the hint; a larger
+    one is joined by shuffle, where adaptive execution splits hot keys.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], qs: dict[str, tuple[str, float]],
                     spread: bool | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, without holding a group.

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import fixed
 from flowloom.config import GraphConfig, WindowConfig
+from flowloom.functions.ordered import top_per_group
 from flowloom.functions.scalars import entropy_bits, protocol_flags
 from flowloom.operators.windows import (
     WIN, assign_windows, drop_background, endpoints, host_activity, large_enough,
@@ -82,23 +83,13 @@ def dominant_protocol() -> Column:
 def select_nodes(activity: DataFrame, win_cfg: WindowConfig | None = None,
                  cfg: GraphConfig | None = None) -> DataFrame:
     """Active hosts (see ``host_activity``) of the windows that are large enough, at most ``max_nodes``
-    per window, numbered by address.
-
-    The rank filter prunes to ``max_nodes`` rows per window on the map side
-    before anything is shuffled by window.
-    """
+    per window, numbered by address."""
     cfg = cfg or GraphConfig()
     kept = large_enough(window_sizes(activity), win_cfg).select(*WIN)
-    busiest = Window.partitionBy(*WIN).orderBy(F.desc("activity"), F.asc("ip"))
+    eligible = activity.where(F.col("activity") >= cfg.min_flows_per_node).join(kept, WIN, "left_semi")
+    busiest = top_per_group(eligible, WIN, [F.desc("activity"), F.asc("ip")], cfg.max_nodes)
     by_name = Window.partitionBy(*WIN).orderBy("ip")
-    return (
-        activity.where(F.col("activity") >= cfg.min_flows_per_node)
-        .join(kept, WIN, "left_semi")
-        .withColumn("_rank", F.row_number().over(busiest))
-        .where(F.col("_rank") <= cfg.max_nodes)
-        .drop("_rank")
-        .withColumn("node_idx", (F.row_number().over(by_name) - 1).cast("int"))
-    )
+    return busiest.withColumn("node_idx", (F.row_number().over(by_name) - 1).cast("int"))
 
 
 def restrict_to_nodes(flows: DataFrame, nodes: DataFrame) -> DataFrame:

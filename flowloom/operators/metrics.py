@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom import fixed
-from flowloom.functions.ordered import running
+from flowloom.functions.ordered import running, small_side
 from flowloom.functions.scalars import at_threshold
 
 METRICS = ["n", "n_pos", "accuracy", "precision", "recall", "f1", "pr_auc", "roc_auc", "tn", "fp", "fn", "tp"]
@@ -176,7 +176,7 @@ def best_threshold(scored: DataFrame, group: Sequence[str] = (), grid: list[floa
 
 def apply_thresholds(scored: DataFrame, thresholds: DataFrame, fallback: float) -> DataFrame:
     """Predict with the scenario's own threshold, else with ``fallback``."""
-    own = thresholds.select("scenario", F.col("threshold").alias("_t"))
+    own = small_side(thresholds.select("scenario", F.col("threshold").alias("_t")))
     return (
         scored.join(own, "scenario", "left")
         .withColumn("y_pred", at_threshold(F.col("proba"), F.coalesce("_t", F.lit(fallback)))).drop("_t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowloom import fixed
-from flowloom.functions.ordered import running
+from flowloom.functions.ordered import running, top_per_group
 from flowloom.functions.scalars import (
     capture_family, capture_label, capture_scenario, conversation_key, epoch_to_timestamp,
     file_stem, profile_protocol, protocol_from_number,
@@ -113,8 +113,7 @@ def conversations(packets: DataFrame, max_flows: int | None = None, max_packets:
         F.min("ts").alias("first_seen_s"), F.max("ts").alias("last_seen_s"),
         F.count("*").alias("packets"), F.sum("size").alias("bytes"))
     if max_flows is not None:
-        one = running(one, ["file"], [F.col("first_packet")], {"_n": ("position", None)}, spread=spread)
-        one = one.where(F.col("_n") <= max_flows).drop("_n")
+        one = top_per_group(one, ["file"], [F.col("first_packet")], max_flows, spread)
     return one.select(
         "file", "first_packet",
         F.col("first.src").alias("src_ip"), F.col("first.dst").alias("dst_ip"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import fixed
 from flowloom.config import SequenceConfig, WindowConfig
-from flowloom.functions.ordered import is_small, running
+from flowloom.functions.ordered import is_small, running, top_per_group
 from flowloom.functions.scalars import log1p_or_zero, micros, protocol_flags
 from flowloom.operators.windows import WIN
 
@@ -68,27 +68,25 @@ def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread
     """At most ``max_flows`` flows per node.
 
     Hash sample (by a hash of flow, seed and node position, or by the given
-    column): the rank filter keeps ``max_flows`` rows per node on the map
-    side already. Even picks: only nodes above the cap need exact ranks; those
-    go through the ordered slabs, so a node with a third of all flows is cut
-    over many tasks.
+    column): the first rows per node in hash order. Even picks: only nodes
+    above the cap need exact ranks; those go through the ordered slabs, so a
+    node with a third of all flows is cut over many tasks.
     """
     cfg = cfg or SequenceConfig()
     m = cfg.max_flows
     if not cfg.even:
         h = F.xxhash64("flow_id", F.lit(cfg.seed), "node_idx") if by is None else by
-        w = Window.partitionBy(*NODE).orderBy(h, "flow_id")
-        return focal.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m).drop("_r")
+        return top_per_group(focal, NODE, [h, F.col("flow_id")], m, spread)
 
+    spread = not is_small(focal) if spread is None else spread
     sizes = focal.groupBy(*NODE).agg(F.count("*").alias("_n"))
     sized = focal.join(sizes, NODE)
+    order, position = [F.col(c) for c in _TIME], {"_p": ("position", None)}
     pick = evenly_picked(F.col("_p") - 1, F.col("_n"), m)
-    order = [F.col(c) for c in _TIME]
-    if not (spread if spread is not None else not is_small(focal)):
-        ranked = running(sized, NODE, order, {"_p": ("position", None)}, spread=False)
-        return ranked.where(pick).drop("_p", "_n")
+    if not spread:
+        return running(sized, NODE, order, position, spread=False).where(pick).drop("_p", "_n")
     whole = sized.where(F.col("_n") <= m).drop("_n")
-    ranked = running(sized.where(F.col("_n") > m), NODE, order, {"_p": ("position", None)}, spread=True)
+    ranked = running(sized.where(F.col("_n") > m), NODE, order, position, spread=True)
     return whole.unionByName(ranked.where(pick).drop("_p", "_n"))
 
 

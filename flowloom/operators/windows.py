@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.config import WindowConfig
+from flowloom.functions.ordered import small_side
 from flowloom.functions.scalars import floor_div, floor_to, micros
 
 WIN = ["scenario", "window_start"]
@@ -33,8 +34,8 @@ def assign_windows(flows: DataFrame, cfg: WindowConfig | None = None) -> DataFra
         return flows.withColumn("window_start", floor_to(F.col("start_time"), cfg.window_s))
 
     width, stride = cfg.window_s * 1_000_000, cfg.stride * 1_000_000
-    first = flows.groupBy("scenario").agg(
-        micros(floor_to(F.min("start_time"), cfg.window_s)).alias("_base"))
+    first = small_side(flows.groupBy("scenario").agg(
+        micros(floor_to(F.min("start_time"), cfg.window_s)).alias("_base")))
     offset = micros(F.col("start_time")) - F.col("_base")
     last_window = floor_div(offset, stride)
     first_window = F.greatest(floor_div(offset - width, stride) + 1, F.lit(0).cast("bigint"))
@@ -101,7 +102,7 @@ def large_enough(sizes: DataFrame, cfg: WindowConfig | None = None) -> DataFrame
 def keep_large_windows(windowed: DataFrame, cfg: WindowConfig | None = None) -> DataFrame:
     """Flows of the windows with enough flows and enough distinct hosts."""
     sizes = window_sizes(host_activity(windowed))
-    return windowed.join(large_enough(sizes, cfg).select(*WIN), WIN, "left_semi")
+    return windowed.join(small_side(large_enough(sizes, cfg).select(*WIN)), WIN, "left_semi")
 
 
 def number_windows(windows: DataFrame) -> DataFrame:

@@ -26,8 +26,12 @@ RESULT_SCHEMA = T.StructType([
 
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
-    """Partitioned write; ``overwrite`` replaces only the scenarios in ``df``."""
-    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    """Partitioned write; ``overwrite`` replaces only the scenarios in ``df``.
+
+    Rows are rebalanced by scenario first: adaptive execution cuts a large
+    scenario into many files and packs small ones together.
+    """
+    (df.hint("rebalance", "scenario").write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("scenario").parquet(path))
 
 
@@ -41,7 +45,8 @@ def write_flows(flows: DataFrame, path: str, mode: str = "overwrite", validate:
     if validate:
         validate_flow_df(flows)
     order = ["scenario", "start_time", "flow_id"]
-    _write(flows.repartitionByRange(*order).sortWithinPartitions(*order), path, mode)
+    (flows.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("scenario").parquet(path))
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
