@@ -34,8 +34,8 @@ def is_small(df: DataFrame, limit: int = SINGLE_TASK_BYTES) -> bool:
 def lay_out(df: DataFrame, group: Sequence[str], order: Sequence[Column], slabs: int | None = None) -> DataFrame:
     """Cut ``df`` into ordered slabs and tag rows with ``_slab`` and ``_row``.
 
-    The result is checkpointed: slab borders come from sampling, so a second
-    evaluation could draw others.
+    The result is written to the shared folder: slab borders come from
+    sampling, so a second evaluation could draw others.
     """
     keys = [*[F.col(c) for c in group], *order]
     ranged = df.repartitionByRange(slabs, *keys) if slabs else df.repartitionByRange(*keys)
@@ -58,7 +58,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
     ``spread`` forces the slab way (True) or the plain window (False); by
     default the planned input size decides. ``few_groups`` promises that groups
     are no more numerous than slabs, so that the carried state (one row per
-    slab and group) may be broadcast; rows then stay where they are, in order.
+    slab and group) may be broadcast; rows then stay where they are.
     """
     if spread is None:
         spread = not is_small(df)
@@ -152,7 +152,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A reduced table as join side: broadcast if it has at most ``max_rows``.
 
-    The table is checkpointed, counted, and only then given the hint; a larger
+    The table is written out, counted, and only then given the hint; a larger
     one is joined by shuffle, where adaptive execution splits hot keys.
     """
     kept = cut_lineage(df)

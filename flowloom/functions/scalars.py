@@ -99,13 +99,14 @@ def protocol_flags(protocol: Column) -> list[Column]:
     return [*flags, rest]
 
 
-_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Letters that only occur in spellings such as 1d, 0x1p3, NaN or Infinity.
+_NOT_DECIMAL = "[dDfFxXnNiI]"
 _HEX = r"^\s*0[xX][0-9A-Fa-f]+\s*$"
 
 
 def lenient_double(raw: Column) -> Column:
     """Number or NULL; no exception, no Java-only spellings such as ``1d``."""
-    return F.when(raw.rlike(_DECIMAL), raw.try_cast("double"))
+    return F.when(~raw.rlike(_NOT_DECIMAL), raw.try_cast("double"))
 
 
 def lenient_long(raw: Column) -> Column:

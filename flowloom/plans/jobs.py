@@ -19,8 +19,7 @@ PARSERS = {"ctu13": parse_binetflow, "iot23": parse_zeek}
 
 def parse_logs(spark: SparkSession, kind: str, path: str, out: str, scenario_id: str | None = None) -> DataFrame:
     """Parse every log of one kind below ``path`` into the flow store."""
-    flows = PARSERS[kind](spark, path, scenario_id)
-    stores.write_flows(flows, out)
+    stores.write_flows(PARSERS[kind](spark, path, scenario_id, spread=True), out, in_slabs=True)
     return profile.label_totals(stores.read_flows(spark, out))
 
 

@@ -35,17 +35,20 @@ def _write(df: DataFrame, path: str, mode: str) -> None:
      .partitionBy("scenario").parquet(path))
 
 
-def write_flows(flows: DataFrame, path: str, mode: str = "overwrite", validate: bool = False) -> None:
+def write_flows(flows: DataFrame, path: str, mode: str = "overwrite", validate: bool = False,
+                in_slabs: bool = False) -> None:
     """Store a flow table sorted by start within each scenario.
 
     Range partitioning by (scenario, start) gives files with narrow time
     ranges, so window filters skip files and row groups; a large scenario is
-    many files, a small one shares a task.
+    many files, a small one shares a task. Rows fresh from id assignment lie in
+    such ranges already (``in_slabs``) and are only sorted within their task.
     """
     if validate:
         validate_flow_df(flows)
     order = ["scenario", "start_time", "flow_id"]
-    (flows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = flows if in_slabs else flows.repartitionByRange(*order)
+    (ranged.sortWithinPartitions(*order)
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("scenario").parquet(path))
 
 
