@@ -14,16 +14,14 @@ NODE = [*WIN, "ip"]
 _TIME = ["start_time", "flow_id"]
 
 
-def focal_flows(windowed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every flow of a node, whatever its peer, once even for self-flows.
+def touching(windowed: DataFrame) -> DataFrame:
+    """Every flow once per host it touches (once for a self-flow), as ``ip``."""
+    return windowed.withColumn("ip", F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))))
 
-    The features are computed before the rows double, so only thirteen numbers
-    and the keys go through the join.
-    """
-    return (
-        windowed.withColumn("ip", F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))))
-        .join(nodes.select(*NODE, "node_idx"), NODE)
-    )
+
+def focal_flows(windowed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every flow of a node, whatever its peer."""
+    return touching(windowed).join(nodes.select(*NODE, "node_idx"), NODE)
 
 
 def flow_features(window_s: float) -> list[Column]:
@@ -63,24 +61,21 @@ def evenly_picked(rank0: Column, n: Column, m: int) -> Column:
     return (n <= m) | hit
 
 
-def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread: bool | None = None,
-                     by: Column | None = None) -> DataFrame:
-    """At most ``max_flows`` flows per node.
+def sample_sequences(rows: DataFrame, cfg: SequenceConfig, spread: bool, by: Column | None = None) -> DataFrame:
+    """At most ``max_flows`` rows per host.
 
-    Hash sample (by a hash of flow, seed and node position, or by the given
-    column): the first rows per node in hash order. Even picks: only nodes
-    above the cap need exact ranks; those go through the ordered slabs, so a
-    node with a third of all flows is cut over many tasks.
+    Hash sample (by a hash of flow, seed and host, or by the given column): the
+    first rows per host in hash order, pruned before the shuffle. Even picks:
+    only hosts above the cap need exact ranks; those go through the ordered
+    slabs, so a host with a third of all flows is cut over many tasks.
     """
-    cfg = cfg or SequenceConfig()
     m = cfg.max_flows
     if not cfg.even:
-        h = F.xxhash64("flow_id", F.lit(cfg.seed), "node_idx") if by is None else by
-        return top_per_group(focal, NODE, [h, F.col("flow_id")], m, spread)
+        h = F.xxhash64("flow_id", F.lit(cfg.seed), "ip") if by is None else by
+        return top_per_group(rows, NODE, [h, F.col("flow_id")], m, spread)
 
-    spread = not is_small(focal) if spread is None else spread
-    sizes = focal.groupBy(*NODE).agg(F.count("*").alias("_n"))
-    sized = focal.join(sizes, NODE)
+    sizes = rows.groupBy(*NODE).agg(F.count("*").alias("_n"))
+    sized = rows.join(sizes, NODE)
     order, position = [F.col(c) for c in _TIME], {"_p": ("position", None)}
     pick = evenly_picked(F.col("_p") - 1, F.col("_n"), m)
     if not spread:
@@ -92,15 +87,24 @@ def sample_sequences(focal: DataFrame, cfg: SequenceConfig | None = None, spread
 
 def build_sequences(windowed: DataFrame, nodes: DataFrame, win_cfg: WindowConfig | None = None,
                     cfg: SequenceConfig | None = None, spread: bool | None = None,
-                    by: Column | None = None) -> DataFrame:
-    """Long sequence table: one row per node and position, oldest flow first."""
-    win_cfg = win_cfg or WindowConfig()
+                    by: Column | None = None, few_nodes: bool = False) -> DataFrame:
+    """Long sequence table: one row per node and position, oldest flow first.
+
+    The cap is applied before the join with the nodes, so that the join never
+    meets more than ``max_flows`` rows per host. With ``few_nodes`` (the caller
+    has counted them) they are broadcast instead and drop most flows while
+    these are scanned.
+    """
+    win_cfg, cfg = win_cfg or WindowConfig(), cfg or SequenceConfig()
     if spread is None:
         # Join size estimates are products; the flows themselves are the bound.
         spread = not is_small(windowed)
-    wide = focal_flows(windowed, nodes).select(
-        *NODE, "node_idx", *_TIME, *flow_features(win_cfg.window_s))
-    kept = sample_sequences(wide, cfg, spread, by)
+    wanted = nodes.select(*NODE, "node_idx")
+    rows = touching(windowed)
+    if few_nodes:
+        rows = rows.join(F.broadcast(wanted.drop("node_idx")), NODE, "left_semi")
+    wide = rows.select(*NODE, *_TIME, *flow_features(win_cfg.window_s))
+    kept = sample_sequences(wide, cfg, spread, by).join(wanted, NODE)
     # At most max_flows rows per node are left here.
     w = Window.partitionBy(*NODE).orderBy(*_TIME)
     return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).select(

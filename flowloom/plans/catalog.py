@@ -462,7 +462,7 @@ def _(spark, sf):
 
 @query("sequences_hashed", f"SELECT {_SEQ_COLS} FROM seq_hash")
 def _(spark, sf):
-    by = F.md5(F.concat_ws("|", "flow_id", "node_idx"))
+    by = F.md5(F.concat_ws("|", "flow_id", "ip"))
     return tidy(Q.build_sequences(windowed(spark, sf), selected(spark, sf), V.WINDOWS, SEQ, by=by))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.config import GraphConfig, SequenceConfig, SplitSpec, WindowConfig
 from flowloom.operators import profile
-from flowloom.operators.graph import build_graphs
+from flowloom.operators.graph import BROADCAST_NODES, build_graphs
 from flowloom.operators.scaling import fit_edge_scaler, fit_feature_scaler
 from flowloom.operators.sequences import build_sequences
 from flowloom.operators.splits import assign_splits, load_split
@@ -48,7 +48,8 @@ def sequences_job(spark: SparkSession, flow_path: str, graph_path: str, out: str
     if skip_existing:
         nodes = stores.not_yet_written(nodes, out)
     windowed = assign_windows(flows if keep_background else drop_background(flows), win_cfg)
-    stores.write_sequences(build_sequences(windowed, nodes, win_cfg, cfg), out)
+    few = nodes.count() <= BROADCAST_NODES
+    stores.write_sequences(build_sequences(windowed, nodes, win_cfg, cfg, few_nodes=few), out)
 
 
 def scaled_split(spark: SparkSession, graph_path: str, spec: SplitSpec, name: str) -> tuple[DataFrame, DataFrame]:

@@ -162,7 +162,7 @@ CTES["seq_all"] = _SEQ.format(source="SELECT * FROM ranked")
 CTES["seq_even"] = _SEQ.format(source="""SELECT * FROM ranked WHERE n <= 8 OR p IN (
   SELECT round_even(k * ((n - 1) / 7.0), 0) FROM (SELECT unnest(range(0, 8)) AS k))""")
 CTES["seq_hash"] = _SEQ.format(source="""SELECT * FROM (SELECT *, row_number() OVER (
-  PARTITION BY scenario, ws, ip ORDER BY md5(concat_ws('|', flow_id, node_idx)), flow_id) AS r FROM focal) WHERE r <= 8""")
+  PARTITION BY scenario, ws, ip ORDER BY md5(concat_ws('|', flow_id, ip)), flow_id) AS r FROM focal) WHERE r <= 8""")
 
 CTES["splits"] = """
 SELECT *, CASE WHEN scenario = 'sc-b' THEN 'test' WHEN k <= floor(n * CAST(0.6 AS DOUBLE)) THEN 'train'
