@@ -102,9 +102,12 @@ def build_sequences(windowed: DataFrame, nodes: DataFrame, win_cfg: WindowConfig
     wanted = nodes.select(*NODE, "node_idx")
     rows = touching(windowed)
     if few_nodes:
-        rows = rows.join(F.broadcast(wanted.drop("node_idx")), NODE, "left_semi")
-    wide = rows.select(*NODE, *_TIME, *flow_features(win_cfg.window_s))
-    kept = sample_sequences(wide, cfg, spread, by).join(wanted, NODE)
+        rows = rows.join(F.broadcast(wanted), NODE)
+    index = ["node_idx"] if few_nodes else []
+    kept = sample_sequences(
+        rows.select(*NODE, *index, *_TIME, *flow_features(win_cfg.window_s)), cfg, spread, by)
+    if not few_nodes:
+        kept = kept.join(wanted, NODE)
     # At most max_flows rows per node are left here.
     w = Window.partitionBy(*NODE).orderBy(*_TIME)
     return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).select(

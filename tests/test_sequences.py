@@ -73,3 +73,11 @@ def test_attach_refuses_other_nodes(spark):
     assert Q.attach(nodes, stored).count() == 4
     with pytest.raises(ValueError, match="differ"):
         Q.attach(nodes.where("ip <> 'Z'"), stored)
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_broadcast_nodes_give_the_same_rows(spark, even):
+    w, nodes = fixture(spark)
+    a = Q.build_sequences(w, nodes, WIN, SequenceConfig(2, even=even))
+    b = Q.build_sequences(w, nodes, WIN, SequenceConfig(2, even=even), few_nodes=True)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 5
