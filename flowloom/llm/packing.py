@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.common import chunks, cut_lineage
+from flowloom.llm.common import chunks, cut_lineage, map_batches, ship
 from flowloom.llm.pieces import tokenizer_path
 
 KNOWN_TOKENS = 900_000
@@ -120,11 +120,10 @@ def pieces(docs: DataFrame, size: int, tokenizer: str = "word_bpe_49k.json", end
             yield pa.RecordBatch.from_arrays(columns, ["_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text")
-        .mapInArrow(run, f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
-        .withColumnRenamed("_id", id_col)
-    )
+    return map_batches(
+        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text"), run,
+        f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
+    ).withColumnRenamed("_id", id_col)
 
 
 def vector_best_fit(lengths: np.ndarray, capacity: Capacity, rule: str = "norm",
@@ -183,6 +182,7 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm",
     are packed together on average. Every row is placed. Repeated ids are
     different rows. Pieces as long as a sequence are packed without a search.
     """
+    ship(parts.sparkSession)
     total = parts.count() if total is None else total
     shards = max(1, -(-total // shard_rows))
     fields = parts.schema

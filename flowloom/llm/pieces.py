@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowloom.llm.common import chunks
+from flowloom.llm.common import chunks, map_batches
 
 SPACE = "▁"
 NONE = np.int64(1 << 30)
@@ -295,8 +295,6 @@ def piece_codec(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
             yield pa.RecordBatch.from_arrays(columns, ["_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text")
-        .mapInArrow(run, f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
-        .withColumnRenamed("_id", id_col)
-    )
+    return map_batches(
+        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text"), run,
+        f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}").withColumnRenamed("_id", id_col)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowloom.llm.common import chunks, components, cut_lineage
+from flowloom.llm.common import chunks, components, cut_lineage, map_batches
 
 SEED = 42
 
@@ -51,10 +51,9 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fp)], ["_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text")
-        .mapInArrow(run, f"_id {kind}, fp bigint").withColumnRenamed("_id", id_col)
-    )
+    return map_batches(
+        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text"), run, f"_id {kind}, fp bigint"
+    ).withColumnRenamed("_id", id_col)
 
 
 def linked_pairs(values: DataFrame, distance: int = 2, col: str = "fp") -> DataFrame:
@@ -149,13 +148,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
                 ok.append(union > 0 and both >= similarity * union)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_table", "_value", "a", "b")], pa.array(ok)],
-                                             ["_table", "_value", "a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "ok"])
 
     left = sets.selectExpr("node AS a", "shingles AS _sa")
     right = sets.selectExpr("node AS b", "shingles AS _sb")
-    return pairs.join(left, "a").join(right, "b").select("_table", "_value", "a", "b", "_sa", "_sb").mapInArrow(
-        run, "_table int, _value bigint, a bigint, b bigint, ok boolean")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb"), run, "a bigint, b bigint, ok boolean")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
@@ -185,7 +182,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
                 ["node", "shingles"])
 
     slim = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS _id", f"`{text_col}` AS _text").where("_id IS NOT NULL")
-    rows = cut_lineage(slim.mapInArrow(marks, "_id bigint, digest binary, fps array<bigint>"))
+    rows = cut_lineage(map_batches(slim, marks, "_id bigint, digest binary, fps array<bigint>"))
     nodes = rows.groupBy("digest").agg(F.min("_id").alias("node"), F.any_value("fps").alias("fps"))
     flips = F.array(*[F.lit(v).cast("bigint") for v in [0, *(1 << b for b in range(bits))]])
     balls = (
@@ -198,12 +195,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         .select("_table", "_value", "a", F.col("node").alias("b")))
     involved = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     shingles = cut_lineage(
-        slim.withColumnRenamed("_id", "node").join(involved, "node", "left_semi").dropDuplicates(["node"])
-        .mapInArrow(sets, "node bigint, shingles binary"))
+        map_batches(slim.withColumnRenamed("_id", "node").join(involved, "node", "left_semi").dropDuplicates(["node"]),
+                    sets, "node bigint, shingles binary"))
     links = []
     while True:
-        pairs = met.groupBy("a", "b").agg(F.lit(0).alias("_table"), F.lit(0).cast("bigint").alias("_value"))
-        judged = cut_lineage(_similar(pairs, shingles, similarity).select("a", "b", "ok"))
+        judged = cut_lineage(_similar(met.select("a", "b").distinct(), shingles, similarity))
         links.append(judged.where("ok").select("a", "b"))
         apart = met.join(judged.where("NOT ok").select("a", "b"), ["a", "b"]).select("_table", "_value", "b")
         met = cut_lineage(apart.withColumn("a", F.min("b").over(by_ball)).where("a <> b").select("_table", "_value", "a", "b"))
