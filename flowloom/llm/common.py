@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.session import cut_lineage
@@ -51,7 +52,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20)
     longest row and not the row count of a batch.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0
         for at, size in enumerate(sizes):
             if held and held + size > limit:
