@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import packing, pieces, simhash
+from flowloom.llm import packing, perplexity, pieces, pii, simhash, suffixes
 from flowloom.llm.common import read
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -17,11 +21,20 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_codec(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op4_simhash_near_dedup, op10_piece_codec)}
+    op1_pii_spans, op2_best_fit_packing, op4_simhash_near_dedup, op5_quality_perplexity, op6_suffix_dedup, op10_piece_codec)}
 
 ORACLE: dict[str, str] = {}
