@@ -160,10 +160,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """``id_col`` and ``component_id`` of every row with an id, by near-copy links.
 
     Equal texts are one node. Nodes meet by ball hashing on any of ``tables``
-    fingerprints; in every ball the node with the smallest id is compared with
-    the others, and those not similar to it are compared among themselves in
-    the next round, until none is left over. A link needs a Jaccard similarity
-    of at least ``similarity`` between the ``words``-word shingle sets.
+    fingerprints. In every ball two centres are compared with the others: the
+    node whose fingerprint is the middle of the ball, and the one with the
+    smallest id. Nodes that found no partner go on with new centres, until a
+    round finds no link. A link needs a Jaccard similarity of at least
+    ``similarity`` between the ``words``-word shingle sets.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,27 +188,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     flips = F.array(*[F.lit(v).cast("bigint") for v in [0, *(1 << b for b in range(bits))]])
     balls = (
         nodes.select("node", F.posexplode("fps").alias("_table", "_fp"))
-        .select("node", "_table", F.explode(F.transform(flips, lambda v: F.col("_fp").bitwiseXOR(v))).alias("_value"))
+        .select("node", "_table", "_fp", F.explode(F.transform(flips, lambda v: F.col("_fp").bitwiseXOR(v))).alias("_value"))
+        .select("node", "_table", "_value", (F.col("_fp") == F.col("_value")).alias("_own"))
     )
     by_ball = Window.partitionBy("_table", "_value")
-    met = cut_lineage(
-        balls.withColumn("a", F.min("node").over(by_ball)).where("node <> a")
-        .select("_table", "_value", "a", F.col("node").alias("b")))
-    involved = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    met = cut_lineage(balls.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
     shingles = cut_lineage(
-        map_batches(slim.withColumnRenamed("_id", "node").join(involved, "node", "left_semi").dropDuplicates(["node"]),
+        map_batches(slim.withColumnRenamed("_id", "node").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]),
                     sets, "node bigint, shingles binary"))
-    links = []
+    found = None
     while True:
-        judged = cut_lineage(_similar(met.select("a", "b").distinct(), shingles, similarity))
-        links.append(judged.where("ok").select("a", "b"))
-        apart = met.join(judged.where("NOT ok").select("a", "b"), ["a", "b"]).select("_table", "_value", "b")
-        met = cut_lineage(apart.withColumn("a", F.min("b").over(by_ball)).where("a <> b").select("_table", "_value", "a", "b"))
-        if not met.limit(1).count():
+        # Centres of a ball: the text whose fingerprint is the ball's value, and the smallest id.
+        centred = met.withColumns({"_mid": F.min(F.when(F.col("_own"), F.col("node"))).over(by_ball), "_low": F.min("node").over(by_ball)})
+        pairs = centred.select(F.explode(F.array_distinct(F.array(F.coalesce("_mid", "_low"), "_low"))).alias("_c"), "node").where("_c <> node")
+        judged = cut_lineage(_similar(pairs.select(F.least("_c", "node").alias("a"), F.greatest("_c", "node").alias("b")).distinct(), shingles, similarity))
+        new = judged.where("ok").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        if not new.limit(1).count():
             break
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
+        linked = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
+        used = (F.col("node") == F.col("_low")) | (F.col("node") == F.coalesce("_mid", "_low"))
+        left = centred.where(~used).join(linked, "node", "left_anti").drop("_mid", "_low")
+        met = cut_lineage(left.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
     groups = components(found, "a", "b")
     placed = (
         nodes.select("digest", "node").join(groups, "node", "left")
