@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import packing, perplexity, pieces, pii, simhash, suffixes
+from flowloom.llm import article, hosts, packing, perplexity, pieces, pii, simhash, suffixes
 from flowloom.llm.common import read
 
 
@@ -30,11 +30,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op8_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_codec(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pii_spans, op2_best_fit_packing, op4_simhash_near_dedup, op5_quality_perplexity, op6_suffix_dedup, op10_piece_codec)}
+    op1_pii_spans, op2_best_fit_packing, op4_simhash_near_dedup, op5_quality_perplexity, op6_suffix_dedup, op7_url_reputation, op8_html_article, op10_piece_codec)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_url_reputation": hosts.SQL}

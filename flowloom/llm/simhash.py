@@ -98,8 +98,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
 
 # -- near-duplicate texts, checked by their shingles -----------------------
 
-TABLES = 3
-BITS = 48
+TABLES = 5
+BITS = 36
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
