@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import article, hosts, packing, perplexity, pieces, pii, simhash, suffixes
+from flowloom.llm import article, descent, hosts, packing, perplexity, pieces, pii, simhash, suffixes, topk
 from flowloom.llm.common import read
 
 
@@ -17,6 +17,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -38,11 +43,16 @@ def op8_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article.main_text(read(spark, sf_dir, "pages"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_codec(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pii_spans, op2_best_fit_packing, op4_simhash_near_dedup, op5_quality_perplexity, op6_suffix_dedup, op7_url_reputation, op8_html_article, op10_piece_codec)}
+    op1_pii_spans, op2_best_fit_packing, op3_exact_top_k, op4_simhash_near_dedup, op5_quality_perplexity, op6_suffix_dedup, op7_url_reputation, op8_html_article, op9_embedding_near_dedup,
+    op10_piece_codec)}
 
 ORACLE: dict[str, str] = {"op7_url_reputation": hosts.SQL}
