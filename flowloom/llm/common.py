@@ -63,6 +63,16 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20)
             yield batch.slice(start)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete written stages that nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/stage-" not in folder:
+                continue
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: ``node``, ``component``.
 
@@ -89,6 +99,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         new = cut_lineage(small)
         changed = new.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(new, ["u", "v"], "left_anti").limit(1).count()
+        release(now)
         now = new
         if not changed:
             break

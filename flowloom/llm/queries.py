@@ -27,7 +27,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return perplexity.judge(docs, read(spark, sf_dir, "labels")).drop("text")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowloom.llm.common import chunks, components, cut_lineage, map_batches
+from flowloom.functions.ordered import small_side
+from flowloom.llm.common import chunks, components, cut_lineage, map_batches, release
 
 SEED = 42
 
@@ -194,22 +195,40 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     by_ball = Window.partitionBy("_table", "_value")
     met = cut_lineage(balls.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
     shingles = cut_lineage(
-        map_batches(slim.withColumnRenamed("_id", "node").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]),
+        map_batches(slim.withColumnRenamed("_id", "node").join(small_side(met.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]),
                     sets, "node bigint, shingles binary"))
-    found = None
+    found, first = None, True
     while True:
         # Centres of a ball: the text whose fingerprint is the ball's value, and the smallest id.
         centred = met.withColumns({"_mid": F.min(F.when(F.col("_own"), F.col("node"))).over(by_ball), "_low": F.min("node").over(by_ball)})
-        pairs = centred.select(F.explode(F.array_distinct(F.array(F.coalesce("_mid", "_low"), "_low"))).alias("_c"), "node").where("_c <> node")
+        near = centred.where("node <> _low OR node <> _mid").select("node", "_table", "_mid", "_low")
+        if first:
+            # The smallest centres of each table; most copies have their original among them.
+            near = near.groupBy("node", "_table").agg(F.min("_mid").alias("_mid"), F.min("_low").alias("_low"))
+        pairs = near.select("node", F.explode(F.array("_mid", "_low")).alias("_c")).where("_c <> node")
         judged = cut_lineage(_similar(pairs.select(F.least("_c", "node").alias("a"), F.greatest("_c", "node").alias("b")).distinct(), shingles, similarity))
         new = judged.where("ok").select("a", "b")
         found = new if found is None else found.unionByName(new)
+        linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+        if first:
+            # The others go on with all centres of their balls, found partners among them.
+            first = False
+            rest = cut_lineage(
+                centred.join(linked, "node", "left_anti").select("node", F.explode(F.array("_mid", "_low")).alias("_c"))
+                .where("_c <> node").select(F.least("_c", "node").alias("a"), F.greatest("_c", "node").alias("b")).distinct()
+                .join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+            again = cut_lineage(_similar(rest, shingles, similarity)).where("ok").select("a", "b")
+            release(rest)
+            new = new.unionByName(again)
+            found = found.unionByName(again)
+            linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
         if not new.limit(1).count():
             break
-        linked = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
         used = (F.col("node") == F.col("_low")) | (F.col("node") == F.coalesce("_mid", "_low"))
         left = centred.where(~used).join(linked, "node", "left_anti").drop("_mid", "_low")
-        met = cut_lineage(left.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
+        before, met = met, cut_lineage(left.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
+        release(before)
+    release(met, shingles)
     groups = components(found, "a", "b")
     placed = (
         nodes.select("digest", "node").join(groups, "node", "left")
@@ -222,7 +241,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest id stays, once if it is repeated. Rows without an id stay.
     Empty texts are copies of each other."""
     groups = cut_lineage(near_copies(docs, id_col=id_col, text_col=text_col, **options))
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    gone = small_side(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     left = docs.join(gone, id_col, "left_anti")
     repeated = groups.groupBy(id_col).count().where("count > 1").select(id_col)
     if repeated.limit(1).count():

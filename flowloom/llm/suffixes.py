@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.common import chunks, cut_lineage, map_batches, ship
+from flowloom.llm.common import chunks, cut_lineage, map_batches, release, ship
 
 WINDOW = 128
 SHALLOW_WORDS = 2
@@ -248,10 +248,20 @@ def _runs(flags: np.ndarray):
     return row, a, b - 1
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds the key of a row: its id (0 for none) and a hash of id and text.
+
+    Rows that are equal in both share a key; they hold the same strings, so
+    what is found for one holds for all of them."""
+    return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0).cast("bigint")), "_row": F.xxhash64(id_col, text_col)})
+
+
 def repeated_intervals(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text",
                        rows_per_task: int = 20_000, largest_group: int = 20_000) -> DataFrame:
-    """Byte intervals [``a``, ``b``) of strings of ``length`` bytes that start more than once:
-    ``_row`` (a number given to each row of ``docs``), ``a``, ``b``; they may overlap."""
+    """Byte intervals [``a``, ``b``) of strings of ``length`` bytes that start more than once,
+    by row: ``_id``, ``_row`` (see :func:`keyed`), ``a``, ``b``; they may overlap.
+
+    The result is written; what led to it is deleted."""
     if length < WINDOW + 16:
         raise ValueError(f"strings of at least {WINDOW + 16} bytes")
     core = length - WINDOW + 1
@@ -262,52 +272,61 @@ def repeated_intervals(docs: DataFrame, length: int = 200, id_col: str = "doc_id
             texts = [(t or "").encode() for t in batch.column("_text").to_pylist()]
             buf, t, a, first, last, offset = anchors(texts, length)
             whole = last + length - first
-            row = batch.column("_row").to_numpy()
-            base = offset[t]
+            base, row = offset[t], pa.array(t)
             yield pa.RecordBatch.from_arrays([
-                pa.array(row[t]), pa.array(hash_ranges(buf, a, np.full(len(a), core), 1).view(np.int64)),
+                batch.column("_id").take(row), batch.column("_row").take(row), pa.array(hash_ranges(buf, a, np.full(len(a), core), 1).view(np.int64)),
                 pa.array((hash_ranges(buf, first, whole, 2) ^ _mix((a - first).astype(np.uint64) * M1)).view(np.int64)),
                 pa.array((a - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)),
-            ], ["_row", "core", "whole", "at", "first", "last"])
+            ], ["_id", "_row", "core", "whole", "at", "first", "last"])
 
-    slim = docs.selectExpr("_row", f"`{text_col}` AS _text")
-    found = cut_lineage(map_batches(slim, find, "_row bigint, core bigint, whole bigint, `at` int, first int, last int"))
+    slim = keyed(docs, id_col, text_col).select("_id", "_row", F.col(text_col).alias("_text"))
+    found = cut_lineage(map_batches(slim, find, "_id bigint, _row bigint, core bigint, whole bigint, `at` int, first int, last int"))
     # Map-side combined counts: however many copies there are, one row a task.
-    by_run = found.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("_row", "at", "first", "last")).alias("one"))
+    by_run = found.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row", "at", "first", "last")).alias("one"))
     by_core = by_run.groupBy("core").agg(F.sum("n").alias("_all"), F.count("*").alias("kinds")).where("_all > 1").drop("_all")
     runs = cut_lineage(by_run.join(by_core, "core"))
     repeated = runs.where("n > 1").select("core", "whole")
-    settled = found.join(repeated, ["core", "whole"]).selectExpr("_row", "first AS a", f"last + {length} AS b")
+    settled = found.join(repeated, ["core", "whole"]).selectExpr("_id", "_row", "first AS a", f"last + {length} AS b")
     # Runs that occur once, and one of each kind they may have strings in common with.
     open_runs = runs.where("kinds > 1").selectExpr("core", "kinds", "n = 1 AS ask", "one.*")
-    return settled.unionByName(_borders(slim, open_runs, length, core, tail, rows_per_task, largest_group))
+    around = _contexts(slim, open_runs, length)
+    out = cut_lineage(settled.unionByName(_borders(around, length, core, tail, rows_per_task, largest_group)).distinct())
+    release(found, runs, around)
+    return out
 
 
-def _borders(slim: DataFrame, open_runs: DataFrame, length: int, core: int, tail: int, rows_per_task: int, largest_group: int) -> DataFrame:
-    """Repeated strings among runs of one core that differ as a whole."""
+def _contexts(slim: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
+    """The bytes around the anchors of runs that are not settled by counts."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes around each anchor: reversed to its left, forward to its right."""
         for batch in chunks(batches, "_text"):
-            out = {k: [] for k in ("_row", "core", "kinds", "ask", "at", "first", "last", "left", "right")}
-            for row, text, asked in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), batch.column("asked").to_pylist()):
+            out = {k: [] for k in ("_id", "_row", "core", "kinds", "ask", "at", "first", "last", "left", "right")}
+            for i, row, text, asked in zip(batch.column("_id").to_pylist(), batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), batch.column("asked").to_pylist()):
                 data = (text or "").encode()
                 for x in asked:
                     at, first, last = x["at"], x["first"], x["last"]
                     for k in ("core", "kinds", "ask", "at", "first", "last"):
                         out[k].append(x[k])
+                    out["_id"].append(i)
                     out["_row"].append(row)
                     out["left"].append(data[first:at][::-1])
                     out["right"].append(data[at:last + length])
             if out["_row"]:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-    asked = open_runs.groupBy("_row").agg(F.collect_list(F.struct("core", "kinds", "ask", "at", "first", "last")).alias("asked"))
-    around = cut_lineage(map_batches(
-        slim.join(asked, "_row"), contexts,
-        "_row bigint, core bigint, kinds bigint, ask boolean, `at` int, first int, last int, `left` binary, `right` binary"))
-    ship(slim.sparkSession)
+    asked = open_runs.groupBy("_id", "_row").agg(F.collect_list(F.struct("core", "kinds", "ask", "at", "first", "last")).alias("asked"))
+    # A repeated row is read as often as it occurs; one of them serves.
+    return cut_lineage(map_batches(
+        slim.join(asked, ["_id", "_row"]), contexts,
+        "_id bigint, _row bigint, core bigint, kinds bigint, ask boolean, `at` int, first int, last int, `left` binary, `right` binary"
+    ).dropDuplicates(["_id", "_row", "core", "at"]))
+
+
+def _borders(around: DataFrame, length: int, core: int, tail: int, rows_per_task: int, largest_group: int) -> DataFrame:
+    """Repeated strings among runs of one core that differ as a whole."""
+    ship(around.sparkSession)
     tasks = max(1, -(-around.count() // rows_per_task))
 
     def pad(values, width: int) -> np.ndarray:
@@ -321,12 +340,12 @@ def _borders(slim: DataFrame, open_runs: DataFrame, length: int, core: int, tail
         row, o1, o2 = _runs(dup)
         keep = pdf["ask"].to_numpy()[row]
         row, o1, o2 = row[keep], o1[keep], o2[keep]
-        return pd.DataFrame({"_row": pdf["_row"].to_numpy()[row], "a": at[row] - o2, "b": at[row] - o1 + length})
+        return pd.DataFrame({"_id": pdf["_id"].to_numpy()[row], "_row": pdf["_row"].to_numpy()[row], "a": at[row] - o2, "b": at[row] - o1 + length})
 
     task = F.pmod(F.xxhash64("core"), F.lit(tasks)).cast("int")
     sorted_ = (
         around.where(F.col("kinds") <= largest_group).withColumn("_task", task).drop("kinds")
-        .groupBy("_task").applyInPandas(sort, "_row bigint, a int, b int"))
+        .groupBy("_task").applyInPandas(sort, "_id bigint, _row bigint, a int, b int"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,14 +362,14 @@ def _borders(slim: DataFrame, open_runs: DataFrame, length: int, core: int, tail
                 start = base[which] + inner
                 size = np.full(len(start), length)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("_row").take(pa.array(which)), part.column("ask").take(pa.array(which)), pa.array((first[which] + inner).astype(np.int32)),
+                    part.column("_id").take(pa.array(which)), part.column("_row").take(pa.array(which)), part.column("ask").take(pa.array(which)), pa.array((first[which] + inner).astype(np.int32)),
                     pa.array(hash_ranges(buf, start, size, 3).view(np.int64)), pa.array(hash_ranges(buf, start, size, 4).view(np.int64))],
-                    ["_row", "ask", "a", "h1", "h2"])
+                    ["_id", "_row", "ask", "a", "h1", "h2"])
 
-    strings = map_batches(around.where(F.col("kinds") > largest_group).select("_row", "ask", "first", "last", "left", "right"), spell,
-                          "_row bigint, ask boolean, a int, h1 bigint, h2 bigint")
+    strings = map_batches(around.where(F.col("kinds") > largest_group).select("_id", "_row", "ask", "first", "last", "left", "right"), spell,
+                          "_id bigint, _row bigint, ask boolean, a int, h1 bigint, h2 bigint")
     twice = strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    counted = strings.where("ask").join(twice, ["h1", "h2"]).selectExpr("_row", "a", f"a + {length} AS b")
+    counted = strings.where("ask").join(twice, ["h1", "h2"]).selectExpr("_id", "_row", "a", f"a + {length} AS b")
     return sorted_.unionByName(counted)
 
 
@@ -363,11 +382,8 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     different rows, so they remove each other. ``kept_text`` drops the parts of a
     character that was cut through; the hash is of all kept bytes.
     """
-    # Row numbers follow files and splits, which a re-run could cut otherwise:
-    # they are fixed by writing them with the id and the text's hash.
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    intervals = repeated_intervals(numbered, length, id_col, text_col, **options)
-    by_row = intervals.groupBy("_row").agg(F.collect_set(F.struct("a", "b")).alias("_cut"))
+    intervals = repeated_intervals(docs, length, id_col, text_col, **options)
+    by_row = intervals.groupBy("_id", "_row").agg(F.collect_list(F.struct("a", "b")).alias("_cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
@@ -386,12 +402,12 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 spans.append(len(merged))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(text if not merged else rest.decode(errors="ignore"))
-            names = [c for c in batch.schema.names if c not in ("_row", "_cut")]
+            names = [c for c in batch.schema.names if c not in ("_id", "_row", "_cut")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
                 [*names, "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = numbered.join(by_row, "_row", "left")
+    joined = keyed(docs, id_col, text_col).join(by_row, ["_id", "_row"], "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_batches(joined, cut, fields + ", kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
