@@ -77,7 +77,7 @@ VAL_FRAC = 0.2
 STD_FLOOR = 1e-6
 RATIO_EPS = 1e-9
 # Decision thresholds 0.05, 0.06, ... 0.95.
-THRESHOLD_FIRST_PCT, THRESHOLD_LAST_PCT = 5, 95
+THRESHOLD_FIRST, THRESHOLD_LAST, THRESHOLD_COUNT = 0.05, 0.95, 91
 FALLBACK_THRESHOLD = 0.5
 EDGE_DROP_RATES = [0.0, 0.05, 0.10, 0.20, 0.30]
 SANITY_F1 = 0.85

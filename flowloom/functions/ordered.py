@@ -14,6 +14,7 @@ the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -77,7 +78,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
         Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     ).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     carried = state.select(*group, "_slab", "_first_row", *[_carry(n, k, earlier) for n, (k, _) in spec.items()])
-    joined = laid.join(F.broadcast(carried) if few_groups else carried, [*group, "_slab"], "left")
+    joined = _join_null_safe(laid, F.broadcast(carried) if few_groups else carried, [*group, "_slab"])
     # Rows of a slab are numbered consecutively in sort order, so the rank
     # inside the slab is plain arithmetic; other kinds use a per-slab window.
     rank = {n: F.col("_row") - F.col("_first_row") + 1 for n, (k, _) in spec.items() if k == "position"}
@@ -90,6 +91,13 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
     )
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a NULL key meets a NULL key: such rows are a group."""
+    renamed = right.withColumnsRenamed({c: f"_key_{c}" for c in keys})
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    return left.join(renamed, condition, "left").drop(*[f"_key_{c}" for c in keys])
+
+
 def _local(spec, w):
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -201,11 +209,10 @@ def hash_sample_exact(df: DataFrame, group: Sequence[str], fraction: float, key:
     so the choice is repeatable. Adds the boolean column ``held_out``.
     """
     group = list(group)
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
     marked = df.withColumn("_hash", F.xxhash64(*key, F.lit(seed)) if by is None else by)
-    ranked = running(marked, group, [F.col("_hash"), *key], {"_rank": ("position", None)}, spread=spread)
+    ranked = running(marked, group, [F.col("_hash"), *key],
+                     {"_rank": ("position", None), "_size": ("total", F.lit(1))}, spread=spread)
     return (
-        ranked.join(sizes, group)
-        .withColumn("held_out", F.col("_rank") <= F.rint(F.col("_size") * F.lit(fraction)))
+        ranked.withColumn("held_out", F.col("_rank") <= F.rint(F.col("_size") * F.lit(fraction)))
         .drop("_hash", "_rank", "_size")
     )

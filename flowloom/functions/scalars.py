@@ -247,7 +247,8 @@ def predicted_class(logit0: Column, logit1: Column) -> Column:
 
 
 def at_threshold(proba: Column, t: Column | float) -> Column:
-    return (proba >= t).cast("int")
+    """1 if the score reaches the threshold; a missing score (NULL or NaN) does not."""
+    return F.when(proba.isNull() | F.isnan(proba), 0).otherwise((proba >= t).cast("int"))
 
 
 def focal_loss(logit0: Column, logit1: Column, target: Column, gamma: float = fixed.FOCAL_GAMMA,

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import fixed
 from flowloom.config import GraphConfig, WindowConfig
-from flowloom.functions.ordered import top_per_group
+from flowloom.functions.ordered import small_side, top_per_group
 from flowloom.functions.scalars import entropy_bits, protocol_flags
 from flowloom.operators.windows import (
     WIN, assign_windows, drop_background, endpoints, host_activity, large_enough,
@@ -85,7 +85,9 @@ def select_nodes(activity: DataFrame, win_cfg: WindowConfig | None = None,
     """Active hosts (see ``host_activity``) of the windows that are large enough, at most ``max_nodes``
     per window, numbered by address."""
     cfg = cfg or GraphConfig()
-    kept = large_enough(window_sizes(activity), win_cfg).select(*WIN)
+    # A counted side is joined without a shuffle, so the limit below runs
+    # before the rows of a window meet in one task.
+    kept = small_side(large_enough(window_sizes(activity), win_cfg).select(*WIN))
     eligible = activity.where(F.col("activity") >= cfg.min_flows_per_node).join(kept, WIN, "left_semi")
     busiest = top_per_group(eligible, WIN, [F.desc("activity"), F.asc("ip")], cfg.max_nodes)
     by_name = Window.partitionBy(*WIN).orderBy("ip")

@@ -120,22 +120,21 @@ def pretty(row: dict, per_scenario: list[dict] = (), title: str = "results") ->
 # --- thresholds -----------------------------------------------------------
 
 def threshold_grid() -> list[float]:
-    first, last = fixed.THRESHOLD_FIRST_PCT, fixed.THRESHOLD_LAST_PCT
-    return [float(t) for t in np.linspace(first / 100, last / 100, last - first + 1)]
+    return [float(t) for t in np.linspace(fixed.THRESHOLD_FIRST, fixed.THRESHOLD_LAST, fixed.THRESHOLD_COUNT)]
 
 
 def _thresholds_passed(proba: Column, grid: list[float]) -> Column:
     """How many grid points are <= the score.
 
     The arithmetic guess is at most one off because of rounding; the two
-    neighbours in the grid settle it.
+    neighbours in the grid settle it. A missing score (NULL or NaN) passes none.
     """
     points = F.array(*[F.lit(t) for t in grid])
     step = (grid[-1] - grid[0]) / (len(grid) - 1)
     guess = F.greatest(F.least(F.floor((proba - grid[0]) / step) + 1, F.lit(len(grid))), F.lit(0)).cast("int")
     above = F.coalesce(F.get(points, guess) <= proba, F.lit(False))
     below = F.coalesce(F.get(points, guess - 1) > proba, F.lit(False))
-    return F.when(above, guess + 1).when(below, guess - 1).otherwise(guess)
+    return F.when(proba.isNull() | F.isnan(proba), 0).when(above, guess + 1).when(below, guess - 1).otherwise(guess)
 
 
 def threshold_scores(scored: DataFrame, group: Sequence[str] = (), grid: list[float] | None = None) -> DataFrame:

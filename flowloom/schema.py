@@ -93,8 +93,10 @@ def validate_flow_df(df: DataFrame, strict: bool = True,
             if got != f.dataType:
                 raise SchemaError(
                     f"dtype mismatch for {f.name!r}: want {f.dataType.simpleString()}, got {got.simpleString()}")
-    # A bounded sample of the offending values is enough for the message.
-    bad = invalid_values(df).orderBy("column", F.desc("rows"), "value").limit(20).collect()
+    # Some offending values of each column are enough for the message.
+    found = invalid_values(df)
+    bad = [r for c in ("label", "protocol")
+           for r in found.where(F.col("column") == c).orderBy(F.desc("rows"), "value").limit(20).collect()]
     for column, title in (("label", "Invalid labels"), ("protocol", "Invalid protocols")):
         values = sorted(r["value"] for r in bad if r["column"] == column)
         if values:

@@ -26,6 +26,10 @@ def flow_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 def edge_stream(flows: DataFrame, cfg: WindowConfig | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Works on a stream and, for comparison, on a batch table."""
     cfg = cfg or WindowConfig()
+    if cfg.stride != cfg.window_s:
+        # Sliding windows of the stream would start before the first flow,
+        # which those of the batch job do not.
+        raise ValueError("the edge stream has tumbling windows: stride and width must be equal")
     kept = flows.where(F.col("label").isin("bot", "benign"))
     if kept.isStreaming:
         kept = kept.withWatermark("start_time", lateness)

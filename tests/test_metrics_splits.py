@@ -134,3 +134,17 @@ def test_class_weights(spark):
     assert (w["w_neg"], w["w_pos"]) == (pytest.approx(10 / 18), 5)
     none = scaling.class_weights(spark.createDataFrame([(0,)] * 5, "y int")).first()
     assert math.isfinite(none["w_pos"]) and none["w_pos"] > none["w_neg"]
+
+
+def test_missing_scores_pass_no_threshold(spark):
+    from flowloom.functions.scalars import at_threshold
+    from flowloom.operators.metrics import best_threshold
+    from pyspark.sql import functions as F
+
+    rows = [(1, None), (1, float("nan")), (0, None), (1, 0.6), (0, 0.2)]
+    scored = spark.createDataFrame(rows, "y_true int, proba double")
+    assert [r.p for r in scored.select(at_threshold(F.col("proba"), 0.5).alias("p")).collect()] == [0, 0, 0, 1, 0]
+    best = best_threshold(scored).collect()[0]
+    assert best.f1 == pytest.approx(0.5) and best.threshold == pytest.approx(0.21)
+    lost = best_threshold(spark.createDataFrame(rows[:3], "y_true int, proba double")).collect()[0]
+    assert (lost.threshold, lost.f1) == (0.5, -1.0)

@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from flowloom.plans import catalog
 
 ORACLE = entry.oracle_sql()
 WITHOUT_SQL = {"forest_baseline", "forest_importances", "boosted_baseline", "sanity_check"}
@@ -15,7 +16,9 @@ def con(sf):
 
 
 def test_registry():
-    assert set(ORACLE) | WITHOUT_SQL == set(entry.queries())
+    # Queries of the optional subpackage have their own tests.
+    assert set(catalog.ORACLE) | WITHOUT_SQL == set(catalog.QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
