@@ -193,15 +193,21 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         .select("node", "_table", "_value", (F.col("_fp") == F.col("_value")).alias("_own"))
     )
     by_ball = Window.partitionBy("_table", "_value")
-    met = cut_lineage(balls.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
+
+    def centred(rows: DataFrame) -> DataFrame:
+        """Balls of several nodes with their centres, by one shuffle: the text whose
+        fingerprint is the ball's value, and the smallest id."""
+        return cut_lineage(
+            rows.withColumns({"_n": F.count("*").over(by_ball), "_low": F.min("node").over(by_ball),
+                              "_mid": F.min(F.when(F.col("_own"), F.col("node"))).over(by_ball)}).where("_n > 1").drop("_n"))
+
+    met = centred(balls)
     shingles = cut_lineage(
         map_batches(slim.withColumnRenamed("_id", "node").join(small_side(met.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]),
                     sets, "node bigint, shingles binary"))
     found, first = None, True
     while True:
-        # Centres of a ball: the text whose fingerprint is the ball's value, and the smallest id.
-        centred = met.withColumns({"_mid": F.min(F.when(F.col("_own"), F.col("node"))).over(by_ball), "_low": F.min("node").over(by_ball)})
-        near = centred.where("node <> _low OR node <> _mid").select("node", "_table", "_mid", "_low")
+        near = met.where("node <> _low OR node <> _mid").select("node", "_table", "_mid", "_low")
         if first:
             # The smallest centres of each table; most copies have their original among them.
             near = near.groupBy("node", "_table").agg(F.min("_mid").alias("_mid"), F.min("_low").alias("_low"))
@@ -214,7 +220,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             # The others go on with all centres of their balls, found partners among them.
             first = False
             rest = cut_lineage(
-                centred.join(linked, "node", "left_anti").select("node", F.explode(F.array("_mid", "_low")).alias("_c"))
+                met.join(linked, "node", "left_anti").select("node", F.explode(F.array("_mid", "_low")).alias("_c"))
                 .where("_c <> node").select(F.least("_c", "node").alias("a"), F.greatest("_c", "node").alias("b")).distinct()
                 .join(judged.select("a", "b"), ["a", "b"], "left_anti"))
             again = cut_lineage(_similar(rest, shingles, similarity)).where("ok").select("a", "b")
@@ -225,8 +231,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         if not new.limit(1).count():
             break
         used = (F.col("node") == F.col("_low")) | (F.col("node") == F.coalesce("_mid", "_low"))
-        left = centred.where(~used).join(linked, "node", "left_anti").drop("_mid", "_low")
-        before, met = met, cut_lineage(left.withColumn("_n", F.count("*").over(by_ball)).where("_n > 1").drop("_n"))
+        before, met = met, centred(met.where(~used).join(linked, "node", "left_anti").drop("_mid", "_low"))
         release(before)
     release(met, shingles)
     groups = components(found, "a", "b")
