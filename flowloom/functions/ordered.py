@@ -7,8 +7,9 @@ group and order key, so a big group covers many slabs), the computation runs
 inside each slab, and one small row per slab and group carries the state of the
 earlier slabs over.
 
-Inputs whose planned size is small use the plain window instead; both ways give
-the same rows.
+This is the way at every size: the number of slabs follows the written size of
+the rows. The plain window is an explicit choice (``spread=False``) for groups
+the caller knows to be bounded; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.session import cut_lineage
+from flowloom.session import cut_lineage, drop_stage
 
-SINGLE_TASK_BYTES = 64 * 1024 * 1024
+SLAB_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -28,24 +30,27 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def is_small(df: DataFrame, limit: int = SINGLE_TASK_BYTES) -> bool:
-    return planned_bytes(df) <= limit
-
-
-def lay_out(df: DataFrame, group: Sequence[str], order: Sequence[Column], slabs: int | None = None) -> DataFrame:
+def lay_out(df: DataFrame, group: Sequence[str], order: Sequence[Column], slabs: int | None = None,
+            slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """Cut ``df`` into ordered slabs and tag rows with ``_slab`` and ``_row``.
 
-    The result is written to the shared folder: slab borders come from
-    sampling, so a second evaluation could draw others.
+    The rows are written once, because the slab borders take a pass of their
+    own and the number of slabs follows the written size: about ``slab_bytes``
+    each, and at least the session's shuffle partitions. The result is written
+    as well, as a second evaluation could draw other borders; the first copy is
+    deleted then.
     """
     keys = [*[F.col(c) for c in group], *order]
-    ranged = df.repartitionByRange(slabs, *keys) if slabs else df.repartitionByRange(*keys)
-    numbered = ranged.sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
-    return cut_lineage(numbered.withColumn("_slab", F.shiftright("_row", 33).cast("int")))
+    copy = cut_lineage(df)
+    slabs = slabs or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(copy) // slab_bytes))
+    numbered = copy.repartitionByRange(slabs, *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
+    laid = cut_lineage(numbered.withColumn("_slab", F.shiftright("_row", 33).cast("int")))
+    drop_stage(copy)
+    return laid
 
 
 def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec: dict[str, tuple[str, Column | None]],
-            spread: bool | None = None, slabs: int | None = None, few_groups: bool = False) -> DataFrame:
+            spread: bool = True, slabs: int | None = None, few_groups: bool = False) -> DataFrame:
     """Add running values per ``group`` in the total order ``order``.
 
     ``spec`` maps a new column to ``(kind, column)``:
@@ -56,13 +61,10 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
     ``previous``     value of the preceding row, NULL for the first
     ``total``        sum over the whole group
 
-    ``spread`` forces the slab way (True) or the plain window (False); by
-    default the planned input size decides. ``few_groups`` promises that groups
-    are no more numerous than slabs, so that the carried state (one row per
-    slab and group) may be broadcast; rows then stay where they are.
+    ``spread=False`` asks for the plain window. With ``few_groups`` the carried
+    state (one row per slab and group) is written, counted, and broadcast if it
+    is small (:func:`small_side`); rows then stay where they are.
     """
-    if spread is None:
-        spread = not is_small(df)
     group = list(group)
     if not spread:
         w = Window.partitionBy(*group).orderBy(*order) if group else Window.partitionBy(F.lit(0)).orderBy(*order)
@@ -78,7 +80,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], spec:
         Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     ).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     carried = state.select(*group, "_slab", "_first_row", *[_carry(n, k, earlier) for n, (k, _) in spec.items()])
-    joined = _join_null_safe(laid, F.broadcast(carried) if few_groups else carried, [*group, "_slab"])
+    joined = _join_null_safe(laid, small_side(carried) if few_groups else carried, [*group, "_slab"])
     # Rows of a slab are numbered consecutively in sort order, so the rank
     # inside the slab is plain arithmetic; other kinds use a per-slab window.
     rank = {n: F.col("_row") - F.col("_first_row") + 1 for n, (k, _) in spec.items() if k == "position"}
@@ -145,7 +147,7 @@ def _combine(name, kind):
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-                  spread: bool | None = None) -> DataFrame:
+                  spread: bool = True) -> DataFrame:
     """The first ``k`` rows of every group in a total order.
 
     Up to Spark's group-limit threshold the rank filter is applied per task
@@ -157,18 +159,19 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A reduced table as join side: broadcast if it has at most ``max_rows``.
+def small_side(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A reduced table as join side: broadcast if it has at most ``max_rows``
+    and at most ``max_bytes`` as written.
 
     The table is written out, counted, and only then given the hint; a larger
     one is joined by shuffle, where adaptive execution splits hot keys.
     """
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return F.broadcast(kept) if planned_bytes(kept) <= max_bytes and kept.count() <= max_rows else kept
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], qs: dict[str, tuple[str, float]],
-                    spread: bool | None = None) -> DataFrame:
+                    spread: bool = True) -> DataFrame:
     """Linear-interpolated quantiles per group, without holding a group.
 
     ``qs`` maps a result column to ``(value column, quantile)``; NULL values
@@ -183,8 +186,6 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], qs: dict[str, tuple[str
         df.select(*group, item.alias("_i")).where("_i.v IS NOT NULL")
         .groupBy(*group, F.col("_i.c").alias("_c"), F.col("_i.v").alias("_v")).agg(F.count("*").alias("_n"))
     )
-    if spread is None:
-        spread = not is_small(df)
     placed = running(counts, [*group, "_c"], [F.col("_v")],
                      {"_cum": ("sum", F.col("_n")), "_total": ("total", F.col("_n"))}, spread=spread)
     picks, out = [], []
@@ -202,7 +203,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], qs: dict[str, tuple[str
 
 
 def hash_sample_exact(df: DataFrame, group: Sequence[str], fraction: float, key: Sequence[Column], seed: int,
-                      spread: bool | None = None, by: Column | None = None) -> DataFrame:
+                      spread: bool = True, by: Column | None = None) -> DataFrame:
     """Mark exactly ``round(fraction * n)`` rows of every group as held out.
 
     Rows are taken in the order of a seeded hash of their key (or of ``by``),

@@ -44,13 +44,14 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def score_counts(scored: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return scored.groupBy(*group, "proba").agg(
+    """Positives and negatives per distinct score. Missing scores (NULL or NaN)
+    are one step, behind all others."""
+    return scored.withColumn("proba", F.when(~F.isnan("proba"), F.col("proba"))).groupBy(*group, "proba").agg(
         F.count(F.when(F.col("y_true") == 1, 1)).alias("pos"),
         F.count(F.when(F.col("y_true") != 1, 1)).alias("neg"))
 
 
-def ranking_curve(scored: DataFrame, group: Sequence[str] = (), spread: bool | None = None) -> DataFrame:
+def ranking_curve(scored: DataFrame, group: Sequence[str] = (), spread: bool = True) -> DataFrame:
     """Cumulative true and false positives by falling score, ties as one step.
 
     If scores are nearly all distinct, the running sums go through ordered
@@ -60,7 +61,7 @@ def ranking_curve(scored: DataFrame, group: Sequence[str] = (), spread: bool | N
                    {"tp_cum": ("sum", F.col("pos")), "fp_cum": ("sum", F.col("neg"))}, spread=spread)
 
 
-def ranking_areas(scored: DataFrame, group: Sequence[str] = (), spread: bool | None = None) -> DataFrame:
+def ranking_areas(scored: DataFrame, group: Sequence[str] = (), spread: bool = True) -> DataFrame:
     """Average precision (step sum) and ROC area (ties count half).
 
     The ROC area is NULL with a single class; average precision is NULL
@@ -80,7 +81,7 @@ def _with_scores(scored: DataFrame) -> DataFrame:
     return scored if "proba" in scored.columns else scored.withColumn("proba", F.col("y_pred").cast("double"))
 
 
-def evaluate(scored: DataFrame, group: Sequence[str] = (), spread: bool | None = None) -> DataFrame:
+def evaluate(scored: DataFrame, group: Sequence[str] = (), spread: bool = True) -> DataFrame:
     """The full metric row, overall or per ``group``."""
     scored = _with_scores(scored)
     base = rates(confusion(scored, group))
@@ -93,7 +94,7 @@ def evaluate(scored: DataFrame, group: Sequence[str] = (), spread: bool | None =
     return both.select(*group, *METRICS)
 
 
-def evaluate_per_scenario(scored: DataFrame, spread: bool | None = None) -> DataFrame:
+def evaluate_per_scenario(scored: DataFrame, spread: bool = True) -> DataFrame:
     """n, positives, F1 and average precision of each scenario."""
     return evaluate(scored, ["scenario"], spread).select("scenario", "n", "n_pos", "f1", "pr_auc")
 

@@ -72,10 +72,15 @@ def neighbourhood_sum(nodes: DataFrame, edges: DataFrame, columns: Sequence[str]
                       eps: float = 0.0, hops: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
     """``(1 + eps) * x + sum of relu(x_source + e)`` over incoming edges.
 
-    Each hop is one join and one partial aggregate; between hops the node
-    table is checkpointed so that the plan does not grow with the hop count.
+    Each hop is one join and one partial aggregate. With more than one hop both
+    tables are written first, so that no hop derives them anew; between hops
+    the node table is checkpointed so that the plan does not grow with the hop
+    count.
     """
     current = nodes
+    if hops > 1:
+        current, edges = cut_lineage(nodes), cut_lineage(
+            edges.select(*keys, "src_idx", "dst_idx", *([edge_column] if edge_column else [])))
     for hop in range(hops):
         if hop:
             current = cut_lineage(current)

@@ -26,7 +26,7 @@ def _keyed(packets: DataFrame) -> DataFrame:
         "from_lo", F.struct(F.col("src").alias("ip"), F.col("sport").alias("port")) == F.col("lo"))
 
 
-def packet_gaps(packets: DataFrame, compat_first_ts: bool = False, spread: bool | None = None) -> DataFrame:
+def packet_gaps(packets: DataFrame, compat_first_ts: bool = False, spread: bool = True) -> DataFrame:
     """Packets of each conversation with the gap to the previous one in ms.
 
     A gap is measured between successive new maxima of the capture-order
@@ -49,7 +49,7 @@ def packet_gaps(packets: DataFrame, compat_first_ts: bool = False, spread: bool
 
 
 def assemble_flows(packets: DataFrame, max_packets: int | None = None, compat_first_ts: bool = False,
-                   spread: bool | None = None) -> DataFrame:
+                   spread: bool = True) -> DataFrame:
     """Packets -> one row per conversation, source = sender of its first packet.
 
     Everything but the gap is a partial aggregate, combined before the shuffle.
@@ -79,7 +79,7 @@ def assemble_flows(packets: DataFrame, max_packets: int | None = None, compat_fi
 
 
 def packets_to_flows(packets: DataFrame, max_packets: int | None = None, compat_first_ts: bool = False,
-                     scenario_id: str | None = None, spread: bool | None = None) -> DataFrame:
+                     scenario_id: str | None = None, spread: bool = True) -> DataFrame:
     """Packets -> canonical flow table; class and family come from the file name."""
     from flowloom.sources.logs import assign_flow_ids
 
@@ -102,7 +102,7 @@ def packets_to_flows(packets: DataFrame, max_packets: int | None = None, compat_
 
 
 def conversations(packets: DataFrame, max_flows: int | None = None, max_packets: int | None = None,
-                  spread: bool | None = None) -> DataFrame:
+                  spread: bool = True) -> DataFrame:
     """The short form: first and last seen, packets and bytes per conversation.
 
     ``max_flows`` keeps the conversations that started first in each file.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom import fixed
-from flowloom.functions.ordered import exact_quantiles, is_small, running
+from flowloom.functions.ordered import exact_quantiles, running
 from flowloom.operators.windows import WIN
 
 
@@ -102,7 +102,7 @@ def top_capture_sources(convs: DataFrame, k: int = 10) -> DataFrame:
 
 # --- host traffic ---------------------------------------------------------
 
-def host_gaps(pkts: DataFrame, spread: bool | None = None) -> DataFrame:
+def host_gaps(pkts: DataFrame, spread: bool = True) -> DataFrame:
     """Seconds since the host's previous packet in capture order."""
     prev = running(pkts, ["src"], [F.col("file"), F.col("packet_no")], {"_prev": ("previous", F.col("ts"))}, spread=spread)
     return prev.withColumn("gap_s", F.col("ts") - F.col("_prev")).drop("_prev")
@@ -116,14 +116,12 @@ def protocol_shares(pkts: DataFrame) -> DataFrame:
     return n.withColumn("percent", F.col("packets") * 100 / total)
 
 
-def host_profile(pkts: DataFrame, spread: bool | None = None) -> DataFrame:
+def host_profile(pkts: DataFrame, spread: bool = True) -> DataFrame:
     """Rate, sizes, gaps and peers of every sending host, one row each.
 
     Only positive gaps count. ``rhythm`` is bursty when the coefficient of
     variation of the gaps exceeds 1.
     """
-    if spread is None:
-        spread = not is_small(pkts)
     gaps = host_gaps(pkts, spread).withColumn("gap_s", F.when(F.col("gap_s") > 0, F.col("gap_s")))
     basic = gaps.groupBy("src").agg(
         F.count("*").alias("packets"), (F.max("ts") - F.min("ts")).alias("span_s"),
@@ -146,29 +144,27 @@ def host_profile(pkts: DataFrame, spread: bool | None = None) -> DataFrame:
         }).drop("_gap_mean", "_gap_std"))
 
 
-def peer_churn(pkts: DataFrame, spread: bool | None = None) -> DataFrame:
+def peer_churn(pkts: DataFrame, spread: bool = True) -> DataFrame:
     """Distinct peers contacted after each quarter of a host's packets.
 
     A peer counts from its first packet on, so only one position per peer is
-    kept; the running set is never built.
+    kept; the running set is never built. Packets are read once: the times at
+    the quarters are conditional minima of the same aggregate.
     """
-    if spread is None:
-        spread = not is_small(pkts)
     order = [F.col("ts"), F.col("file"), F.col("packet_no")]
     placed = running(pkts.select("src", "dst_ip", "ts", "file", "packet_no"), ["src"], order,
-                     {"pos": ("position", None)}, spread=spread)
-    n = placed.groupBy("src").agg(F.count("*").alias("n"), F.min("ts").alias("t0"))
-    cuts = n.withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn(
-        "cut", F.greatest(F.floor(F.col("n") / 4), F.lit(1)) * F.col("quarter")).where("cut <= n")
-    firsts = placed.groupBy("src", "dst_ip").agg(F.min("pos").alias("first_pos"))
-    step = F.greatest(F.floor(F.col("n") / 4), F.lit(1))
-    known = firsts.join(n, "src").groupBy("src").agg(*[
-        F.count(F.when(F.col("first_pos") <= step * q, 1)).alias(f"q{q}") for q in (1, 2, 3, 4)])
-    at = placed.select("src", F.col("pos").alias("cut"), "ts")
+                     {"pos": ("position", None), "n": ("total", F.lit(1))}, spread=spread)
+    quarters, step = (1, 2, 3, 4), F.greatest(F.floor(F.col("n") / 4), F.lit(1))
+    by_peer = placed.groupBy("src", "dst_ip").agg(
+        F.min("pos").alias("first_pos"), F.max("n").alias("n"), F.min("ts").alias("t0"),
+        *[F.min(F.when(F.col("pos") == step * q, F.col("ts"))).alias(f"at{q}") for q in quarters])
+    by_host = by_peer.groupBy("src").agg(
+        F.max("n").alias("n"), F.min("t0").alias("t0"),
+        F.array(*[F.struct(F.lit(q).alias("quarter"), F.min(f"at{q}").alias("ts"),
+                           F.count(F.when(F.col("first_pos") <= step * q, 1)).alias("peers")) for q in quarters]).alias("quarters"))
     return (
-        cuts.join(at, ["src", "cut"]).join(known, "src")
-        .select("src", "quarter", (F.col("ts") - F.col("t0")).alias("t_rel_s"),
-                F.get(F.array("q1", "q2", "q3", "q4"), F.col("quarter") - 1).alias("peers")))
+        by_host.select("src", "n", "t0", F.explode("quarters").alias("q")).where(step * F.col("q.quarter") <= F.col("n"))
+        .select("src", "q.quarter", (F.col("q.ts") - F.col("t0")).alias("t_rel_s"), "q.peers"))
 
 
 def histogram(df: DataFrame, value: str, group: Sequence[str] = (), bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
@@ -216,7 +212,7 @@ def matched_windows(nodes: DataFrame, lengths: DataFrame) -> DataFrame:
     return nodes.join(lengths.select(*WIN, "ip", "seq_len"), [*WIN, "ip"])
 
 
-def window_size_stats(graphs: DataFrame, spread: bool | None = None) -> DataFrame:
+def window_size_stats(graphs: DataFrame, spread: bool = True) -> DataFrame:
     """Nodes and edges per window: mean, median, smallest, largest."""
     base = graphs.groupBy("scenario").agg(
         F.count("*").alias("windows"), F.sum("n_nodes").alias("n_total"), F.sum("n_bot_nodes").alias("n_pos"),
@@ -226,7 +222,7 @@ def window_size_stats(graphs: DataFrame, spread: bool | None = None) -> DataFram
     return base.join(exact_quantiles(graphs, ["scenario"], medians, spread), "scenario")
 
 
-def flows_per_node_stats(matched: DataFrame, spread: bool | None = None) -> DataFrame:
+def flows_per_node_stats(matched: DataFrame, spread: bool = True) -> DataFrame:
     """Sequence lengths by class: mean, median, p10, p90, share up to 1 and 3."""
     key = ["scenario", "y"]
     base = matched.groupBy(*key).agg(

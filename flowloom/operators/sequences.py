@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom import fixed
 from flowloom.config import SequenceConfig, WindowConfig
-from flowloom.functions.ordered import is_small, running, top_per_group
+from flowloom.functions.ordered import running, top_per_group
 from flowloom.functions.scalars import log1p_or_zero, micros, protocol_flags
 from flowloom.operators.windows import WIN
 
@@ -51,7 +51,7 @@ def evenly_picked(rank0: Column, n: Column, m: int) -> Column:
     """
     if m == 1:
         return (rank0 == 0) | (n <= 1)
-    step = (n - 1) / F.lit(float(m - 1))
+    step = F.greatest(n - 1, F.lit(1)) / F.lit(float(m - 1))
     near = F.rint(rank0 / step)
     hit = F.lit(False)
     for d in (-1, 0, 1):
@@ -61,32 +61,25 @@ def evenly_picked(rank0: Column, n: Column, m: int) -> Column:
     return (n <= m) | hit
 
 
-def sample_sequences(rows: DataFrame, cfg: SequenceConfig, spread: bool, by: Column | None = None) -> DataFrame:
+def sample_sequences(rows: DataFrame, cfg: SequenceConfig, spread: bool = True, by: Column | None = None) -> DataFrame:
     """At most ``max_flows`` rows per host.
 
     Hash sample (by a hash of flow, seed and host, or by the given column): the
     first rows per host in hash order, pruned before the shuffle. Even picks:
-    only hosts above the cap need exact ranks; those go through the ordered
-    slabs, so a host with a third of all flows is cut over many tasks.
+    rank and size of a host come from one ordered pass, so a host with a third
+    of all flows is cut over many tasks.
     """
     m = cfg.max_flows
     if not cfg.even:
         h = F.xxhash64("flow_id", F.lit(cfg.seed), "ip") if by is None else by
         return top_per_group(rows, NODE, [h, F.col("flow_id")], m, spread)
 
-    sizes = rows.groupBy(*NODE).agg(F.count("*").alias("_n"))
-    sized = rows.join(sizes, NODE)
-    order, position = [F.col(c) for c in _TIME], {"_p": ("position", None)}
-    pick = evenly_picked(F.col("_p") - 1, F.col("_n"), m)
-    if not spread:
-        return running(sized, NODE, order, position, spread=False).where(pick).drop("_p", "_n")
-    whole = sized.where(F.col("_n") <= m).drop("_n")
-    ranked = running(sized.where(F.col("_n") > m), NODE, order, position, spread=True)
-    return whole.unionByName(ranked.where(pick).drop("_p", "_n"))
+    ranked = running(rows, NODE, [F.col(c) for c in _TIME], {"_p": ("position", None), "_n": ("total", F.lit(1))}, spread=spread)
+    return ranked.where(evenly_picked(F.col("_p") - 1, F.col("_n"), m)).drop("_p", "_n")
 
 
 def build_sequences(windowed: DataFrame, nodes: DataFrame, win_cfg: WindowConfig | None = None,
-                    cfg: SequenceConfig | None = None, spread: bool | None = None,
+                    cfg: SequenceConfig | None = None, spread: bool = True,
                     by: Column | None = None, few_nodes: bool = False) -> DataFrame:
     """Long sequence table: one row per node and position, oldest flow first.
 
@@ -96,9 +89,6 @@ def build_sequences(windowed: DataFrame, nodes: DataFrame, win_cfg: WindowConfig
     these are scanned.
     """
     win_cfg, cfg = win_cfg or WindowConfig(), cfg or SequenceConfig()
-    if spread is None:
-        # Join size estimates are products; the flows themselves are the bound.
-        spread = not is_small(windowed)
     wanted = nodes.select(*NODE, "node_idx")
     rows = touching(windowed)
     if few_nodes:

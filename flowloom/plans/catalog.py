@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from flowloom import fixed
 from flowloom.config import GraphConfig, SequenceConfig, SplitSpec, WindowConfig
 from flowloom.functions import scalars as S
+from flowloom.functions.ordered import exact_quantiles, running
 from flowloom.operators import (
     graph as G, metrics as M, models, neighbourhood as N, packets as P, profile as R, reports,
     scaling, sequences as Q, splits, windows as W,
@@ -23,7 +24,7 @@ from flowloom.operators import (
 from flowloom.plans import views as V
 from flowloom.plans.oracle import r, sql
 from flowloom import schema
-from flowloom.session import checkpoint_dir
+from flowloom.session import checkpoint_dir, cut_lineage
 from flowloom.sources import logs, stores
 from flowloom.streaming import edges as stream
 
@@ -76,6 +77,12 @@ def built(spark, sf, cfg: GraphConfig = V.GRAPHS) -> G.GraphBuild:
     return G.build_graphs(V.flows(spark, sf), V.WINDOWS, cfg)
 
 
+def stored(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges written once, for queries that read them several times."""
+    g = built(spark, sf)
+    return cut_lineage(g.nodes), cut_lineage(g.edges)
+
+
 def selected(spark, sf, cfg: GraphConfig = V.GRAPHS) -> DataFrame:
     return G.select_nodes(W.host_activity(windowed(spark, sf)), V.WINDOWS, cfg)
 
@@ -541,8 +548,9 @@ WITH tr AS (SELECT nodes.* FROM nodes JOIN splits USING (scenario, ws) WHERE spl
 SELECT n.scenario, n.ws, n.ip, {_STD} FROM nodes n JOIN splits USING (scenario, ws) WHERE split = 'test'""")
 def _(spark, sf):
     g, a = _assigned(spark, sf)
-    scaler = scaling.fit_feature_scaler(splits.load_split(a, "train", g.nodes))
-    return tidy(scaler.apply(splits.load_split(a, "test", g.nodes)).select(*W.WIN, "ip", *_N))
+    nodes, a = cut_lineage(g.nodes), cut_lineage(a)
+    scaler = scaling.fit_feature_scaler(splits.load_split(a, "train", nodes))
+    return tidy(scaler.apply(splits.load_split(a, "test", nodes)).select(*W.WIN, "ip", *_N))
 
 
 @query("class_weights", f"""
@@ -588,6 +596,17 @@ def _(spark, sf):
     return tidy(M.evaluate(V.scored(spark, sf)))
 
 
+def _missing(spark, sf) -> DataFrame:
+    """Scored nodes of which run 2 has NULL and run 3 NaN scores."""
+    s = V.scored(spark, sf).withColumn("proba", F.when(F.col("run") == 3, F.lit(float("nan"))).when(F.col("run") != 2, F.col("proba")))
+    return s.withColumn("y_pred", S.at_threshold(F.col("proba"), 0.5))
+
+
+@query("evaluate_missing_scores", _eval_sql("scenario", "scenario", f"n, n_pos, {_F1}, {r('pr_auc')}").replace("scored", "missing"))
+def _(spark, sf):
+    return tidy(M.evaluate_per_scenario(_missing(spark, sf)))
+
+
 @query("evaluate_per_scenario", _eval_sql("scenario", "scenario", f"n, n_pos, {_F1}, {r('pr_auc')}"))
 def _(spark, sf):
     return tidy(M.evaluate_per_scenario(V.scored(spark, sf)))
@@ -613,6 +632,11 @@ def _(spark, sf):
     return tidy(M.best_threshold(V.scored(spark, sf)))
 
 
+@query("best_threshold_missing_scores", _best_sql("scenario").replace("scored", "missing"))
+def _(spark, sf):
+    return tidy(M.best_threshold(_missing(spark, sf), ["scenario"]))
+
+
 @query("best_threshold_per_scenario", _best_sql("scenario"))
 def _(spark, sf):
     return tidy(M.best_threshold(V.scored(spark, sf), ["scenario"]))
@@ -832,6 +856,52 @@ def _(spark, sf):
     return R.host_gaps(P.host_packets(V.packets(spark, sf))).select("src", "packet_no", (F.round("gap_s", 3) + 0.0).alias("gap_s"))
 
 
+# A NULL group with a third of the rows.
+_NULLED = "CASE WHEN {k} % 3 > 0 THEN {c} END AS {c}"
+
+
+def _nulled(df: DataFrame, k: str, c: str) -> DataFrame:
+    return df.withColumn(c, F.when(F.col(k) % 3 > 0, F.col(c)))
+
+
+@query("host_gaps_spread", f"""
+SELECT src, packet_no, round(ts - lag(ts) OVER (PARTITION BY src ORDER BY file, packet_no), 3) + 0.0 AS gap_s
+FROM (SELECT {_NULLED.format(k='packet_no', c='src')}, file, packet_no, ts FROM hostp)""")
+def _(spark, sf):
+    gaps = R.host_gaps(_nulled(P.host_packets(V.packets(spark, sf)), "packet_no", "src"))
+    return gaps.select("src", "packet_no", (F.round("gap_s", 3) + 0.0).alias("gap_s"))
+
+
+@query("ordered_null_groups", f"""
+SELECT flow_id, src_ip, row_number() OVER o AS position, CAST(sum(bytes_fwd) OVER o AS BIGINT) AS running,
+       max(bytes_fwd) OVER (PARTITION BY src_ip ORDER BY us, flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before,
+       lag(bytes_fwd) OVER o AS previous, CAST(sum(bytes_fwd) OVER (PARTITION BY src_ip) AS BIGINT) AS total
+FROM (SELECT flow_id, us, bytes_fwd, {_NULLED.format(k='flow_id', c='src_ip')} FROM flows)
+WINDOW o AS (PARTITION BY src_ip ORDER BY us, flow_id)""")
+def _(spark, sf):
+    v = F.col("bytes_fwd")
+    f = _nulled(V.flows(spark, sf), "flow_id", "src_ip").select("flow_id", "src_ip", "start_time", "bytes_fwd")
+    out = running(f, ["src_ip"], [F.col("start_time"), F.col("flow_id")], {
+        "position": ("position", None), "running": ("sum", v), "max_before": ("max_before", v),
+        "previous": ("previous", v), "total": ("total", v)})
+    return out.drop("start_time", "bytes_fwd").withColumn("position", F.col("position").cast("bigint"))
+
+
+@query("flow_ids_spread", f"""
+SELECT CAST(row_number() OVER (PARTITION BY scenario ORDER BY us) - 1 AS BIGINT) AS flow_id, scenario, us AS start_time
+FROM (SELECT us, {_NULLED.format(k='flow_id', c='scenario')} FROM flows)""")
+def _(spark, sf):
+    return tidy(logs.assign_flow_ids(_nulled(V.flows(spark, sf), "flow_id", "scenario")).select("flow_id", "scenario", "start_time"))
+
+
+@query("quantiles_spread", f"""
+SELECT src_ip, {r('quantile_cont(CAST(bytes_fwd AS DOUBLE), 0.5)', 'bytes_median')}, {r('quantile_cont(duration_s, 0.9)', 'duration_p90')}
+FROM (SELECT bytes_fwd, duration_s, {_NULLED.format(k='flow_id', c='src_ip')} FROM flows) GROUP BY src_ip""")
+def _(spark, sf):
+    f = _nulled(V.flows(spark, sf), "flow_id", "src_ip")
+    return tidy(exact_quantiles(f, ["src_ip"], {"bytes_median": ("bytes_fwd", 0.5), "duration_p90": ("duration_s", 0.9)}))
+
+
 @query("peer_churn", """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, file, packet_no) AS pos, count(*) OVER (PARTITION BY src) AS n,
                   min(ts) OVER (PARTITION BY src) AS t0 FROM hostp),
@@ -963,9 +1033,9 @@ WITH s AS ({_SHARES}), p AS (SELECT avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) A
 w AS (SELECT p0, p1, 1 + 0.5 * ((1 / p0) / ((1 / p0 + 1 / p1) / 2) - 1) AS w0, 1 + 0.5 * ((1 / p1) / ((1 / p0 + 1 / p1) / 2) - 1) AS w1 FROM p)
 SELECT scenario, ws, node_idx, {r('logit0 - 1.5 * (share_0 - p0) * w0', 'adjusted0')}, {r('logit1 - 1.5 * (share_1 - p1) * w1', 'adjusted1')} FROM s, w""")
 def _(spark, sf):
-    g = built(spark, sf)
-    shares = N.neighbour_classes(_logits(g.nodes), g.edges)
-    return tidy(N.topology_margin(shares, N.class_prior(g.nodes)).select(*W.WIN, "node_idx", "adjusted0", "adjusted1"))
+    nodes, edges = stored(spark, sf)
+    shares = N.neighbour_classes(_logits(nodes), edges)
+    return tidy(N.topology_margin(shares, N.class_prior(nodes)).select(*W.WIN, "node_idx", "adjusted0", "adjusted1"))
 
 
 _FOCAL = "CASE WHEN y = 1 THEN {a}logit1 ELSE {b}logit0 END"

@@ -11,6 +11,7 @@ from flowloom.operators.scaling import fit_edge_scaler, fit_feature_scaler
 from flowloom.operators.sequences import build_sequences
 from flowloom.operators.splits import assign_splits, load_split
 from flowloom.operators.windows import assign_windows, drop_background
+from flowloom.session import stages
 from flowloom.sources import stores
 from flowloom.sources.logs import parse_binetflow, parse_zeek
 
@@ -19,7 +20,8 @@ PARSERS = {"ctu13": parse_binetflow, "iot23": parse_zeek}
 
 def parse_logs(spark: SparkSession, kind: str, path: str, out: str, scenario_id: str | None = None) -> DataFrame:
     """Parse every log of one kind below ``path`` into the flow store."""
-    stores.write_flows(PARSERS[kind](spark, path, scenario_id, spread=True), out, in_slabs=True)
+    with stages(spark):
+        stores.write_flows(PARSERS[kind](spark, path, scenario_id), out, in_slabs=True)
     return profile.label_totals(stores.read_flows(spark, out))
 
 
@@ -49,7 +51,8 @@ def sequences_job(spark: SparkSession, flow_path: str, graph_path: str, out: str
         nodes = stores.not_yet_written(nodes, out)
     windowed = assign_windows(flows if keep_background else drop_background(flows), win_cfg)
     few = nodes.count() <= BROADCAST_NODES
-    stores.write_sequences(build_sequences(windowed, nodes, win_cfg, cfg, few_nodes=few), out)
+    with stages(spark):
+        stores.write_sequences(build_sequences(windowed, nodes, win_cfg, cfg, few_nodes=few), out)
 
 
 def scaled_split(spark: SparkSession, graph_path: str, spec: SplitSpec, name: str) -> tuple[DataFrame, DataFrame]:

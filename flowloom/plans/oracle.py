@@ -176,6 +176,9 @@ SELECT l_linestatus AS scenario, concat(l_orderkey, '-', l_linenumber) AS node_k
        CAST((CAST(l_quantity AS BIGINT) * 2 % 100) AS DOUBLE) / CAST(100 AS DOUBLE) AS proba
 FROM lineitem"""
 
+CTES["missing"] = """
+SELECT * REPLACE (CASE WHEN run NOT IN (2, 3) THEN proba END AS proba, CASE WHEN run NOT IN (2, 3) THEN y_pred ELSE 0 END AS y_pred) FROM scored"""
+
 CTES["packets"] = """
 SELECT CASE WHEN scenario = 'sc-a' THEN 'caps/mirai_mal_CC_all.pcap' ELSE 'caps/torii_leg.pcap' END AS file,
        flow_id AS packet_no, (us + (flow_id * 7919 % 1000) * 1000000) / CAST(1000000 AS DOUBLE) AS ts,

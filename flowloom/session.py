@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,5 +75,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    for written in _open:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table behind a result of :func:`cut_lineage` that nothing reads again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/stage-" in folder:
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Delete all tables that :func:`cut_lineage` writes inside the block when it
+    ends. For jobs that store their result before that."""
+    _open.append(written := [])
+    try:
+        yield
+    finally:
+        _open.remove(written)
+        for path in written:
+            _delete(spark, path)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowloom import fixed
-from flowloom.functions.ordered import is_small, running
+from flowloom.functions.ordered import running
 from flowloom.functions.scalars import (
     add_seconds, binetflow_label, binetflow_scenario, epoch_to_timestamp, lenient_double,
     lenient_long, local_to_utc, parse_naive, port_number, protocol_from_name,
     split_by_direction, zeek_label, zeek_scenario,
 )
 from flowloom.schema import coerce_to_schema
-from flowloom.session import cut_lineage
 
 BINETFLOW_GLOB = "*.binetflow"
 ZEEK_GLOB = "conn.log.labeled"
@@ -105,7 +104,7 @@ def binetflow_to_flows(raw: DataFrame, scenario: Column | None = None, ambiguous
 
 
 def parse_binetflow(spark: SparkSession, path: str, scenario_id: str | None = None, ambiguous: str = "null",
-                    spread: bool | None = None) -> DataFrame:
+                    spread: bool = True) -> DataFrame:
     """All binetflow files below ``path`` as one canonical table with ids."""
     scenario = None if scenario_id is None else F.lit(scenario_id)
     return assign_flow_ids(binetflow_to_flows(load_binetflow(spark, path), scenario, ambiguous), spread=spread)
@@ -170,25 +169,23 @@ def zeek_to_flows(raw: DataFrame, scenario: Column | None = None) -> DataFrame:
 
 
 def parse_zeek(spark: SparkSession, path: str, scenario_id: str | None = None,
-               spread: bool | None = None) -> DataFrame:
+               spread: bool = True) -> DataFrame:
     scenario = None if scenario_id is None else F.lit(scenario_id)
     return assign_flow_ids(zeek_to_flows(load_zeek(spark, path), scenario), spread=spread)
 
 
 # --- ids ------------------------------------------------------------------
 
-def assign_flow_ids(flows: DataFrame, spread: bool | None = None) -> DataFrame:
+def assign_flow_ids(flows: DataFrame, spread: bool = True) -> DataFrame:
     """``flow_id`` 0..n-1 by start time within each scenario.
 
     One capture can hold most of the rows, so ids are not a per-scenario row
     number: rows are range-partitioned by (scenario, time), numbered inside
     their partition, and shifted by the counts of the earlier partitions.
-    Parsed rows are stored once before that, because the range borders take a
-    pass of their own. Rows without a time come last.
+    Rows without a time come last.
     """
-    spread = not is_small(flows) if spread is None else spread
     rows = flows.drop("flow_id")
     order = [F.col("start_time").asc_nulls_last(), *[F.col(c) for c in _TIES]]
-    out = running(cut_lineage(rows) if spread else rows, ["scenario"], order, {"_pos": ("position", None)},
+    out = running(rows, ["scenario"], order, {"_pos": ("position", None)},
                   spread=spread, few_groups=True)
     return out.withColumn("flow_id", (F.col("_pos") - 1).cast("bigint")).select(*fixed.FLOW_COLUMNS)
