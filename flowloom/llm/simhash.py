@@ -101,6 +101,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
 
 TABLES = 5
 BITS = 36
+TILE = 512
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -156,16 +157,103 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb"), run, "a bigint, b bigint, ok boolean")
 
 
+def _possible(similarity: float, a: str, b: str):
+    """Whether two nodes can be similar enough, by their shingle counts and by the
+    places of the token they share: if it is their first one, nothing before it is common."""
+    n, m = F.col(f"{a}._size"), F.col(f"{b}._size")
+    most = F.least(n - F.col(f"{a}._pos"), m - F.col(f"{b}._pos"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
+
+
+def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` whose components are those of all similar pairs that share a ball.
+
+    ``met`` has ``_ball``, ``node``, ``_size`` and ``_pos`` of balls with several nodes.
+    In two rounds the smallest node of every ball is compared with the others,
+    which joins most groups of copies by one comparison a text. It then leaves the
+    ball, as every pair with it is tested. A ball stays while it holds more
+    than one component; at last all pairs of nodes of different components in the
+    remaining balls are compared, large balls tile by tile. So no pair is left
+    untested because its nodes were linked to others before.
+    """
+    by_ball = Window.partitionBy("_ball")
+    item = F.struct("node", "_size", "_pos")
+    found = judged = None
+
+    def judge(pairs: DataFrame) -> None:
+        nonlocal found, judged
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if judged is not None:
+            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        now = cut_lineage(_similar(pairs, shingles, similarity))
+        judged = now if judged is None else judged.unionByName(now)
+        found = judged.where("ok").select("a", "b")
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """Balls that hold several components, with the component of each node."""
+        groups = components(found, "a", "b")
+        placed = rows.join(groups, "node", "left").withColumn("_of", F.coalesce("component", "node")).drop("component")
+        spread = placed.withColumns({"_first": F.min("_of").over(by_ball), "_last": F.max("_of").over(by_ball)})
+        return cut_lineage(spread.where("_first < _last").drop("_first", "_last"))
+
+    rows = met
+    for _ in range(2):
+        led = rows.withColumns({"_x": item, "_low": F.min(item).over(by_ball)})
+        if "_of" in rows.columns:
+            led = led.withColumn("_low_of", F.min_by("_of", "node").over(by_ball)).where("_of <> _low_of")
+        pairs = led.where((F.col("node") != F.col("_low.node")) & _possible(similarity, "_x", "_low"))
+        judge(pairs.select(F.col("node").alias("a"), F.col("_low.node").alias("b")))
+        rest = rows.withColumn("_low", F.min("node").over(by_ball)).where("node <> _low").drop("_low", "_of")
+        before, rows = rows, unsettled(rest)
+        if before is not met:
+            release(before)
+    if rows.limit(1).count():
+        sizes = rows.groupBy("_ball").agg(F.count("*").alias("_n"))
+        parts = F.ceil(F.col("_n") / TILE).cast("int")
+        laid = rows.join(sizes, "_ball").withColumns({"_parts": parts, "_mine": F.pmod(F.xxhash64("node"), parts).cast("int")})
+        laid = laid.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns(
+            {"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
+        judge(laid.groupBy("_ball", "_i", "_j").applyInArrow(_cross_pairs(similarity), "a bigint, b bigint"))
+    release(rows)
+    return found
+
+
+def _cross_pairs(similarity: float):
+    """The pairs of one tile that are in different components and can be similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, of, size, pos, mine = (table.column(c).to_numpy() for c in ("node", "_of", "_size", "_pos", "_mine"))
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        out_a, out_b = [], []
+        right = np.flatnonzero(mine == j)
+        for x in np.flatnonzero(mine == i):
+            n, m = size[x], size[right]
+            fits = (of[right] != of[x]) & ((node[right] > node[x]) if i == j else True)
+            fits &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+            fits &= np.minimum(n - pos[x], m - pos[right]) * (1 + similarity) >= similarity * (n + m) - 1e-6
+            out_b.append(node[right[fits]])
+            out_a.append(np.full(len(out_b[-1]), node[x]))
+        empty = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
+
+    return run
+
+
+def _shared(balls: DataFrame) -> DataFrame:
+    """The rows of balls that hold several nodes."""
+    by_ball = Window.partitionBy("_ball")
+    ends = balls.withColumns({"_first": F.min("node").over(by_ball), "_last": F.max("node").over(by_ball)})
+    return cut_lineage(ends.where("_first < _last").drop("_first", "_last"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
                 tables: int = TABLES, bits: int = BITS) -> DataFrame:
     """``id_col`` and ``component_id`` of every row with an id, by near-copy links.
 
     Equal texts are one node. Nodes meet by ball hashing on any of ``tables``
-    fingerprints. In every ball two centres are compared with the others: the
-    node whose fingerprint is the middle of the ball, and the one with the
-    smallest id. Nodes that found no partner go on with new centres, until a
-    round finds no link. A link needs a Jaccard similarity of at least
-    ``similarity`` between the ``words``-word shingle sets.
+    fingerprints; all that meet are linked or compared (:func:`link_balls`). A
+    link needs a Jaccard similarity of at least ``similarity`` between the
+    ``words``-word shingle sets.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,49 +278,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     balls = (
         nodes.select("node", F.posexplode("fps").alias("_table", "_fp"))
         .select("node", "_table", "_fp", F.explode(F.transform(flips, lambda v: F.col("_fp").bitwiseXOR(v))).alias("_value"))
-        .select("node", "_table", "_value", (F.col("_fp") == F.col("_value")).alias("_own"))
+        .select(F.struct("_table", "_value").alias("_ball"), "node", F.lit(0).alias("_size"), F.lit(0).alias("_pos"))
     )
-    by_ball = Window.partitionBy("_table", "_value")
-
-    def centred(rows: DataFrame) -> DataFrame:
-        """Balls of several nodes with their centres, by one shuffle: the text whose
-        fingerprint is the ball's value, and the smallest id."""
-        return cut_lineage(
-            rows.withColumns({"_n": F.count("*").over(by_ball), "_low": F.min("node").over(by_ball),
-                              "_mid": F.min(F.when(F.col("_own"), F.col("node"))).over(by_ball)}).where("_n > 1").drop("_n"))
-
-    met = centred(balls)
+    met = _shared(balls)
     shingles = cut_lineage(
-        map_batches(slim.withColumnRenamed("_id", "node").join(small_side(met.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]),
-                    sets, "node bigint, shingles binary"))
-    found, first = None, True
-    while True:
-        near = met.where("node <> _low OR node <> _mid").select("node", "_table", "_mid", "_low")
-        if first:
-            # The smallest centres of each table; most copies have their original among them.
-            near = near.groupBy("node", "_table").agg(F.min("_mid").alias("_mid"), F.min("_low").alias("_low"))
-        pairs = near.select("node", F.explode(F.array("_mid", "_low")).alias("_c")).where("_c <> node")
-        judged = cut_lineage(_similar(pairs.select(F.least("_c", "node").alias("a"), F.greatest("_c", "node").alias("b")).distinct(), shingles, similarity))
-        new = judged.where("ok").select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-        if first:
-            # The others go on with all centres of their balls, found partners among them.
-            first = False
-            rest = cut_lineage(
-                met.join(linked, "node", "left_anti").select("node", F.explode(F.array("_mid", "_low")).alias("_c"))
-                .where("_c <> node").select(F.least("_c", "node").alias("a"), F.greatest("_c", "node").alias("b")).distinct()
-                .join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-            again = cut_lineage(_similar(rest, shingles, similarity)).where("ok").select("a", "b")
-            release(rest)
-            new = new.unionByName(again)
-            found = found.unionByName(again)
-            linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-        if not new.limit(1).count():
-            break
-        used = (F.col("node") == F.col("_low")) | (F.col("node") == F.coalesce("_mid", "_low"))
-        before, met = met, centred(met.where(~used).join(linked, "node", "left_anti").drop("_mid", "_low"))
-        release(before)
+        map_batches(slim.withColumnRenamed("_id", "node").join(small_side(met.select("node").distinct()), "node", "left_semi"),
+                    sets, "node bigint, shingles binary").dropDuplicates())
+    found = link_balls(met, shingles, similarity)
     release(met, shingles)
     groups = components(found, "a", "b")
     placed = (

@@ -126,6 +126,52 @@ def test_near_copies_keep_one(spark):
     assert simhash.drop_near_copies(unnamed).count() == 2
 
 
+def brute_groups(texts, similarity=0.8):
+    """Smallest member of each text's group, by comparing all pairs."""
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    return {i: top(i) for i in range(len(texts))}
+
+
+def test_linked_texts_are_compared_further(spark):
+    # One ball: A~X and B~C, and X~B although both have partners by then. 40 others are like none.
+    sets = {1: range(0, 100), 5: range(10, 110), 2: range(20, 120), 6: range(30, 130)}
+    sets |= {10 + i: range(1000 * i + 1000, 1000 * i + 1100) for i in range(40)}
+    sets |= {60: range(1000, 1105), 61: range(20_000, 20_104), 0: range(500, 600)}
+    met = spark.createDataFrame([(7, n, 0, 0) for n in sets], "_ball long, node long, _size int, _pos int")
+    rows = [(n, bytearray(np.array(s, np.uint64).tobytes())) for n, s in sets.items()]
+    found = simhash.link_balls(met, spark.createDataFrame(rows, "node long, shingles binary"), 0.8)
+    from flowloom.llm.common import components
+    got = {x.node: x.component for x in components(found, "a", "b").collect()}
+    assert got == {1: 1, 5: 1, 2: 1, 6: 1, 10: 10, 60: 10, 29: 29, 61: 29}
+
+
+def test_chains_of_copies_are_one_group(spark):
+    r = random.Random(15)
+    words = ["w%d" % i for i in range(4000)]
+    texts = []
+    for _ in range(12):
+        w = [r.choice(words) for _ in range(200)]
+        for step in range(8):
+            texts.append(" ".join(w))
+            for at in r.sample(range(5, 195), 3):
+                w[at] = "z%d" % r.randrange(10**6)
+    r.shuffle(texts)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, texts)).collect()}
+    assert got == brute_groups(texts)
+
+
 @pytest.mark.parametrize("largest", [20_000, 1])
 def test_repeats_by_brute_force(spark, largest):
     r = random.Random(6)
