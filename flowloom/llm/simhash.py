@@ -99,9 +99,9 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
 
 # -- near-duplicate texts, checked by their shingles -----------------------
 
-TABLES = 5
-BITS = 36
 TILE = 512
+SAMPLE = 4096
+COMMON = 200_000
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -115,27 +115,39 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
 
 
-def word_fingerprints(text: str, tables: int = TABLES, bits: int = BITS) -> list[int]:
-    """``tables`` SimHashes over the distinct words of a text.
+def first_tokens(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a text in the order of (count in ``common``, hash).
 
-    One changed word moves five shingles but only one of these features, so
-    texts with a shingle similarity of 0.8 are a bit or two apart, while
-    unrelated texts of one language are not: a common word counts once.
+    Sets with a Jaccard similarity of at least ``similarity`` share at least that
+    part of each of them, so if the order is the same for all texts, they
+    share one of the first ``n - ceil(similarity * n) + 1``. This holds for any
+    order; rare ones first makes few other texts meet.
     """
-    import xxhash
+    n = len(shingles)
+    if not n:
+        return shingles
+    at = np.searchsorted(common, shingles)
+    at[at == len(common)] = 0
+    count = np.where(common[at] == shingles, counts[at], 0) if len(common) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, count))[:n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _common_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a hash sample of some SAMPLE different texts,
+    sorted, and their counts: at most COMMON. They only set an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_text"):
+            sets = [shingle_set(t, words) for t in batch.column("_text").to_pylist()]
+            for s in sets:
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
 
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode().lower().split())], np.uint64)
-    if not len(h):
-        return [0] * tables
-    out = []
-    for t in range(tables):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-        ones = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        fp = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
-        out.append(fp >> (64 - bits))
-    return out
+    some = texts.select("_text").where(F.pmod(F.xxhash64("_text"), F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates()
+    counted = map_batches(some, run, "h bigint").groupBy("h").count().where("count > 1")
+    top = counted.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    h, count = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], count[order]
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -246,14 +258,14 @@ def _shared(balls: DataFrame) -> DataFrame:
     return cut_lineage(ends.where("_first < _last").drop("_first", "_last"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-                tables: int = TABLES, bits: int = BITS) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``component_id`` of every row with an id, by near-copy links.
 
-    Equal texts are one node. Nodes meet by ball hashing on any of ``tables``
-    fingerprints; all that meet are linked or compared (:func:`link_balls`). A
-    link needs a Jaccard similarity of at least ``similarity`` between the
-    ``words``-word shingle sets.
+    Equal texts are one node. A link needs a Jaccard similarity of at least
+    ``similarity`` between the ``words``-word shingle sets. Every such pair meets on
+    one of its rarest shingles (:func:`first_tokens`), and all that meet are
+    linked or compared (:func:`link_balls`), so no link is lost wherever the
+    texts differ: in scattered words, a cut tail or an added block.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +274,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         for batch in chunks(batches, "_text"):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([hashlib.sha256(t.encode()).digest() for t in texts]),
-                 pa.array([word_fingerprints(t, tables, bits) for t in texts], pa.list_(pa.int64()))], ["_id", "digest", "fps"])
+                [batch.column("_id"), pa.array([hashlib.sha256(t.encode()).digest() for t in texts])], ["_id", "digest"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
@@ -272,17 +283,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
                 ["node", "shingles"])
 
     slim = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS _id", f"`{text_col}` AS _text").where("_id IS NOT NULL")
-    rows = cut_lineage(map_batches(slim, marks, "_id bigint, digest binary, fps array<bigint>"))
-    nodes = rows.groupBy("digest").agg(F.min("_id").alias("node"), F.any_value("fps").alias("fps"))
-    flips = F.array(*[F.lit(v).cast("bigint") for v in [0, *(1 << b for b in range(bits))]])
-    balls = (
-        nodes.select("node", F.posexplode("fps").alias("_table", "_fp"))
-        .select("node", "_table", "_fp", F.explode(F.transform(flips, lambda v: F.col("_fp").bitwiseXOR(v))).alias("_value"))
-        .select(F.struct("_table", "_value").alias("_ball"), "node", F.lit(0).alias("_size"), F.lit(0).alias("_pos"))
-    )
+    rows = cut_lineage(map_batches(slim, marks, "_id bigint, digest binary"))
+    nodes = cut_lineage(rows.groupBy("digest").agg(F.min("_id").alias("node")))
+    texts = slim.withColumnRenamed("_id", "node").join(small_side(nodes.select("node").distinct()), "node", "left_semi")
+    common, counts = _common_shingles(texts, nodes.count(), words)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_text"):
+            sets = [shingle_set(t, words) for t in batch.column("_text").to_pylist()]
+            first = [first_tokens(x, common, counts, similarity) for x in sets]
+            many = [len(f) for f in first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)),
+                 pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), many)),
+                 pa.array(np.repeat([len(x) for x in sets], many).astype(np.int32)),
+                 pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, many)]).astype(np.int32))],
+                ["_ball", "node", "_size", "_pos"])
+
+    balls = map_batches(texts, tokens, "_ball bigint, node bigint, _size int, _pos int")
     met = _shared(balls)
     shingles = cut_lineage(
-        map_batches(slim.withColumnRenamed("_id", "node").join(small_side(met.select("node").distinct()), "node", "left_semi"),
+        map_batches(texts.join(small_side(met.select("node").distinct()), "node", "left_semi"),
                     sets, "node bigint, shingles binary").dropDuplicates())
     found = link_balls(met, shingles, similarity)
     release(met, shingles)

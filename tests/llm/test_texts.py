@@ -172,6 +172,22 @@ def test_chains_of_copies_are_one_group(spark):
     assert got == brute_groups(texts)
 
 
+def test_cut_and_appended_blocks_meet(spark):
+    r = random.Random(16)
+    words = ["w%d" % i for i in range(4000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    # Every text has a passage that all have.
+    shared, texts = some(30), []
+    for k in range(24):
+        w = some(60) + shared + some(160)
+        copies = [w[:-25], w[:-48], w[20:], w + some(27), some(60) + w, w[:100] + some(40) + w[100:], w[:-50], w + some(70)]
+        texts += [" ".join(x) for x in (w, copies[k % 8], copies[(3 * k + 1) % 8])]
+    want = brute_groups(texts)
+    assert sum(i != c for i, c in want.items()) > 20
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, texts)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("largest", [20_000, 1])
 def test_repeats_by_brute_force(spark, largest):
     r = random.Random(6)
