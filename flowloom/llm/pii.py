@@ -37,9 +37,9 @@ BASE = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 EXTRA_NEEDS = r"[0-9=:]|[\[(][Aa][Tt][\])]|(?:Mr|Mrs|Ms|Dr|Prof)"
 EXTRA = "|".join([
-    rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+ ?[\[(][Aa][Tt][\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(][Dd][Oo][Tt][\])]) ?[A-Za-z0-9-]++)++",
-    r"(?i:token|secret|password|passwd|api[_-]?key)[\"' ]{0,2}[=:][\"' ]{0,3}[A-Za-z0-9_/+.-]{8,512}+",
-    r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    rf"(?<![{LOCAL}])[{LOCAL}]++ ?[\[(][Aa][Tt][\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(][Dd][Oo][Tt][\])]) ?[A-Za-z0-9-]++)++",
+    r"(?i:token|secret|password|passwd|api[_-]?key)[\"' ]{0,2}[=:][\"' ]{0,3}[A-Za-z0-9_/+.-]{8,}+",
+    r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -112,7 +112,7 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _extra_kind(m: Column) -> Column:
     return (
-        F.when(m.rlike(r"^(?i:token|secret|password|passwd|api[_-]?key)[\"' ]{0,2}[=:]") | m.rlike("^[0-9a-f]{32,64}$"), "secret")
+        F.when(m.rlike(r"^(?i:token|secret|password|passwd|api[_-]?key)[\"' ]{0,2}[=:]") | m.rlike("^[0-9a-f]{32,}+$"), "secret")
         .when(m.rlike(r"[\[(][Aa][Tt][\])]"), "email")
         .when(m.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "id")

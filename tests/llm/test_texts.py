@@ -272,6 +272,21 @@ def test_labelers_add_spans_and_masking(spark):
     assert "abcdef0123456789" not in masked[0]
 
 
+def test_long_tokens_are_covered_whole(spark):
+    r = random.Random(8)
+    key = "".join(r.choice("abcdefXYZ_-") for _ in range(3000))
+    digest = hashlib.sha512(b"x").hexdigest()
+    local = "a" * 200
+    texts = [f"my token: {key} end", f"password {digest} end", f"mail {local} [at] example [dot] com end"]
+    found = {x.doc_id: x._spans for x in pii.candidates(frame(spark, texts)).collect()}
+    places = [{(s.kind, s.start, s.end) for s in found[i]} for i in range(3)]
+    assert ("secret", 3, 3 + len("token: ") + 3000) in places[0]
+    assert ("secret", 9, 9 + 128) in places[1]
+    assert ("email", 5, len(texts[2]) - 4) in places[2]
+    masked = {x.doc_id: x.text for x in pii.mask_pii(frame(spark, texts)).collect()}
+    assert masked[0] == "my [SECRET] end"
+
+
 def test_expectation_maximisation_finds_good_labelers():
     votes = [{"kind": "card", "shape": 1, "gazetteer": 2, "context": 1, "border": 1, "n": 90},
              {"kind": "card", "shape": 0, "gazetteer": 2, "context": 2, "border": 0, "n": 200},
