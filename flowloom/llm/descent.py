@@ -3,8 +3,11 @@
 A neighbour graph over distinct vectors starts from small random-hyperplane
 buckets and is refined: the neighbours (forward and reverse) of every node are
 compared with each other, and each keeps its best K. A neighbour of a neighbour
-is likely a neighbour, so few rounds suffice. An audit compares some nodes with
-all others; while it finds too few links, lists are doubled and refined again.
+is likely a neighbour, so few rounds suffice. The number of start tables follows
+the chance that a pair at the threshold shares a bucket, so pairs without other
+neighbours meet at any size. An audit compares some nodes with all others;
+while too many of their links cross components, other tables are added, lists
+doubled and refined again.
 
 Edges at or above the threshold stay. A list full of such edges is saturated:
 it may hide more of them. All links of a node lie in its component, so the
@@ -18,11 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowloom.llm.common import components, cut_lineage, ship
+from flowloom.llm.common import components, cut_lineage, release, ship
 from flowloom.llm.topk import usable
 
 SEED = 7
 BUCKET = 64
+BATCH = 4
 PIVOT = 32
 TILE = 512
 EDGES = "a bigint, b bigint, sim float"
@@ -56,24 +60,45 @@ def _keep_best(edges: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def start_graph(nodes: DataFrame, n: int, k: int, tables: int = 4) -> DataFrame:
-    """First edges: the best neighbours inside buckets of about BUCKET nodes.
+def _bits(n: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, n / BUCKET)))))
+
+
+def table_count(n: int, threshold: float, target: float) -> int:
+    """Tables in which a pair at ``threshold`` shares a bucket at least once with
+    a chance halfway between ``target`` and 1; it shares a sign with 1 - angle / pi."""
+    meet = (1 - np.arccos(min(1.0, max(-1.0, threshold))) / np.pi) ** _bits(n)
+    return BATCH if meet >= 1 else max(BATCH, int(np.ceil(np.log((1 - target) / 2) / np.log1p(-meet))))
+
+
+def start_graph(nodes: DataFrame, n: int, k: int, tables: int = BATCH, first: int = 0) -> DataFrame:
+    """Edges of the tables from ``first`` on: the best neighbours inside buckets of about BUCKET nodes.
 
     Buckets come from the signs of random projections, their number from ``n``;
     a bucket with more nodes is cut by a hash, so no group grows with a cluster.
+    A few tables are laid out at a time.
     """
-    bits = max(0, int(np.ceil(np.log2(max(1, n / BUCKET)))))
+    graph = None
+    for at in range(first, first + tables, BATCH):
+        new, placed = _bucket_edges(nodes, _bits(n), k, range(at, min(at + BATCH, first + tables)))
+        kept = cut_lineage(_keep_best(new if graph is None else graph.unionByName(new), k))
+        release(placed, *([] if graph is None else [graph]))
+        graph = kept
+    return graph
+
+
+def _bucket_edges(nodes: DataFrame, bits: int, k: int, tables: range) -> tuple[DataFrame, DataFrame]:
 
     def place(frames):
         for pdf in frames:
             for dim, part in pdf.groupby("_dim"):
-                x = _matrix(part["_v"])
-                for t in range(tables):
+                x = np.stack([np.frombuffer(w, np.float32) for w in part["_w"]])
+                for t in tables:
                     planes = np.random.default_rng([SEED, t, int(dim)]).standard_normal((int(dim), bits))
                     code = ((x @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                    yield pd.DataFrame({"node": part["node"], "_v": part["_v"], "_dim": part["_dim"], "_t": t, "_code": code})
+                    yield pd.DataFrame({"node": part["node"], "_w": part["_w"], "_dim": part["_dim"], "_t": t, "_code": code})
 
-    placed = nodes.select("node", "_v", "_dim").mapInPandas(place, "node bigint, _v binary, _dim int, _t int, _code bigint")
+    placed = nodes.select("node", "_w", "_dim").mapInPandas(place, "node bigint, _w binary, _dim int, _t int, _code bigint")
     placed = cut_lineage(placed)
     keys = ["_dim", "_t", "_code"]
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("_size"))
@@ -81,24 +106,24 @@ def start_graph(nodes: DataFrame, n: int, k: int, tables: int = 4) -> DataFrame:
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        return _best(pdf["node"].to_numpy(), _matrix(pdf["_v"]), k)
+        return _best(pdf["node"].to_numpy(), np.stack([np.frombuffer(w, np.float32) for w in pdf["_w"]]), k)
 
-    return _keep_best(cut.groupBy(*keys, "_cut").applyInPandas(inside, EDGES), k)
+    return cut.groupBy(*keys, "_cut").applyInPandas(inside, EDGES), placed
 
 
-def refine(graph: DataFrame, nodes: DataFrame, n: int, k: int) -> DataFrame:
+def refine(graph: DataFrame, nodes: DataFrame, n: int, k: int, salt: int = 0) -> DataFrame:
     """One round: compare the neighbours of every node with each other.
 
     Forward and reverse neighbours of a node are its pivot group. A node that is
     in very many lists has its group cut by a hash into parts of about PIVOT, so
-    every neighbour is compared and no group is large.
+    no group is large; another ``salt`` in each round cuts it elsewhere.
     """
     both = graph.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(
         graph.select(F.col("b").alias("pivot"), F.col("a").alias("node"))).distinct()
     sizes = both.groupBy("pivot").agg(F.count("*").alias("_size"))
     floors = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).cast("float").alias("_floor"))
     members = (
-        both.join(sizes, "pivot").withColumn("_cut", F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.col("_size") / PIVOT)).cast("int")).drop("_size")
+        both.join(sizes, "pivot").withColumn("_cut", F.pmod(F.xxhash64("node", "pivot", F.lit(salt)), F.ceil(F.col("_size") / PIVOT)).cast("int")).drop("_size")
         .join(nodes.select("node", F.col("_w")), "node").join(floors.withColumnRenamed("a", "node"), "node", "left"))
     tasks = max(1, -(-n * 2 * k // 100_000))
 
@@ -136,33 +161,35 @@ def refine(graph: DataFrame, nodes: DataFrame, n: int, k: int) -> DataFrame:
     return _keep_best(graph.unionByName(found), k)
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float, sample: int = 128) -> float:
-    """Share of the true links of ``sample`` nodes (taken by hash) that the graph
-    connects directly or through one neighbour; 1 if they have none.
-
-    The sample is bounded and compared with all nodes, a scan.
-    """
+def true_links(nodes: DataFrame, threshold: float, sample: int = 2048, piece: int = 1024, most: int = 4) -> DataFrame:
+    """True links ``a``, ``b`` of ``sample`` nodes (taken by hash), by comparing them with all
+    nodes in a scan. At most ``most`` of a node enter from a piece of the table, so
+    pairs without other neighbours count and a cluster does not outweigh them."""
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "_v", "_dim").toPandas()
-    if not len(chosen):
-        return 1.0
 
     def compare(frames):
-        for pdf in frames:
-            for dim, part in pdf.groupby("_dim"):
-                mine = chosen[chosen["_dim"] == dim]
-                if len(mine):
-                    i, j = np.nonzero(_matrix(mine["_v"]) @ _matrix(part["_v"]).T >= threshold)
-                    a, b = mine["node"].to_numpy()[i], part["node"].to_numpy()[j]
-                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-    true = cut_lineage(nodes.select("node", "_v", "_dim").mapInPandas(compare, "a bigint, b bigint"))
-    close = graph.where(F.col("sim") >= threshold).select("a", "b")
-    either = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    # A full list hides links of a cluster; those are one step further.
-    step = either.alias("s").join(true.select(F.col("a").alias("_q")).distinct(), F.col("s.a") == F.col("_q")).select(F.col("_q").alias("a"), F.col("s.b").alias("m"))
-    near = step.join(either.select(F.col("a").alias("m"), "b"), "m").select("a", "b").unionByName(step.select("a", F.col("m").alias("b"))).distinct()
+        for whole in frames:
+            for at in range(0, len(whole), piece):
+                for dim, part in whole.iloc[at:at + piece].groupby("_dim"):
+                    mine = chosen[chosen["_dim"] == dim]
+                    if len(mine):
+                        i, j = np.nonzero(_matrix(mine["_v"]) @ _matrix(part["_v"]).T >= threshold)
+                        a, b = mine["node"].to_numpy()[i], part["node"].to_numpy()[j]
+                        found = pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+                        yield found[found.groupby("a").cumcount() < most]
+
+    return cut_lineage(nodes.select("node", "_v", "_dim").mapInPandas(compare, "a bigint, b bigint"))
+
+
+def audit(groups: DataFrame, true: DataFrame) -> float:
+    """Share of the ``true`` links with both ends in one component, whose links are
+    all counted; 1 if there are none."""
     total = true.count()
-    return 1.0 if not total else true.join(near, ["a", "b"], "left_semi").count() / total
+    if not total:
+        return 1.0
+    ends = true.join(groups.select(F.col("node").alias("a"), F.col("component").alias("_ca")), "a").join(
+        groups.select(F.col("node").alias("b"), F.col("component").alias("_cb")), "b")
+    return ends.where("_ca = _cb").count() / total
 
 
 def link_counts(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -226,24 +253,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, neighbours: int =
 
     nodes = cut_lineage(classes.mapInPandas(unit, "node bigint, _n bigint, _dim int, _v binary, _w binary"))
     n, k = nodes.count(), neighbours
-    graph = cut_lineage(start_graph(nodes, n, k))
-    for _ in range(rounds):
-        graph = cut_lineage(refine(graph, nodes, n, k))
-    while audit(graph, nodes, threshold) < target and k < 8 * neighbours:
-        k *= 2
-        graph = cut_lineage(refine(graph, nodes, n, k))
-    # Edges near the threshold are decided in double precision.
-    close = graph.where(F.col("sim") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = close.join(nodes.select(F.col("node").alias("a"), F.col("_v").alias("_va")), "a").join(
-        nodes.select(F.col("node").alias("b"), F.col("_v").alias("_vb")), "b")
+    tables = table_count(n, threshold, target)
+    graph = start_graph(nodes, n, k, tables)
+    salt = 0
+    for salt in range(rounds):
+        graph = cut_lineage(refine(graph, nodes, n, k, salt))
 
     def exact(frames):
         for pdf in frames:
             keep = [np.frombuffer(x) @ np.frombuffer(y) >= threshold for x, y in zip(pdf["_va"], pdf["_vb"])]
             yield pdf.loc[keep, ["a", "b"]]
 
-    edges = cut_lineage(pairs.select("a", "b", "_va", "_vb").mapInPandas(exact, "a bigint, b bigint"))
-    groups = cut_lineage(components(edges, "a", "b"))
+    def grouped() -> DataFrame:
+        # Edges near the threshold are decided in double precision.
+        close = graph.where(F.col("sim") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = close.join(nodes.select(F.col("node").alias("a"), F.col("_v").alias("_va")), "a").join(
+            nodes.select(F.col("node").alias("b"), F.col("_v").alias("_vb")), "b")
+        edges = cut_lineage(pairs.select("a", "b", "_va", "_vb").mapInPandas(exact, "a bigint, b bigint"))
+        return cut_lineage(components(edges, "a", "b"))
+
+    true, groups, used = true_links(nodes, threshold), grouped(), tables
+    # Each turn gives every pair new tables, so the audit passes in the end.
+    while audit(groups, true) < target:
+        k, salt = min(2 * k, max(n - 1, 1)), salt + 1
+        more = start_graph(nodes, n, k, tables, used)
+        used += tables
+        graph = cut_lineage(refine(_keep_best(graph.unionByName(more), k), nodes, n, k, salt))
+        groups = grouped()
+    release(true)
     links = link_counts(nodes, groups, threshold)
     by_node = nodes.select("node", "_n").join(groups, "node", "left").join(links, "node", "left")
     placed = good.join(classes.select("_raw", "node"), "_raw").select("_id", "node").join(by_node, "node").select(

@@ -111,3 +111,17 @@ def test_recall_on_the_given_embeddings(spark):
     true = close.sum(axis=1)
     assert all(got[i] <= t for i, t in zip(e["vec_id"], true))
     assert sum(got.values()) >= 0.9 * true.sum()
+
+
+def test_rare_isolated_pairs_are_found(spark):
+    g = np.random.default_rng(9)
+    x = g.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(400):
+        side = g.standard_normal(64)
+        side -= side @ x[i] * x[i]
+        x[10_000 + i] = 0.953 * x[i] + np.sqrt(1 - 0.953 ** 2) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_vectors(df).collect()}
+    assert all(got[i] == (0, i) for i in range(400, 10_000))
+    assert sum(got[10_000 + i] == (1, i) for i in range(400)) >= 0.97 * 400
