@@ -116,12 +116,11 @@ def inflated(stream) -> Iterator[bytes]:
     while data := stream.read(STEP):
         while data:
             yield unzip.decompress(data, STEP)
-            data = unzip.unconsumed_tail
-            while data:
-                yield unzip.decompress(data, STEP)
-                data = unzip.unconsumed_tail
             if unzip.eof:
                 data, unzip = unzip.unused_data, zlib.decompressobj(31)
+            else:
+                data = unzip.unconsumed_tail
+    yield unzip.flush()  # what the limit on one piece held back
 
 
 def cut_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
