@@ -27,6 +27,7 @@ from flowloom.operators.windows import (
     WIN, assign_windows, drop_background, endpoints, host_activity, large_enough,
     number_windows, window_sizes,
 )
+from flowloom.session import cut_lineage
 
 PAIR = [*WIN, "src_ip", "dst_ip"]
 NODE = [*WIN, "ip"]
@@ -102,14 +103,37 @@ def restrict_to_nodes(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     return flows
 
 
-def with_node_index(table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Inner-join both endpoints to their node position; drops other rows."""
+def with_node_index(table: DataFrame, nodes: DataFrame, split_hot: bool = False) -> DataFrame:
+    """Inner-join both endpoints to their node position; drops other rows.
+
+    With ``split_hot`` an endpoint with a large share of the rows is no single
+    task of the join, also if the nodes are too many to broadcast.
+    """
     for end, idx in (("src_ip", "src_idx"), ("dst_ip", "dst_idx")):
         side = nodes.select(*WIN, F.col("ip").alias(end), F.col("node_idx").alias(idx))
-        table = table.join(side, [*WIN, end])
+        table = join_splitting_hot(cut_lineage(table), side, [*WIN, end]) if split_hot else table.join(side, [*WIN, end])
     return table
 
 
+def join_splitting_hot(table: DataFrame, side: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """Inner join with a side that has one row per key, whatever key holds most of ``table``.
+
+    Keys with more than one row in ``parts`` are fewer than ``parts``, so their
+    rows of ``side`` are broadcast and the table's rows stay where they are. No
+    key of the shuffled rest has a larger share. ``table`` is read three times;
+    keep or write it before. NULL keys match nothing and are not shuffled.
+    """
+    known = table.dropna(subset=keys)
+    counts = known.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * parts > F.col("_all")).select(*keys)
+    marked = known.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    few = side.join(F.broadcast(hot), keys, "left_semi")
+    spread = marked.where("_hot").drop("_hot").join(F.broadcast(few), keys)
+    rest = marked.where("_hot IS NULL").drop("_hot").join(side, keys)
+    return spread.unionByName(rest)
+
+
 def edge_features(pairs: DataFrame) -> DataFrame:
     """The ten edge features from pair sums with both port counts."""
     top = dominant_protocol()
@@ -230,14 +254,17 @@ class GraphBuild:
     storage (spilling to disk, recomputed if lost); use it when more
     than one result is written, and call :meth:`release` afterwards. The host
     activity then comes from the port table, else from a narrow scan of its
-    own.
+    own. ``only`` restricts the build to some windows (one row each).
     """
 
     def __init__(self, flows: DataFrame, win_cfg: WindowConfig | None = None, cfg: GraphConfig | None = None,
-                 keep_background: bool = False, share: bool = False, broadcast_nodes: int = BROADCAST_NODES):
+                 keep_background: bool = False, share: bool = False, broadcast_nodes: int = BROADCAST_NODES,
+                 only: DataFrame | None = None):
         self.win_cfg, self.cfg, self._share = win_cfg or WindowConfig(), cfg or GraphConfig(), share
         self._broadcast_nodes = broadcast_nodes
         self.windowed = assign_windows(flows if keep_background else drop_background(flows), self.win_cfg)
+        if only is not None:
+            self.windowed = self.windowed.join(only, WIN, "left_semi")
 
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._share else df
@@ -259,8 +286,9 @@ class GraphBuild:
 
     @cached_property
     def kept_ports(self) -> DataFrame:
-        nodes = F.broadcast(self.selected) if self._few_nodes else self.selected
-        return self._keep(with_node_index(port_table(self.candidates), nodes))
+        if self._few_nodes:
+            return self._keep(with_node_index(port_table(self.candidates), F.broadcast(self.selected)))
+        return self._keep(with_node_index(port_table(self.candidates), self.selected, split_hot=self._share))
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -25,7 +25,7 @@ from flowloom.plans import views as V
 from flowloom.plans.oracle import r, sql
 from flowloom import schema
 from flowloom.session import checkpoint_dir, cut_lineage
-from flowloom.sources import logs, stores
+from flowloom.sources import incremental, logs, progress, stores
 from flowloom.streaming import edges as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,16 +101,17 @@ _FLOW_OUT = ["flow_id", "scenario", "src_ip", "dst_ip", "src_port", "dst_port",
 _RAW_PORT = ("CASE flow_id % 4 WHEN 0 THEN src_port WHEN 1 THEN src_port WHEN 2 THEN 0 ELSE 65535 END")
 
 
-def _binetflow_text(spark, sf) -> DataFrame:
-    """Flows written as binetflow text columns: Prague wall time, decimal, hex,
-    empty and oversized ports, and rows without packets."""
+def _binetflow_text(spark, sf, wall_us: Column | None = None) -> DataFrame:
+    """Flows written as binetflow text columns: Prague wall time (of winter, or
+    the given one), decimal, hex, empty and oversized ports, and rows without packets."""
     f = V.flows(spark, sf)
+    wall_us = F.unix_micros("start_time") + 3_600_000_000 if wall_us is None else wall_us
     k = F.pmod(F.col("flow_id"), F.lit(4))
     port = F.col("src_port").cast("string")
-    wall = F.date_format(F.timestamp_micros(F.unix_micros("start_time") + 3_600_000_000), "yyyy/MM/dd HH:mm:ss.SSSSSS")
+    wall = F.date_format(F.timestamp_micros(wall_us), "yyyy/MM/dd HH:mm:ss.SSSSSS")
     tot = F.col("bytes_fwd") + F.col("bytes_bwd")
     return f.select(
-        wall.alias("StartTime"), F.col("duration_s").cast("string").alias("Dur"),
+        "flow_id", "scenario", wall.alias("StartTime"), F.col("duration_s").cast("string").alias("Dur"),
         F.upper("protocol").alias("Proto"), F.col("src_ip").alias("SrcAddr"),
         F.when(k == 0, port).when(k == 1, F.concat(F.lit("0x"), F.hex("src_port"))).when(k == 2, F.lit("")).otherwise("99999").alias("Sport"),
         F.lit("<->").alias("Dir"), F.col("dst_ip").alias("DstAddr"), F.col("dst_port").cast("string").alias("Dport"),
@@ -155,7 +156,7 @@ def _zeek_lines(spark, sf) -> DataFrame:
         F.concat_ws("   ", F.lit("-"), label, detail)]
     line = F.concat_ws("\t", *fields)
     both = F.explode(F.array(line, F.lit("#separator")))
-    return f.select(both.alias("value"), F.concat(F.lit("file:/raw/CTU-IoT-Malware-Capture-"), F.col("scenario"), F.lit("/bro/conn.log.labeled")).alias("file_path"))
+    return f.select("flow_id", "scenario", both.alias("value"), F.concat(F.lit("file:/raw/CTU-IoT-Malware-Capture-"), F.col("scenario"), F.lit("/bro/conn.log.labeled")).alias("file_path"))
 
 
 _ZEEK_SQL = f"""
@@ -1361,3 +1362,163 @@ def _(spark, sf):
     q.awaitTermination()
     cols = ["scenario", "window_start", "src_ip", "dst_ip", "total_bytes", "total_packets", "mean_flow_duration", "mean_iat_ms"]
     return tidy(spark.read.parquet(out).where("scenario <> 'end'").select(*cols))
+
+
+# --- log files, incremental stores, resume, hot keys -----------------------
+
+LOG_PARTS = 8  # files that a scenario's log is cut into
+
+
+def _log_files(spark, rows: DataFrame, name: Callable[[str, int], str], parts: Column, root: str | None = None) -> str:
+    """Store rows as log files of the expected names: lines (``value``), or CSV with a
+    header in every file. Only file names pass through the driver."""
+    raw, root = scratch(spark, "lines"), root or scratch(spark, "logs")
+    columns = ["value"] if "value" in rows.columns else fixed.BINETFLOW_COLUMNS
+    writer = rows.select(*columns, "scenario", parts.alias("part")).repartition("scenario", "part").write.partitionBy("scenario", "part")
+    (writer.text if columns == ["value"] else writer.option("header", True).csv)(raw)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(raw).select("path").collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(raw).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for row in found:
+        scenario, part = (x.split("=", 1)[1] for x in row.path.split("/")[-3:-1])
+        target = path(f"{root}/{name(scenario, int(part))}")
+        fs.mkdirs(target.getParent())
+        fs.rename(path(row.path), target)
+    return root
+
+
+def _binetflow_name(scenario: str, part: int) -> str:
+    return f"{scenario}/capture-{part}.binetflow"
+
+
+def _zeek_name(scenario: str, part: int) -> str:
+    return f"CTU-IoT-Malware-Capture-{scenario}/part-{part}/conn.log.labeled"
+
+
+def _part() -> Column:
+    return F.pmod(F.col("flow_id"), F.lit(2 * LOG_PARTS)).cast("int")
+
+
+def _without_sources(text: DataFrame) -> DataFrame:
+    """Every eleventh row loses its source address."""
+    return text.withColumn("SrcAddr", F.when(F.col("flow_id") % 11 != 0, F.col("SrcAddr")))
+
+
+def _odd_zeek_lines(spark, sf) -> DataFrame:
+    """Zeek lines; every eleventh has no source, every thirteenth is cut off by ``#`` behind its label."""
+    source = F.when(F.col("flow_id") % 11 == 0, F.regexp_replace("value", r"\tC1\t[^\t]*\t", "\tC1\t-\t")).otherwise(F.col("value"))
+    lines = _zeek_lines(spark, sf).withColumn("value", source)
+    return lines.withColumn("value", F.when(F.col("flow_id") % 13 == 0, F.concat("value", F.lit("# Malicious"))).otherwise(F.col("value")))
+
+
+_END = "us + CAST(round_even({d} * 1000000, 0) AS BIGINT) AS end_time"
+_FILE_SQL = ORACLE["binetflow_projection"].replace("flow_id % 4 <> 3)", "flow_id % 4 <> 3 AND flow_id % 11 <> 0)").replace(
+    "us AS start_time,", "us AS start_time, " + _END.format(d="duration_s") + ",")
+_ZEEK_END = _END.format(d="CASE WHEN flow_id % 5 = 0 THEN 0.0 ELSE duration_s END")
+_ZEEK_FILE_SQL = _ZEEK_SQL.replace("us AS start_time,", f"us AS start_time, {_ZEEK_END},").replace(
+    "WHERE flow_id % 6 <> 1 OR pkts_bwd > 0", "WHERE (flow_id % 6 <> 1 OR pkts_bwd > 0) AND flow_id % 11 <> 0")
+
+
+@query("binetflow_files")
+def _(spark, sf):
+    root = _log_files(spark, _without_sources(_binetflow_text(spark, sf)), _binetflow_name, _part())
+    return tidy(logs.parse_binetflow(spark, root).select(*_FLOW_OUT))
+
+
+ORACLE["binetflow_files"] = _FILE_SQL
+
+
+@query("zeek_files", _ZEEK_FILE_SQL)
+def _(spark, sf):
+    root = _log_files(spark, _odd_zeek_lines(spark, sf), _zeek_name, _part())
+    return tidy(logs.parse_zeek(spark, root).select(*_FLOW_OUT))
+
+
+@query("found_files", """
+SELECT DISTINCT concat('iot23-', scenario) AS scenario, concat('part-', flow_id % 16, '/conn.log.labeled') AS file FROM flows""")
+def _(spark, sf):
+    root = _log_files(spark, _odd_zeek_lines(spark, sf), _zeek_name, _part())
+    _log_files(spark, _binetflow_text(spark, sf), _binetflow_name, _part(), root)  # other names in the same folder
+    return logs.find_zeek_files(spark, root).select("scenario", F.substring_index("path", "/", -2).alias("file"))
+
+
+# Six hours around both changes of the clock, in two scenarios.
+_SPRING, _AUTUMN = 1711843200, 1729987200
+
+
+@query("binetflow_dst_files", f"""
+SELECT concat('ctu13-', scenario) AS scenario, src_ip, dst_ip, t AS start_time, t + CAST(round_even(duration_s * 1000000, 0) AS BIGINT) AS end_time
+FROM (SELECT *, CASE WHEN scenario = 'sc-a' THEN CASE WHEN k < 7200 THEN ({_SPRING}::BIGINT + k - 3600) * 1000000 + f
+                          WHEN k < 10800 THEN ({_SPRING}::BIGINT + 3600) * 1000000 ELSE ({_SPRING}::BIGINT + k - 7200) * 1000000 + f END
+                     ELSE CASE WHEN k < 7200 THEN ({_AUTUMN}::BIGINT + k - 7200) * 1000000 + f
+                          WHEN k < 10800 THEN NULL ELSE ({_AUTUMN}::BIGINT + k - 3600) * 1000000 + f END END AS t
+      FROM (SELECT *, flow_id * 977 % 21600 AS k, flow_id % 1000000 AS f FROM flows WHERE flow_id % 4 <> 3))""")
+def _(spark, sf):
+    base = F.when(F.col("scenario") == "sc-a", F.lit(_SPRING)).otherwise(F.lit(_AUTUMN))
+    wall = (base + F.col("flow_id") * 977 % 21600) * 1_000_000 + F.col("flow_id") % 1_000_000
+    root = _log_files(spark, _binetflow_text(spark, sf, wall), _binetflow_name, _part())
+    return tidy(logs.parse_binetflow(spark, root).select("scenario", "src_ip", "dst_ip", "start_time", "end_time"))
+
+
+@query("incremental_parse", f"""
+WITH z AS (SELECT *, CASE WHEN old % 16 < 10 THEN 0 ELSE 1 END AS batch FROM ({{zeek}}))
+SELECT z.* EXCLUDE (old, flow_id), CAST(batch AS BIGINT) AS batch,
+       CAST(row_number() OVER (PARTITION BY scenario ORDER BY batch, start_time) - 1 AS BIGINT) AS flow_id FROM z""".replace(
+    "{zeek}", _ZEEK_FILE_SQL.replace("SELECT CAST(row_number()", "SELECT flow_id AS old, CAST(row_number()", 1)).replace("z.* EXCLUDE (old, flow_id), CAST(batch AS BIGINT) AS batch,", "z.* EXCLUDE (old, flow_id, batch), CAST(batch AS BIGINT) AS batch,"))
+def _(spark, sf):
+    """Two waves of files arrive in one folder; the second run parses the second wave only."""
+    lines, store = _odd_zeek_lines(spark, sf), scratch(spark, "ingested")
+    root = _log_files(spark, lines.where(_part() < 10), _zeek_name, _part())
+    incremental.ingest(spark, "iot23", root, store)
+    _log_files(spark, lines.where(_part() >= 10), _zeek_name, _part(), root)
+    incremental.ingest(spark, "iot23", root, store)
+    incremental.ingest(spark, "iot23", root, store)  # nothing new
+    return tidy(incremental.read_store(spark, store).select(*_FLOW_OUT, "batch"))
+
+
+@query("resume_windows", """
+SELECT scenario, ws, window_idx, n_nodes, n_edges, n_bot_nodes, graph_y, CASE WHEN ws < 1705276800 THEN 0 ELSE 1 END AS run FROM graphs""")
+def _(spark, sf):
+    """Graphs of the days before 15 January, then, from the grown flow store, those of the others."""
+    flows, path, root = V.flows(spark, sf), scratch(spark, "flows"), scratch(spark, "graphs")
+    early = F.unix_seconds("start_time") < 1_705_276_800
+    stores.write_flows(flows.where(early), path)
+    progress.graphs_by_window(spark, path, root, V.WINDOWS, V.GRAPHS)
+    stores.write_flows(flows.where(~early), path, mode="append")
+    progress.graphs_by_window(spark, path, root, V.WINDOWS, V.GRAPHS)
+    t = progress.read_graphs_by_window(spark, root)
+    keys = ["scenario", "window_idx"]
+    n = t.nodes.groupBy(*keys).agg(F.count("*").alias("n_nodes"), F.sum("y").alias("n_bot_nodes"))
+    e = t.edges.groupBy(*keys).agg(F.count("*").alias("n_edges"))
+    return tidy(t.graphs.select(*keys, "window_start", "graph_y", "run").join(n, keys).join(e, keys, "left").fillna(0, ["n_edges"]))
+
+
+@query("resume_sequences", """
+SELECT scenario, ws, ip, count(*) AS seq_len, CASE WHEN ws < 1705276800 THEN 0 ELSE 1 END AS run FROM seq_hash GROUP BY scenario, ws, ip""")
+def _(spark, sf):
+    flows, path, root, seqs = V.flows(spark, sf), scratch(spark, "flows"), scratch(spark, "graphs"), scratch(spark, "sequences")
+    early = F.unix_seconds("start_time") < 1_705_276_800
+    for part, mode in ((early, "overwrite"), (~early, "append")):
+        stores.write_flows(flows.where(part), path, mode=mode)
+        progress.graphs_by_window(spark, path, root, V.WINDOWS, V.GRAPHS)
+        progress.sequences_by_window(spark, path, root, seqs, V.WINDOWS, SEQ)
+    stored_rows = progress.WindowProgress(spark, seqs).read("sequences")
+    return tidy(stored_rows.groupBy("scenario", "window_start", "ip", "run").agg(F.count("*").alias("seq_len")))
+
+
+_HUB = "CASE WHEN flow_id % 5 < 4 THEN 'hub' ELSE dst_ip END"
+
+
+@query("hot_destination_pairs", f"""
+SELECT scenario, ws, src_ip, dst_ip, count(*) AS flows, sum(bytes_fwd)::BIGINT AS bytes_fwd, count(DISTINCT dst_port) AS ports
+FROM (SELECT * EXCLUDE (dst_ip), {_HUB} AS dst_ip FROM kept) k
+WHERE EXISTS (SELECT 1 FROM sel WHERE sel.scenario = k.scenario AND sel.ws = k.ws AND sel.ip = k.src_ip)
+GROUP BY scenario, ws, src_ip, dst_ip HAVING dst_ip = 'hub'""")
+def _(spark, sf):
+    """Four of five flows go to one host; its key is split in the endpoint join."""
+    flows = windowed(spark, sf).withColumn("dst_ip", F.expr(_HUB))
+    hub = windowed(spark, sf).select(*W.WIN).distinct().withColumns({"ip": F.lit("hub"), "node_idx": F.lit(-1)})
+    nodes = selected(spark, sf).select(*W.WIN, "ip", "node_idx").unionByName(hub)
+    joined = G.with_node_index(G.port_table(flows), nodes, split_hot=True).where("dst_ip = 'hub' AND src_ip <> 'hub'")
+    return tidy(G.pair_table(joined).select("scenario", "window_start", "src_ip", "dst_ip", F.col("n_flows").alias("flows"),
+                                           F.col("bytes_fwd").cast("bigint").alias("bytes_fwd"), F.col("distinct_dst_ports").alias("ports")))

@@ -37,7 +37,8 @@ def graphs_job(spark: SparkSession, flow_path: str, out: str, win_cfg: WindowCon
         flows = stores.not_yet_written(flows, f"{out}/graphs")
     tables = build_graphs(flows, win_cfg, cfg, keep_background, share=True)
     try:
-        stores.write_graphs(tables, out)
+        with stages(spark):
+            stores.write_graphs(tables, out)
     finally:
         tables.release()
 

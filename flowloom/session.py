@@ -84,7 +84,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _open: list[list[str]] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
@@ -93,7 +94,7 @@ def drop_stage(df: DataFrame) -> None:
     """Delete the table behind a result of :func:`cut_lineage` that nothing reads again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/stage-" in folder:
-            _delete(df.sparkSession, folder)
+            delete(df.sparkSession, folder)
 
 
 @contextmanager
@@ -106,4 +107,4 @@ def stages(spark: SparkSession) -> Iterator[None]:
     finally:
         _open.remove(written)
         for path in written:
-            _delete(spark, path)
+            delete(spark, path)

@@ -50,11 +50,12 @@ def find_captures(spark: SparkSession, path: str, malware_only: bool = False) ->
 
 # --- CTU-13 binetflow -----------------------------------------------------
 
-_BINETFLOW_RAW = T.StructType([T.StructField(c, T.StringType()) for c in fixed.BINETFLOW_COLUMNS])
+BINETFLOW_RAW = T.StructType([T.StructField(c, T.StringType()) for c in fixed.BINETFLOW_COLUMNS])
 
 
 def _csv(spark: SparkSession, path: str):
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    # Without column pruning the whole header of every file is compared.
+    reader = spark.read.options(header=True, recursiveFileLookup=True, columnPruning=False)
     return reader if path.endswith(".binetflow") else reader.option("pathGlobFilter", BINETFLOW_GLOB)
 
 
@@ -67,7 +68,7 @@ def load_binetflow(spark: SparkSession, path: str) -> DataFrame:
     header = _csv(spark, path).csv(path).columns
     if header != fixed.BINETFLOW_COLUMNS:
         raise ValueError(f"Unexpected columns in {path}: got {header}, expected {fixed.BINETFLOW_COLUMNS}")
-    raw = _csv(spark, path).option("enforceSchema", False).schema(_BINETFLOW_RAW).csv(path)
+    raw = _csv(spark, path).option("enforceSchema", False).schema(BINETFLOW_RAW).csv(path)
     return binetflow_rows(raw.withColumn("file_path", F.col("_metadata.file_path")))
 
 

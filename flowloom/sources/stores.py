@@ -57,6 +57,11 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLOW_SCHEMA).parquet(path).select(*fixed.FLOW_COLUMNS)
 
 
+def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Some columns of one stored table; no rows if nothing was written."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_graphs(tables: GraphTables | GraphBuild, root: str, mode: str = "overwrite") -> None:
     """Store nodes, edges and graphs. ``graphs`` comes last: a scenario counts
     as complete once its graph rows are there."""
@@ -106,14 +111,15 @@ def attach_embeddings(nodes: DataFrame, stored: DataFrame, keys: Sequence[str] =
     return attach(nodes, stored.select(*keys, "emb"), list(keys))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def not_yet_written(df: DataFrame, path: str, keys: Sequence[str] = ("scenario",)) -> DataFrame:
     """Rows whose key is not stored yet; reads only the key columns."""
-    if not _exists(df.sparkSession, path):
+    if not exists(df.sparkSession, path):
         return df
     done = df.sparkSession.read.parquet(path).select(*keys).distinct()
     return df.join(done, list(keys), "left_anti")
