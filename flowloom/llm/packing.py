@@ -14,6 +14,7 @@ at most about one sequence poorly filled.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,13 +22,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowloom.llm.common import chunks, cut_lineage, map_batches, ship
 from flowloom.llm.pieces import tokenizer_path
+from flowloom.llm.words import byte_table, flat_words
 
 KNOWN_TOKENS = 900_000
 KEPT_LENGTH = 40
+CHUNK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -43,42 +47,60 @@ class Capacity:
 class WordIds:
     """Ids of whole texts, put together from those of their space-separated parts.
 
-    The vocabulary drops white space before it merges, so no token crosses it;
-    the library encodes each part once per task (a bounded table).
+    The vocabulary drops white space before it merges, so no token crosses it.
+    A chunk's parts are numbered by Arrow; only its different ones are looked
+    up, and the library encodes each once per task (a bounded table).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts, wanted = [], set()
-        for t in texts:
-            # The vocabulary is lower case. Special ids are spelt in lower case
-            # as well, so texts with such brackets keep their letters.
-            t = t if "<|" in t else t.encode().lower().decode()
-            parts.append(t.replace("\n", " ").split(" "))
-            wanted.update(parts[-1])
-        if len(self.known) + len(wanted) > KNOWN_TOKENS:
+        self.marks = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
+        self.known: dict[bytes, bytes] = {}
+        # The vocabulary is lower case. Special ids are spelt in lower case as
+        # well, so texts with such brackets keep their letters.
+        self.folding, self.plain = byte_table(b" \n", fold=True), byte_table(b" \n")
+
+    def of_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids (as bytes) of different parts."""
+        if len(self.known) + len(parts) > KNOWN_TOKENS:
             self.known.clear()
         known, long = self.known, {}
-        new = [w for w in wanted if w not in known]
+        new = [w for w in parts if w not in known]
         # A letter and a following mark never share a token: encode the word
         # without its mark once for all marks.
-        stem_of = {w: w[:-1] for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()}
-        ask = [w for w in new if w not in stem_of]
-        ask += list({s for s in stem_of.values() if s not in known and s not in wanted})
+        marked = [w for w in new if w[-1] in self.marks and w[:-1].decode("utf-8", "replace")[-1:].isalpha()]
+        stems = {w[:-1] for w in marked}
+        ask = list(stems.difference(known).union(new).difference(marked))
         for at in range(0, len(ask), 20_000):
             piece = ask[at:at + 20_000]
-            for w, e in zip(piece, self.tokenizer.encode_batch_fast(piece, add_special_tokens=False)):
-                (known if len(w) <= KEPT_LENGTH else long)[w] = np.array(e.ids, np.uint32).tobytes()
-        look = {**known, **long} if long else known
-        for w, stem in stem_of.items():
-            look[w] = look[stem] + self.marks[w[-1]]
-        return [np.frombuffer(b"".join(map(look.__getitem__, p)), np.uint32) for p in parts]
+            for w, e in zip(piece, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in piece], add_special_tokens=False)):
+                (known if len(w) <= KEPT_LENGTH else long)[w] = array("I", e.ids).tobytes()
+        for w in marked:
+            stem = w[:-1]
+            (known if len(w) <= KEPT_LENGTH else long)[w] = (known[stem] if stem in known else long[stem]) + self.marks[w[-1]]
+        return [known[w] if w in known else long[w] for w in parts]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every row of a binary column."""
+        out = []
+        special = np.r_[pc.match_substring(texts, "<|").fill_null(False).to_numpy(zero_copy_only=False)]
+        cuts = np.r_[0, np.flatnonzero(np.diff(special)) + 1, len(special)]
+        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if end > at:
+                words = flat_words(texts.slice(at, end - at), self.plain if special[at] else self.folding)
+                parts = self.of_parts(words.names.to_pylist())
+                size = np.array([len(p) // 4 for p in parts], np.int64)
+                ids, first = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
+                length = size[words.code]
+                before = np.cumsum(length) - length
+                at_id = np.arange(int(length.sum()))
+                at_id += np.repeat(first[words.code] - before, length)
+                flat = ids.take(at_id)
+                edges = np.r_[before, len(flat)][np.r_[0, np.cumsum(words.count)]]
+                out += [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -99,10 +121,9 @@ def pieces(docs: DataFrame, size: int, tokenizer: str = "word_bpe_49k.json", end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer))
-        for batch in chunks(batches, "_text"):
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+        for batch in chunks(batches, "_text", CHUNK):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, body in enumerate(words.encode(texts)):
+            for i, body in enumerate(words.encode(batch.column("_text"))):
                 all_ids = np.append(body, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(all_ids), size)):
                     part = all_ids[at:at + size]
@@ -121,7 +142,7 @@ def pieces(docs: DataFrame, size: int, tokenizer: str = "word_bpe_49k.json", end
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(
-        docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text"), run,
+        docs.selectExpr(f"`{id_col}` AS _id", f"CAST(`{text_col}` AS BINARY) AS _text"), run,
         f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     ).withColumnRenamed("_id", id_col)
 
