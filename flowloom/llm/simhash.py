@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.functions.ordered import small_side
-from flowloom.llm.common import chunks, components, cut_lineage, map_batches, release
+from flowloom.llm.common import chunks, components, cut_lineage, free_name, map_batches, release
 
 SEED = 42
 
@@ -150,23 +150,73 @@ def _common_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray,
     return h[order], count[order]
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles end in each of 2^k patterns of low bits, one byte each; 255 means as many or more.
+    There are two to four shingles a pattern, so the sketch is a sixteenth to a thirty-second of the set."""
+    patterns = 1 << max(4, len(shingles).bit_length() - 2)
+    return np.minimum(np.bincount((shingles & np.uint64(patterns - 1)).astype(np.int64), minlength=patterns), 255).astype(np.uint8).tobytes()
+
+
+def most_common(x: bytes, y: bytes) -> float:
+    """An upper bound of the shingles two sets share, from their sketches."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if a.max() == 255 or b.max() == 255:
+        return np.inf
+    patterns = min(len(a), len(b))
+    # A longer sketch becomes a shorter one by leaving out its top bits.
+    return int(np.minimum(a.reshape(-1, patterns).sum(axis=0), b.reshape(-1, patterns).sum(axis=0)).sum())
+
+
+WIDTH = 5  # bytes kept of a shingle's hash
+
+
+def packed_set(shingles: np.ndarray) -> bytes:
+    """The low five bytes of the hashes, sorted: a chance match of two different
+    shingles among a thousand on each side has a probability of 1e-6."""
+    low = np.sort(shingles & np.uint64((1 << (8 * WIDTH)) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return wide.view("<u8")[:, 0]
+
+
+def _maybe(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Adds ``maybe``: whether the sketches of ``a`` and ``b`` leave a chance."""
+
+    def run(batches):
+        for batch in batches:
+            maybe = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("_ka", "_kb", "_na", "_nb"))):
+                maybe.append(most_common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe, pa.bool_())], ["a", "b", "maybe"])
+
+    left = sets.selectExpr("node AS a", "sketch AS _ka", "size AS _na")
+    right = sets.selectExpr("node AS b", "sketch AS _kb", "size AS _nb")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "_ka", "_kb", "_na", "_nb"), run, "a bigint, b bigint, maybe boolean")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Adds ``ok``: whether the shingle sets of ``a`` and ``b`` are similar enough."""
+    """Adds ``ok``: whether the shingle sets of ``a`` and ``b`` are similar enough.
+    Only sets of nodes in ``pairs`` leave the table."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("_sa").to_pylist(), batch.column("_sb").to_pylist()
             ok = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(batch.column("_sa").to_pylist(), batch.column("_sb").to_pylist()):
+                x, y = unpacked_set(x), unpacked_set(y)
+                both = len(np.intersect1d(x, y))
                 union = len(x) + len(y) - both
                 ok.append(union > 0 and both >= similarity * union)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    def side(node: str, column: str) -> DataFrame:
+        wanted = small_side(pairs.select(F.col(node).alias("node")).distinct())
+        return sets.join(wanted, "node", "left_semi").select(F.col("node").alias(node), F.col("shingles").alias(column))
 
-    left = sets.selectExpr("node AS a", "shingles AS _sa")
-    right = sets.selectExpr("node AS b", "shingles AS _sb")
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb"), run, "a bigint, b bigint, ok boolean")
+    return map_batches(pairs.join(side("a", "_sa"), "a").join(side("b", "_sb"), "b").select("a", "b", "_sa", "_sb"), run, "a bigint, b bigint, ok boolean")
 
 
 def _possible(similarity: float, a: str, b: str):
@@ -197,7 +247,9 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        now = cut_lineage(_similar(pairs, shingles, similarity))
+        tested = cut_lineage(_maybe(pairs, shingles, similarity))
+        alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
+        now = alike.unionByName(tested.where("NOT maybe").select("a", "b", F.lit(False).alias("ok")))
         judged = now if judged is None else judged.unionByName(now)
         found = judged.where("ok").select("a", "b")
 
@@ -258,34 +310,25 @@ def _shared(balls: DataFrame) -> DataFrame:
     return cut_lineage(ends.where("_first < _last").drop("_first", "_last"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``component_id`` of every row with an id, by near-copy links.
-
-    Equal texts are one node. A link needs a Jaccard similarity of at least
-    ``similarity`` between the ``words``-word shingle sets. Every such pair meets on
-    one of its rarest shingles (:func:`first_tokens`), and all that meet are
-    linked or compared (:func:`link_balls`), so no link is lost wherever the
-    texts differ: in scattered words, a cut tail or an added block.
-    """
+def _with_digest(docs: DataFrame, text_col: str, name: str = "_digest") -> DataFrame:
+    return docs.withColumn(name, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary")), 256)))
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
 
-        for batch in chunks(batches, "_text"):
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([hashlib.sha256(t.encode()).digest() for t in texts])], ["_id", "digest"])
+def near_copy_nodes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``_digest``, ``_first`` (smallest id), ``node`` and ``component`` (numbers) of every different text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
+            found = [shingle_set(t, words) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([shingle_set(t, words).tobytes() for t in batch.column("_text").to_pylist()])],
-                ["node", "shingles"])
-
-    slim = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS _id", f"`{text_col}` AS _text").where("_id IS NOT NULL")
-    rows = cut_lineage(map_batches(slim, marks, "_id bigint, digest binary"))
-    nodes = cut_lineage(rows.groupBy("digest").agg(F.min("_id").alias("node")))
-    texts = slim.withColumnRenamed("_id", "node").join(small_side(nodes.select("node").distinct()), "node", "left_semi")
+                [batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()),
+                 pa.array([packed_set(x) for x in found], pa.binary())], ["node", "size", "sketch", "shingles"])
+
+    slim = _with_digest(docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS _first", f"`{text_col}` AS _text").where("_first IS NOT NULL"), "_text")
+    # Numbers are drawn while the table is written, so they are unique and stay.
+    nodes = cut_lineage(slim.groupBy("_digest").agg(F.min("_first").alias("_first")).withColumn("node", F.monotonically_increasing_id()))
+    # One row stands for all copies of a text (a repeated row may come twice, which changes nothing).
+    texts = slim.join(small_side(nodes), ["_digest", "_first"]).select("node", "_text")
     common, counts = _common_shingles(texts, nodes.count(), words)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,29 +343,49 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
                  pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, many)]).astype(np.int32))],
                 ["_ball", "node", "_size", "_pos"])
 
-    balls = map_batches(texts, tokens, "_ball bigint, node bigint, _size int, _pos int")
-    met = _shared(balls)
-    shingles = cut_lineage(
-        map_batches(texts.join(small_side(met.select("node").distinct()), "node", "left_semi"),
-                    sets, "node bigint, shingles binary").dropDuplicates())
+    met = _shared(map_batches(texts, tokens, "_ball bigint, node bigint, _size int, _pos int"))
+    shingles = cut_lineage(map_batches(texts.join(small_side(met.select("node").distinct()), "node", "left_semi"), sets,
+                                       "node bigint, size bigint, sketch binary, shingles binary"))
     found = link_balls(met, shingles, similarity)
-    release(met, shingles)
-    groups = components(found, "a", "b")
-    placed = (
-        nodes.select("digest", "node").join(groups, "node", "left")
-        .select("digest", F.coalesce("component", "node").alias("component_id")))
-    return rows.join(placed, "digest").select(F.col("_id").alias(id_col), "component_id")
+    groups = cut_lineage(components(found, "a", "b"))
+    release(met, shingles, found)
+    return nodes.join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``component_id`` of every row with an id, by near-copy links.
+
+    Nodes are the different texts: equal texts are one, and two texts under one
+    id are two (their rows may then have different components). A link needs a
+    Jaccard similarity of at least ``similarity`` between the ``words``-word shingle
+    sets. Every such pair meets on one of its rarest shingles
+    (:func:`first_tokens`), and all that meet are linked or compared
+    (:func:`link_balls`), so no link is lost wherever the texts differ: in
+    scattered words, a cut tail or an added block. ``component_id`` is the smallest
+    id of the group; NULL and empty texts are copies of each other.
+    """
+    placed = cut_lineage(near_copy_nodes(docs, words, similarity, id_col, text_col))
+    least = placed.groupBy("component").agg(F.min("_first").alias("component_id"))
+    by_text = placed.join(small_side(least), "component").select("_digest", "component_id")
+    rows = _with_digest(docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS `{id_col}`", f"`{text_col}` AS _text").where(F.col(id_col).isNotNull()), "_text")
+    return rows.select(id_col, "_digest").join(small_side(by_text), "_digest").select(id_col, "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of every group the row with the
-    smallest id stays, once if it is repeated. Rows without an id stay.
-    Empty texts are copies of each other."""
-    groups = cut_lineage(near_copies(docs, id_col=id_col, text_col=text_col, **options))
-    gone = small_side(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    left = docs.join(gone, id_col, "left_anti")
-    repeated = groups.groupBy(id_col).count().where("count > 1").select(id_col)
-    if repeated.limit(1).count():
-        again = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-        left = left.join(repeated, id_col, "left_anti").unionByName(again)
-    return left
+    smallest id stays, once if it is repeated. Rows without an id stay. Two unlike
+    texts under one id both stay. Empty texts are copies of each other."""
+    placed = cut_lineage(near_copy_nodes(docs, words, similarity, id_col, text_col))
+    stay = placed.groupBy("component").agg(F.min_by(F.struct("_digest", "_first"), F.struct("_first", "node")).alias("s")).select("s.*")
+    # The caller's columns may have any names.
+    digest, first = free_name(docs, "_digest"), free_name(docs, "_first")
+    key = [digest, first]
+    stay = stay.select(F.col("_digest").alias(digest), F.col("_first").alias(first))
+    keyed = _with_digest(docs, text_col, digest).withColumn(first, F.col(f"`{id_col}`").cast("bigint"))
+    left = keyed.join(small_side(stay), key, "left_semi")
+    # A row that is repeated as a whole key is rare; only its copies are moved.
+    several = cut_lineage(left.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key))
+    if several.limit(1).count():
+        once = left.join(small_side(several), key, "left_semi").dropDuplicates(key)
+        left = left.join(small_side(several), key, "left_anti").unionByName(once)
+    return left.select(*docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -150,13 +150,37 @@ def test_linked_texts_are_compared_further(spark):
     sets |= {10 + i: range(1000 * i + 1000, 1000 * i + 1100) for i in range(40)}
     sets |= {60: range(1000, 1105), 61: range(20_000, 20_104), 0: range(500, 600)}
     met = spark.createDataFrame([(7, n, 0, 0) for n in sets], "_ball long, node long, _size int, _pos int")
-    rows = [(n, bytearray(np.array(s, np.uint64).tobytes())) for n, s in sets.items()]
-    found = simhash.link_balls(met, spark.createDataFrame(rows, "node long, shingles binary"), 0.8)
+    rows = [(n, len(s), bytearray(simhash.sketch(np.array(s, np.uint64))), bytearray(simhash.packed_set(np.array(s, np.uint64)))) for n, s in sets.items()]
+    found = simhash.link_balls(met, spark.createDataFrame(rows, "node long, size long, sketch binary, shingles binary"), 0.8)
     from flowloom.llm.common import components
     got = {x.node: x.component for x in components(found, "a", "b").collect()}
     assert got == {1: 1, 5: 1, 2: 1, 6: 1, 10: 10, 60: 10, 29: 29, 61: 29}
 
 
+def test_sketches_bound_and_sets_are_packed():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((1, 1, 1), (5, 0, 0), (500, 700, 300), (500, 520, 0), (3000, 9000, 2000), (1000, 1023, 900)):
+        pool = np.unique(rng.integers(0, 2**64, n + m, np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(pool[n - both:n - both + m])
+        share = len(np.intersect1d(x, y))
+        assert share <= simhash.most_common(simhash.sketch(x), simhash.sketch(y)) <= max(n, m)
+        assert simhash.unpacked_set(simhash.packed_set(x)).tolist() == sorted(int(v) % (1 << 40) for v in x)
+    same = np.arange(10_000, dtype=np.uint64) << np.uint64(20)  # all end in the same bits
+    assert simhash.most_common(simhash.sketch(same), simhash.sketch(same)) == np.inf
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    a, b = " ".join("a%d" % i for i in range(60)), " ".join("b%d" % i for i in range(60))
+    docs = spark.createDataFrame([(5, a, "x", b"d"), (5, b, "y", b"d"), (7, b + " more", "z", b"d"), (9, a, "w", b"d")],
+                                 "doc_id long, text string, _first string, _digest binary")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r._first for r in kept.collect()) == ["x", "y"]
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()) == [(5, 5), (5, 5), (7, 5), (9, 5)]
+    near = spark.createDataFrame([(5, b), (5, b + " more")], "doc_id long, text string")  # alike under one id
+    assert simhash.drop_near_copies(near).count() == 1
+
+
 def test_chains_of_copies_are_one_group(spark):
     r = random.Random(15)
     words = ["w%d" % i for i in range(4000)]
