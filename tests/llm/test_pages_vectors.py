@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 import pandas as pd
 
 from flowloom.llm import article, common, descent, hosts, topk
@@ -52,6 +53,39 @@ def test_article_text(spark):
     assert article.main_text(pages).count() == 9 and article.main_text(pages.limit(0)).count() == 0
 
 
+LONG = "<h1>Head</h1><p>a long article text</p><p>with two paragraphs</p>"
+LONG_TEXT = "Head\na long article text\nwith two paragraphs"
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<div class='layout has-sidebar'><article>%s</article></div>" % LONG, LONG_TEXT),
+    ("<div class='post share-enabled'><article>%s</article></div>" % LONG, LONG_TEXT),
+    ("<div class='sidebar'><article>%s</article></div>" % LONG, LONG_TEXT),  # it holds the article, whatever its name
+    ("<article>%s<section id='comments-policy'><p>policy</p></section></article>" % LONG, LONG_TEXT + "\npolicy"),
+    ("<article>%s<section class='comments'><p>reader</p></section></article>" % LONG, LONG_TEXT),
+    ("<article>%s</article><div class=reader-comments><article><p>me</p></article></div>" % LONG, LONG_TEXT),
+    ("<article>%s</article><article class=comment><p>me too, at some length</p></article>" % LONG, LONG_TEXT),
+    ("<article><p>teaser</p></article><article>%s</article>" % LONG, LONG_TEXT),
+    ("<article><p>one of two posts</p></article><article><p>two of two posts</p></article>", "one of two posts\ntwo of two posts"),
+    ("<p title=it's>before</p><article><p data-x=don't>%s</article>" % LONG, LONG_TEXT),
+    ("<article><p title=\"a > b\">x > y</p><p title='<p>'>z</p></article>", "x > y\nz"),
+    ("<main>%s<label>Name</label><div class='ad-box'>buy</div></main>" % LONG, LONG_TEXT),
+    ("<form id=page>%s<div class=ad>buy</div></form>" % LONG, LONG_TEXT),
+    ("<nav><p>menu</p></nav><div class='cookie-notice'>ok?</div>%s<aside><p>more</p></aside>" % LONG, LONG_TEXT),
+])
+def test_articles_are_not_lost(source, want):
+    _, blocks = article.read_page("<html><body>" + source + "</body></html>")
+    assert article.fill(blocks, set(), set()) == want
+
+
+def test_copies_on_a_host_keep_their_article(spark):
+    body = "<html><body><nav><p>menu</p></nav><div class=body>%s</div></body></html>"
+    rows = [(i, "http://two/%d" % i, body % LONG) for i in range(2)] + [(10 + i, "http://many/%d" % i, body % LONG) for i in range(6)]
+    rows += [(30, "http://many/x", body % "<p>quite different</p>"), (40, "http://near/1", body % (LONG + "<p>1</p>")), (41, "http://near/2", body % LONG)]
+    got = {r.page_id: r.text for r in article.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == LONG_TEXT for i in (0, 1, 10, 15, 41)) and got[30] == "quite different" and got[40]
+
+
 def vectors(spark, seed=1):
     g = np.random.default_rng(seed)
     x = g.standard_normal((400, 16))
