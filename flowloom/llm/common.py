@@ -47,7 +47,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def carried(docs: DataFrame, **columns: str) -> DataFrame:
+    """``docs`` as one struct ``_docs`` and copies of some columns, so that helper
+    columns cannot clash with any name of the caller's."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs")
+    return docs.select(whole, *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+
+
+def given_back(docs: DataFrame, without: Iterable[str] = ()) -> list:
+    """The columns of ``docs`` out of ``_docs``, but for those that a result of the same name replaces."""
+    gone = {c.lower() for c in without}
+    return [F.col(f"_docs.`{c}`").alias(c) for c in docs.columns if c.lower() not in gone]
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
