@@ -239,8 +239,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, neighbours: int =
     ship(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_raw"))
-    norm = F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x)
-    good = rows.where(F.col("_id").isNotNull() & usable(F.col("_raw"))).where(norm > 0)
+    # Squares of small components would vanish; a vector is zero if all of them are.
+    good = rows.where(F.col("_id").isNotNull() & usable(F.col("_raw"))).where(F.exists("_raw", lambda x: F.abs(x) > 0))
     classes = good.groupBy("_raw").agg(F.min("_id").alias("node"), F.count("*").alias("_n"))
 
     def unit(frames):
