@@ -27,9 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowloom.llm.common import chunks, cut_lineage, map_batches, release, ship
+from flowloom.llm.common import carried, chunks, cut_lineage, given_back, map_batches, release, ship
 
 WINDOW = 128
 SHALLOW_WORDS = 2
@@ -380,15 +380,17 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     where nothing is removed. Every byte inside a string of ``length`` bytes that
     also starts at another place of any row is removed; repeated rows are
     different rows, so they remove each other. ``kept_text`` drops the parts of a
-    character that was cut through; the hash is of all kept bytes.
+    character that was cut through; the hash is of all kept bytes. A column of
+    ``docs`` with the name of a result is replaced by it.
     """
+    results = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     intervals = repeated_intervals(docs, length, id_col, text_col, **options)
     by_row = intervals.groupBy("_id", "_row").agg(F.collect_list(F.struct("a", "b")).alias("_cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, "_text"):
             kept, n, gone, spans, sha = [], [], [], [], []
-            for text, cuts in zip(batch.column(text_col).to_pylist(), batch.column("_cut").to_pylist()):
+            for text, cuts in zip(batch.column("_text").to_pylist(), batch.column("_cut").to_pylist()):
                 data = (text or "").encode()
                 merged = merge_intervals([(c["a"], c["b"]) for c in cuts or []])
                 at, parts = 0, []
@@ -402,12 +404,12 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 spans.append(len(merged))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(text if not merged else rest.decode(errors="ignore"))
-            names = [c for c in batch.schema.names if c not in ("_id", "_row", "_cut")]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
-                [*names, "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = keyed(docs, id_col, text_col).join(by_row, ["_id", "_row"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(joined, cut, fields + ", kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+                [batch.column("_docs"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                 pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["_docs", *results])
+
+    rows = carried(docs, _key=id_col, _text=text_col)
+    joined = keyed(rows, "_key", "_text").join(by_row, ["_id", "_row"], "left")
+    kinds = (T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.StringType())
+    done = map_batches(joined, cut, T.StructType([rows.schema["_docs"], *map(T.StructField, results, kinds)]))
+    return done.select(*given_back(docs, results), *results)

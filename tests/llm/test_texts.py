@@ -325,7 +325,7 @@ def test_perplexity_model(spark):
     texts = ["the cat sat on the mat and the dog ran to the cat. " * 3] * 20 + ["zq$$ xx## @@!! " * 9, None, ""]
     docs = frame(spark, texts)
     model = perplexity.train(docs.where("doc_id < 20"))
-    table = perplexity.log_table(model)
+    table = perplexity.log_table(model[1])
     sums = np.exp(table.astype(float)).reshape(-1, perplexity.A).sum(axis=1)
     assert np.allclose(sums, 1, atol=1e-4)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
@@ -337,9 +337,92 @@ def test_perplexity_model(spark):
 
 
 def test_counts_of_grams():
-    code, n = perplexity.grams(["ab", None, "c"])
+    own = "abc"
+    code, n = perplexity.grams(["ab", None, "c"], own)
     assert n.tolist() == [2, 0, 1] and len(code) == 3
-    a, b, c = (perplexity.OWN.index(x) for x in "abc")
+    a, b, c = range(3)
     s = perplexity.SPACE
     as_code = lambda *x: int(sum(v * perplexity.A ** (3 - i) for i, v in enumerate(x)))
     assert code.tolist() == [as_code(s, s, s, a), as_code(s, s, a, b), as_code(s, s, s, c)]
+
+
+def kneser_ney_by_hand(trusted, order=4, symbols=42):
+    """Interpolated modified Kneser-Ney over lists of symbols, as dictionaries: a function (context, symbol) -> probability."""
+    levels = [defaultdict(int)]
+    for t in trusted:
+        for i in range(len(t) - order + 1):
+            levels[0][tuple(t[i:i + order])] += 1
+    for _ in range(order - 1):
+        lower = defaultdict(int)
+        for g in levels[0]:
+            lower[g[1:]] += 1
+        levels.insert(0, lower)
+    tables = []
+    for counts in levels:
+        n1, n2, n3, n4 = (sum(c == k for c in counts.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
+        d = [min(float(k), max(0.0, k - (k + 1) * y * b / a)) if a else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        total, freed = defaultdict(int), defaultdict(float)
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3) - 1]
+        tables.append((counts, d, total, freed))
+
+    def p(context, x):
+        counts, d, total, freed = tables[len(context)]
+        lower = p(context[1:], x) if context else 1 / symbols
+        if context not in total:
+            return lower
+        c = counts.get((*context, x), 0)
+        return (c - (d[min(c, 3) - 1] if c else 0)) / total[context] + freed[context] / total[context] * lower
+
+    return p
+
+
+def test_perplexity_equals_a_model_by_hand(spark):
+    r = random.Random(4)
+    scripts = ["the a cat on mat. ", "και το ένα για ", "как это было и не ", "日本語の文は短い。"]
+    texts = ["".join(r.choice(scripts[k % 4]) for _ in range(r.randint(1, 120))) for k in range(60)] + ["Ab 1!", "", "X" * 9]
+    docs = frame(spark, texts)
+    own = perplexity.alphabet(docs)
+    counts = defaultdict(int)
+    for c in "".join(texts):
+        counts[c] += not (c.isspace() or c.isdigit())
+    assert own == "".join(sorted((c for c in counts if counts[c]), key=lambda c: (-counts[c], ord(c)))[:perplexity.OWN])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    got = {x.doc_id: x for x in perplexity.judge(docs, labels).collect()}
+    own = perplexity.alphabet(docs.where("doc_id < 40"))  # the model's own alphabet
+    table = perplexity._fold_table(own)
+    folded = [[perplexity.SPACE] * 3 + [int(table[ord(c)]) for c in t] for t in texts]
+    p = kneser_ney_by_hand(folded[:40])
+    for i, t in enumerate(texts):
+        if t:
+            logs = [np.log(max(p(tuple(folded[i][k - 3:k]), folded[i][k]), 1e-7)) for k in range(3, len(folded[i]))]
+            assert got[i].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-3)
+
+
+@pytest.mark.parametrize("letters", ["αβγδεηικλμνορστυ", "абвгдеиклмнопрст", "的一是不了人我在有他这中大来上国"])
+def test_junk_is_told_in_every_script(spark, letters):
+    r = random.Random(len(letters))
+    words = ["".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(12)]
+    good = [" ".join(r.choice(words) for _ in range(80)) for _ in range(25)]
+    junk = ["".join(r.choice(letters + " ") for _ in range(300)) for _ in range(5)]
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    kept = {x.doc_id for x in perplexity.judge(frame(spark, good + junk), labels).where("kept").collect()}
+    assert kept == set(range(25))
+
+
+def test_other_columns_may_have_any_name(spark):
+    long = "the same passage of words that two documents share, long enough to be cut. " * 4
+    names = ["_id", "_row", "_cut", "_key", "_text", "_docs", "n_symbols", "log_prob", "adjusted", "_lang", "base", "found", "_spans", "kept_text", "a b"]
+    rows = [(i, t, "en", *[f"{n}{i}" for n in names]) for i, t in enumerate([long + "one", long + "two", None, "mail a@b.co now", ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join("`%s` string" % n.replace("`", "``") for n in names))
+    labels = spark.createDataFrame([(0, 1), (3, 1)], "doc_id long, quality int")
+    judged = perplexity.judge(docs, labels)
+    assert judged.select("doc_id", "_lang", "base", "log_prob").orderBy("doc_id").first() == (0, "_lang0", "base0", "log_prob0")
+    assert judged.columns.count("n_symbols") == 1 and judged.schema["n_symbols"].dataType.simpleString() == "bigint"
+    cut = {r.doc_id: r for r in suffixes.cut_repeats(docs).collect()}
+    assert (cut[1]["_id"], cut[1]["_cut"], cut[1].n_removed > 200, cut[2].kept_text) == ("_id1", "_cut1", True, None)
+    masked = pii.mask_pii(docs)
+    assert masked.columns == docs.columns
+    assert masked.where("doc_id = 3").select("text", "base", "found", "_spans").first() == ("mail [EMAIL] now", "base3", "found3", "_spans3")
