@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.functions.ordered import small_side
-from flowloom.llm.common import chunks, components, cut_lineage, free_name, map_batches, release
+from flowloom.llm.common import batches_of, chunks, components, cut_lineage, free_name, map_batches, release
 
 SEED = 42
 
@@ -248,7 +248,8 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
         if judged is not None:
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         tested = cut_lineage(_maybe(pairs, shingles, similarity))
-        alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
+        with batches_of(pairs.sparkSession, 256):  # two whole sets a row
+            alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
         now = alike.unionByName(tested.where("NOT maybe").select("a", "b", F.lit(False).alias("ok")))
         judged = now if judged is None else judged.unionByName(now)
         found = judged.where("ok").select("a", "b")
