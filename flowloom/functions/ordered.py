@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowloom.session import cut_lineage, drop_stage
 
 SLAB_BYTES = 64 * 1024 * 1024
+LEAST_SLAB_BYTES = 1024 * 1024
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
@@ -30,22 +31,39 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def reads_files(df: DataFrame) -> bool:
+    """Whether ``df`` is projections, filters and explodes over stored files: it can be
+    evaluated twice for the price of a scan, and gives the same rows each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plan.deterministic():
+        return False
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "Generate"):
+            return False
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation")) and len(df.inputFiles()) > 0
+
+
 def lay_out(df: DataFrame, group: Sequence[str], order: Sequence[Column], slabs: int | None = None,
             slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """Cut ``df`` into ordered slabs and tag rows with ``_slab`` and ``_row``.
 
-    The rows are written once, because the slab borders take a pass of their
-    own and the number of slabs follows the written size: about ``slab_bytes``
-    each, and at least the session's shuffle partitions. The result is written
-    as well, as a second evaluation could draw other borders; the first copy is
-    deleted then.
+    The slab borders take a pass of their own. Rows that come straight from
+    files (:func:`reads_files`) are scanned again for it; others are written
+    first. The number of slabs follows the size: about ``slab_bytes`` each, and
+    up to the session's shuffle partitions one for every ``LEAST_SLAB_BYTES``.
+    The result is written, as a second evaluation could draw other borders.
     """
     keys = [*[F.col(c) for c in group], *order]
-    copy = cut_lineage(df)
-    slabs = slabs or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(copy) // slab_bytes))
+    direct = reads_files(df)
+    copy = df if direct else cut_lineage(df)
+    if slabs is None:
+        size, parts = planned_bytes(copy), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slabs = max(1, min(parts, -(-size // LEAST_SLAB_BYTES)), -(-size // slab_bytes))
     numbered = copy.repartitionByRange(slabs, *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
     laid = cut_lineage(numbered.withColumn("_slab", F.shiftright("_row", 33).cast("int")))
-    drop_stage(copy)
+    if not direct:
+        drop_stage(copy)
     return laid
 
 

@@ -212,7 +212,11 @@ def compare_scenarios(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def sweep(scored_at: Callable[[DataFrame], DataFrame], inputs: DataFrame, key: str) -> DataFrame:
     """Metrics of every value of ``key`` and the F1 change to its smallest value."""
-    rows = rates(confusion(scored_at(inputs), [key]))
+    return add_baseline(rates(confusion(scored_at(inputs), [key])), key)
+
+
+def add_baseline(rows: DataFrame, key: str) -> DataFrame:
+    """``delta_f1``: the difference to the F1 of the smallest value of ``key``."""
     base = rows.agg(F.min_by("f1", key).alias("_base"))
     return rows.crossJoin(F.broadcast(base)).withColumn(  # one row
         "delta_f1", F.col("f1") - F.col("_base")).drop("_base")

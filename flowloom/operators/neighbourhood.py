@@ -222,6 +222,31 @@ def robustness(nodes: DataFrame, edges: DataFrame, score: Callable[[DataFrame, D
     return sweep(lambda n: score(n, kept, ["rate", *keys]), at, "rate")
 
 
+def degree_robustness(nodes: DataFrame, edges: DataFrame, predict: Callable[[Column], Column],
+                      rates: Sequence[float] = tuple(fixed.EDGE_DROP_RATES), unit: Column | None = None,
+                      keys: Sequence[str] = KEYS) -> DataFrame:
+    """:func:`robustness` of a score that depends on the in-degree, in one pass.
+
+    An edge is there at every rate up to its uniform number, so the degrees at
+    all rates are counts of one aggregation by node; neither edges nor nodes are
+    copied per rate. The confusion counts of all rates are one further row.
+    ``nodes`` has ``y``; ``predict`` turns a degree into 0 or 1.
+    """
+    from flowloom.operators.metrics import add_baseline, rates as with_rates
+
+    unit = edge_hash() if unit is None else unit
+    degrees = edges.groupBy(*keys, F.col("dst_idx").alias("node_idx")).agg(
+        *[F.count_if(unit >= float(r)).alias(f"_d{i}") for i, r in enumerate(rates)])
+    met = nodes.select(*keys, "node_idx", "y").join(degrees, [*keys, "node_idx"], "left")
+    cells = []
+    for i, r in enumerate(rates):
+        p = predict(F.coalesce(F.col(f"_d{i}"), F.lit(0)))
+        cell = lambda t, v: F.count_if((F.col("y") == t) & (p == v))
+        cells.append(F.struct(F.lit(float(r)).alias("rate"), F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"),
+                              cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")))
+    return add_baseline(with_rates(met.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")), "rate")
+
+
 def _uniforms(n: int, seed: int, keys: Sequence[str]) -> list[Column]:
     return [hash_unit(*keys, F.col("node_idx"), seed=seed + i) for i in range(n)]
 

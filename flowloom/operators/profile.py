@@ -186,6 +186,29 @@ def histogram(df: DataFrame, value: str, group: Sequence[str] = (), bins: int =
         F.min(F.col("_lo") + b * width).alias("bin_start"), F.sum("_n").alias("rows"))
 
 
+def histogram_ticks(df: DataFrame, value: str, group: Sequence[str] = (), bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
+    """:func:`histogram` of integers, with all borders in whole ticks.
+
+    A value lies in bin (value - lowest) x bins div (highest - lowest), the highest
+    in the last one; ``bin_start`` is the smallest integer of the bin. A constant
+    column fills the middle bin. No step rounds, so every engine agrees on every bin.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("bigint").alias("_v"))
+    # Each distinct value once; its bounds come from these counts.
+    counted = rows.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
+    span = counted.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    both = counted.join(span, list(group)) if group else counted.crossJoin(F.broadcast(span))  # one row
+    b = F.expr(f"CASE WHEN _lo = _hi THEN {bins // 2} ELSE least((_v - _lo) * {bins} div (_hi - _lo), {bins - 1}) END")
+    start = F.expr(f"CASE WHEN _lo = _hi THEN _lo ELSE _lo + (bin * (_hi - _lo) + {bins - 1}) div {bins} END")
+    return (both.withColumn("bin", b.cast("int")).withColumn("bin_start", start)
+            .groupBy(*group, "bin", "bin_start").agg(F.sum("_n").alias("rows")))
+
+
+def log_gap_ticks(gaps: DataFrame) -> DataFrame:
+    """log10 of the positive gaps in milliseconds, in millionths."""
+    return log_gaps(gaps).withColumn("log10_ms_ticks", F.round(F.col("log10_ms") * 1_000_000).cast("bigint"))
+
+
 def log_gaps(gaps: DataFrame) -> DataFrame:
     """log10 of the positive gaps in milliseconds."""
     return gaps.where("gap_s > 0").withColumn("log10_ms", F.log10(F.col("gap_s") * 1000 + F.lit(1e-6)))

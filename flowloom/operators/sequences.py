@@ -130,11 +130,19 @@ def unmatched_nodes(nodes: DataFrame, stored: DataFrame, keys: list[str]) -> Dat
 def attach(nodes: DataFrame, stored: DataFrame, keys: list[str] = NODE, check: bool = True) -> DataFrame:
     """Join stored per-node data to nodes; both must list the same nodes.
 
-    A mismatch is an error, never a silent zero-fill.
+    A mismatch is an error, never a silent zero-fill. It is raised by the join
+    itself, which keeps both sides, when a row is met that one of them lacks; so
+    planning runs no job and the sides are read once. Without ``check`` the
+    common nodes are returned.
     """
-    if check:
-        bad = unmatched_nodes(nodes, stored, keys).limit(5).collect()
-        if bad:
-            raise ValueError(f"stored rows and nodes differ, for example {[r.asDict() for r in bad]}")
     extra = [c for c in stored.columns if c in keys or c not in nodes.columns]
-    return nodes.join(stored.select(*extra), keys)
+    if not check:
+        return nodes.join(stored.select(*extra), keys)
+    both = nodes.withColumn("_in_nodes", F.lit(1)).join(stored.select(*extra).withColumn("_in_stored", F.lit(1)), keys, "full")
+    where = F.when(F.col("_in_nodes").isNull(), "stored").otherwise("nodes")
+    message = F.concat(F.lit("stored rows and nodes differ, for example only in "), where, F.lit(": "), F.to_json(F.struct(*keys)))
+    matched = F.col("_in_nodes").isNotNull() & F.col("_in_stored").isNotNull()
+    # Every column carries the test, so none of them can be read without it.
+    tested = [F.when(matched, F.col(c)).otherwise(F.raise_error(message).cast(both.schema[c].dataType)).alias(c)
+              for c in both.columns if c not in ("_in_nodes", "_in_stored")]
+    return both.select(*tested)

@@ -933,6 +933,26 @@ def _(spark, sf):
     return h.groupBy("src").agg(F.sum("rows").alias("rows"))
 
 
+def _ticks(source: str) -> str:
+    """Whole-tick histogram of (src, v) rows, 80 bins."""
+    return f"""
+WITH h AS ({source}), s AS (SELECT src, min(v) AS lo, max(v) AS hi FROM h GROUP BY src),
+b AS (SELECT src, lo, hi, CASE WHEN lo = hi THEN 40 ELSE least((v - lo) * 80 // (hi - lo), 79) END AS bin FROM h JOIN s USING (src))
+SELECT src, CAST(bin AS INT) AS bin, CASE WHEN lo = hi THEN lo ELSE lo + (bin * (hi - lo) + 79) // 80 END AS bin_start, count(*) AS rows
+FROM b GROUP BY src, lo, hi, bin"""
+
+
+@query("gap_histogram", _ticks("SELECT src, CAST(round(log10(gap_s * 1000 + 1e-6) * 1000000) AS BIGINT) AS v FROM hgaps WHERE gap_s > 0"))
+def _(spark, sf):
+    gaps = R.log_gap_ticks(R.host_gaps(P.host_packets(V.packets(spark, sf))))
+    return R.histogram_ticks(gaps, "log10_ms_ticks", ["src"])
+
+
+@query("size_histogram_ticks", _ticks("SELECT src, CAST(size AS BIGINT) AS v FROM hostp"))
+def _(spark, sf):
+    return R.histogram_ticks(P.host_packets(V.packets(spark, sf)), "size", ["src"])
+
+
 @query("top_ports_15", "SELECT dst_port, count(*) AS rows FROM hostp GROUP BY dst_port ORDER BY rows DESC, dst_port LIMIT 15")
 def _(spark, sf):
     return R.top_values(P.host_packets(V.packets(spark, sf)), "dst_port", 15)
@@ -1199,13 +1219,8 @@ f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn
 SELECT {r('rate')}, n, n_pos, tp, fp, fn, tn, {r('f1')}, {r('f1 - (SELECT arg_min(f1, rate) FROM f)', 'delta_f1')} FROM f""")
 def _(spark, sf):
     g = built(spark, sf)
-
-    def score(nodes, edges, keys):
-        deg = edges.groupBy(*keys, F.col("dst_idx").alias("node_idx")).agg(F.count("*").alias("deg"))
-        return nodes.join(deg, [*keys, "node_idx"], "left").select(
-            "rate", F.col("y").alias("y_true"), (F.coalesce("deg", F.lit(0)) >= 2).cast("int").alias("y_pred"))
-
-    out = N.robustness(g.nodes, g.edges, score, unit=_edge_unit())
+    # Labels and pairs are enough: no feature and no source port is computed.
+    out = N.degree_robustness(g.labelled, g.pairs, lambda d: (d >= 2).cast("int"), unit=_edge_unit(), keys=W.WIN)
     return tidy(out.select("rate", "n", "n_pos", "tp", "fp", "fn", "tn", "f1", "delta_f1"))
 
 

@@ -71,8 +71,14 @@ def test_attach_refuses_other_nodes(spark):
     w, nodes = fixture(spark)
     stored = Q.as_arrays(Q.build_sequences(w, nodes, WIN), nodes)
     assert Q.attach(nodes, stored).count() == 4
-    with pytest.raises(ValueError, match="differ"):
-        Q.attach(nodes.where("ip <> 'Z'"), stored)
+    # A join in one piece: nothing runs before the result is asked for.
+    for a, b in ((nodes.where("ip <> 'Z'"), stored), (nodes, stored.where("ip <> 'Z'"))):
+        joined = Q.attach(a, b)
+        with pytest.raises(Exception, match="differ, for example only in"):
+            joined.collect()
+        with pytest.raises(Exception, match="differ, for example only in"):
+            joined.select("flows").collect()
+    assert Q.attach(nodes.where("ip <> 'Z'"), stored, check=False).count() == 3
 
 
 @pytest.mark.parametrize("even", [False, True])
