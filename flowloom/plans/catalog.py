@@ -1310,25 +1310,25 @@ def _trained(spark, sf):
 @query("forest_baseline")
 def _(spark, sf):
     _, (train, _, test) = _trained(spark, sf)
-    model = models.fit_forest(train, trees=20, depth=8)
+    model = models.fit_forest(cut_lineage(train))
     return tidy(M.evaluate(models.score_table(model, test)))
 
 
 @query("forest_importances")
 def _(spark, sf):
     _, (train, _, _) = _trained(spark, sf)
-    return tidy(models.importances(spark, models.fit_forest(train, trees=20, depth=8)))
+    return tidy(models.importances(spark, models.fit_forest(cut_lineage(train))))
 
 
 @query("boosted_baseline")
 def _(spark, sf):
     _, (train, val, test) = _trained(spark, sf)
-    return tidy(M.evaluate(models.score_table(models.fit_boosted(train, val, rounds=5, depth=4), test)))
+    return tidy(M.evaluate(models.score_table(models.fit_boosted(train, val), test)))
 
 
 @query("sanity_check")
 def _(spark, sf):
-    return tidy(models.sanity_check(built(spark, sf).nodes, trees=20, depth=8))
+    return tidy(models.sanity_check(cut_lineage(built(spark, sf).nodes)))
 
 
 _METRIC_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM runs" for m in ("f1", "precision", "recall", "fn"))
