@@ -48,23 +48,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def carried(docs: DataFrame, **columns: str) -> DataFrame:
-    """``docs`` as one struct ``_docs`` and copies of some columns, so that helper
-    columns cannot clash with any name of the caller's."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs")
-    return docs.select(whole, *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns _c0, _c1, ..., so that no name of the caller's clashes
+    with a helper column, and the new name of each column."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
-def given_back(docs: DataFrame, without: Iterable[str] = ()) -> list:
-    """The columns of ``docs`` out of ``_docs``, but for those that a result of the same name replaces."""
+def given_back(names: dict[str, str], without: Iterable[str] = ()) -> list:
+    """The columns of :func:`renamed` under their own names, but for those that a result of the same name replaces."""
     gone = {c.lower() for c in without}
-    return [F.col(f"_docs.`{c}`").alias(c) for c in docs.columns if c.lower() not in gone]
+    return [F.col(new).alias(c) for c, new in names.items() if c.lower() not in gone]
 
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors. A task gives the
+    memory that Arrow holds for reuse back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 @contextmanager

@@ -20,7 +20,7 @@ from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowloom.llm.common import carried, cut_lineage, given_back
+from flowloom.llm.common import cut_lineage, given_back, renamed
 
 # Kinds in their output order, the base patterns (written so that
 # each is matched without backtracking into a run; \G admits a match right
@@ -301,10 +301,11 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans become one replacement, named after the first. Rows
     without spans, NULL texts included, stay as they are.
     """
-    spans = candidates(carried(docs, _text=text_col), "_text")
+    named, at = renamed(docs)
+    spans = candidates(named, at[text_col])
     weights = train(cut_lineage(candidates(docs.select(text_col), text_col).select("_spans")))
     rows = decided(spans, weights)
-    text = F.col("_text")
+    text = F.col(at[text_col])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -316,4 +317,4 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     masked = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     changed = F.when(F.size("found") > 0, masked).otherwise(text)
-    return rows.select(*[changed.alias(text_col) if name == text_col else column for name, column in zip(docs.columns, given_back(docs))])
+    return rows.select(*[changed.alias(text_col) if name == text_col else column for name, column in zip(at, given_back(at))])

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowloom.llm.common import carried, chunks, cut_lineage, given_back, map_batches, release, ship
+from flowloom.llm.common import chunks, cut_lineage, given_back, map_batches, release, renamed, ship
 
 WINDOW = 128
 SHALLOW_WORDS = 2
@@ -384,20 +384,21 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     ``docs`` with the name of a result is replaced by it.
     """
     results = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows, at = renamed(docs)
     intervals = repeated_intervals(docs, length, id_col, text_col, **options)
     by_row = intervals.groupBy("_id", "_row").agg(F.collect_list(F.struct("a", "b")).alias("_cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
+        for batch in chunks(batches, at[text_col]):
             kept, n, gone, spans, sha = [], [], [], [], []
-            for text, cuts in zip(batch.column("_text").to_pylist(), batch.column("_cut").to_pylist()):
+            for text, cuts in zip(batch.column(at[text_col]).to_pylist(), batch.column("_cut").to_pylist()):
                 data = (text or "").encode()
                 merged = merge_intervals([(c["a"], c["b"]) for c in cuts or []])
-                at, parts = 0, []
+                end, parts = 0, []
                 for a, b in merged:
-                    parts.append(data[at:a])
-                    at = b
-                parts.append(data[at:])
+                    parts.append(data[end:a])
+                    end = b
+                parts.append(data[end:])
                 rest = b"".join(parts)
                 n.append(len(data))
                 gone.append(len(data) - len(rest))
@@ -405,11 +406,10 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(text if not merged else rest.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_docs"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["_docs", *results])
+                [*[batch.column(c) for c in at.values()], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                 pa.array(spans, pa.int64()), pa.array(sha, pa.string())], [*at.values(), *results])
 
-    rows = carried(docs, _key=id_col, _text=text_col)
-    joined = keyed(rows, "_key", "_text").join(by_row, ["_id", "_row"], "left")
+    joined = keyed(rows, at[id_col], at[text_col]).join(by_row, ["_id", "_row"], "left")
     kinds = (T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.StringType())
-    done = map_batches(joined, cut, T.StructType([rows.schema["_docs"], *map(T.StructField, results, kinds)]))
-    return done.select(*given_back(docs, results), *results)
+    done = map_batches(joined, cut, T.StructType([*rows.schema, *map(T.StructField, results, kinds)]))
+    return done.select(*given_back(at, results), *results)
