@@ -22,3 +22,28 @@ def test_stages_keep_the_columns_and_work(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from flowloom.session import cut_lineage
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    columns = docs.columns
+    first = docs.where("doc_id = 3")
+    odd = docs.unionByName(first).unionByName(first.withColumn("text", F.reverse("text")))  # a repeated row, one id with two texts
+    odd = odd.unionByName(docs.where("doc_id = 4").withColumns({"doc_id": F.lit(None).cast("bigint"), "lang": F.lit(None).cast("string")}))
+    odd = odd.unionByName(docs.where("doc_id IN (5, 6)").withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.when(F.col("doc_id") == 5, "")}))
+    # Other columns, named like helpers and results.
+    names = ["_id", "_row", "_text", "_digest", "_first", "n_symbols", "kept", "found", "base", "kept_text", "length"]
+    for name in names:
+        odd = odd.withColumn(name, F.lit(name))
+    odd = cut_lineage(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, SF)
+        assert odd.columns == [*columns, *names], name
+        odd = cut_lineage(odd)
+    assert {r[n] for r in odd.collect() for n in names} == set(names)
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert packed.where("piece = 0").count() == odd.count()
