@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm import packing, perplexity, pii, simhash, suffixes
-from flowloom.llm.common import read
+from flowloom.llm.common import given_back, read, renamed
 from flowloom.session import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's quantile stay."""
-    return perplexity.judge(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    rows, at = renamed(docs)
+    judged = perplexity.judge(rows, read(spark, sf_dir, "labels"), id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"])
+    return judged.where("kept").select(*given_back(at))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that occur elsewhere as well are cut out of the texts."""
-    cut = suffixes.cut_repeats(docs)
-    return cut.select(*[F.col("kept_text").alias("text") if c == "text" else
-                        F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows, at = renamed(docs)
+    cut = suffixes.cut_repeats(rows, id_col=at["doc_id"], text_col=at["text"])
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*[changed.get(c, F.col(name)).alias(c) for c, name in at.items()])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
