@@ -247,8 +247,8 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        tested = cut_lineage(_maybe(pairs, shingles, similarity))
-        with batches_of(pairs.sparkSession, 256):  # two whole sets a row
+        with batches_of(pairs.sparkSession, 256):  # two sketches or two whole sets a row
+            tested = cut_lineage(_maybe(pairs, shingles, similarity))
             alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
         now = alike.unionByName(tested.where("NOT maybe").select("a", "b", F.lit(False).alias("ok")))
         judged = now if judged is None else judged.unionByName(now)
