@@ -19,6 +19,8 @@ from flowloom.operators.metrics import confusion, rates
 from flowloom.operators.scaling import class_weights, with_weight
 from flowloom.session import checkpoint_dir
 
+FEW_ROWS, MOST_ROWS = 20_000, 2_000_000  # training rows a task
+PASS_MB = 512  # statistics of the nodes that one task of a forest's pass holds
 SCORED = "scenario string, window_idx int, node_idx int, y_true int, y_pred int, proba double"
 
 
@@ -26,21 +28,45 @@ def assemble(nodes: DataFrame, features: Sequence[str] = tuple(fixed.NODE_FEATUR
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(nodes)
 
 
+def fit_tasks(rows: int, cores: int, least: int = 1) -> int:
+    """Tasks of every job of a fit: no more than there are cores, ``least`` at least,
+    and more only where one would hold over MOST_ROWS."""
+    return max(least, min(cores, -(-rows // FEW_ROWS)), -(-rows // MOST_ROWS))
+
+
 @contextmanager
-def _kept(rows: DataFrame) -> Iterator[DataFrame]:
-    """Keep training rows in executor storage while a fit passes over them."""
-    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+def _kept(rows: DataFrame, all_cores: bool = False) -> Iterator[DataFrame]:
+    """Keep training rows in executor storage while a fit passes over them.
+
+    They are dealt evenly over :func:`fit_tasks` partitions, whatever files they came from:
+    a fit runs up to thousands of short jobs, and every task of each reports to the driver.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    found = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = None
     try:
+        kept = found.repartition(fit_tasks(found.count(), cores, cores if all_cores else 1)).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.count()
+        found.unpersist()
         yield kept
     finally:
-        kept.unpersist()
+        found.unpersist()
+        if kept is not None:
+            kept.unpersist()
 
 
 def fit_forest(train: DataFrame, trees: int = 500, depth: int = 30, seed: int = fixed.SEED, label: str = "y",
                features: Sequence[str] = tuple(fixed.NODE_FEATURES)) -> Model:
-    """Random forest with balanced class weights. Spark limits depth to 30."""
-    rf = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
-    with _kept(train.select(label, *features)) as rows:
+    """Random forest with balanced class weights. Spark limits depth to 30.
+
+    Splits are searched for on all cores, many nodes in one pass, and each row's node in
+    every tree is kept, so that a pass does not walk deep trees from their roots. These
+    settings change the passes, not the model's parameters.
+    """
+    checkpoint_dir(train.sparkSession)  # the kept node numbers cut their lineage there
+    rf = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed,
+                                cacheNodeIds=True, maxMemoryInMB=PASS_MB)
+    with _kept(train.select(label, *features), all_cores=True) as rows:
         return rf.fit(assemble(with_weight(rows, label), features))
 
 
