@@ -426,3 +426,24 @@ def test_other_columns_may_have_any_name(spark):
     masked = pii.mask_pii(docs)
     assert masked.columns == docs.columns
     assert masked.where("doc_id = 3").select("text", "base", "found", "_spans").first() == ("mail [EMAIL] now", "base3", "found3", "_spans3")
+
+
+def test_characters_of_one_class_are_told_apart(spark):
+    r = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(300)]  # all but 37 share a symbol
+    write = lambda some: "".join(r.choice(some) for _ in range(200))
+    good = [write(letters) for _ in range(40)]
+    other = [write([chr(0x6E00 + i) for i in range(300)]) for _ in range(4)]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    docs = frame(spark, good + other)
+    own, _, (at, n) = perplexity.train(docs.where("doc_id < 30"))
+    assert dict(zip(at.tolist(), n.tolist())) == {ord(c): "".join(good[:30]).count(c) for c in set("".join(good[:30]))}
+    p, symbol = np.exp(perplexity.within_class(own, at, n).astype(float)), perplexity._fold_table(own)
+    assert np.allclose(np.bincount(symbol, p, minlength=perplexity.A)[len(own):], 1, atol=1e-3)
+    got = {x.doc_id: x for x in perplexity.judge(docs, labels).collect()}
+    kept = {i for i in got if got[i].kept}
+    assert set(range(30)) <= kept and len(kept & set(range(30, 40))) >= 8 and not kept & set(range(40, 44))
+    # By their symbols alone the others would be the best texts of all.
+    assert max(got[i].perplexity for i in range(40, 44)) < min(got[i].perplexity for i in range(40))
+    rest = sum(np.log(p[ord(c)]) for c in good[35])
+    assert got[35].char_perplexity == pytest.approx(got[35].perplexity * np.exp(-rest / 200), rel=1e-4)
