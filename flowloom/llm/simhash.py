@@ -78,6 +78,19 @@ def linked_pairs(values: DataFrame, distance: int = 2, col: str = "fp") -> DataF
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
+def simhash_links(fps: DataFrame, distance: int = 2, node: str = "node") -> DataFrame:
+    """Links ``a``, ``b`` between nodes whose components are those of all links of at most
+    ``distance`` differing bits. ``fps`` has ``node`` and ``fp``; nodes with an equal
+    fingerprint are linked to the smallest of them, which stands for it."""
+    leads = cut_lineage(fps.groupBy("fp").agg(F.min(node).alias("_lead")))
+    equal = fps.join(leads, "fp").where(F.col(node) != F.col("_lead")).select(F.col("_lead").alias("a"), F.col(node).alias("b"))
+    low, high = leads.selectExpr("fp AS a", "_lead AS _low"), leads.selectExpr("fp AS b", "_lead AS _high")
+    near = linked_pairs(leads, distance).join(low, "a").join(high, "b").selectExpr("_low AS a", "_high AS b")
+    found = cut_lineage(equal.unionByName(near))
+    release(leads)
+    return found
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``fp``, ``fingerprint`` (hex) and ``component_id``: the smallest id
     reachable over links of at most ``distance`` differing bits.
@@ -97,7 +110,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
         id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# -- near-duplicate texts, checked by their shingles -----------------------
+# -- near-duplicate texts: SimHash links, and links by shingles ------------
 
 TILE = 512
 SAMPLE = 4096
@@ -227,7 +240,7 @@ def _possible(similarity: float, a: str, b: str):
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
 
 
-def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """Links ``a``, ``b`` whose components are those of all similar pairs that share a ball.
 
     ``met`` has ``_ball``, ``node``, ``_size`` and ``_pos`` of balls with several nodes.
@@ -236,11 +249,12 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     ball, as every pair with it is tested. A ball stays while it holds more
     than one component; at last all pairs of nodes of different components in the
     remaining balls are compared, large balls tile by tile. So no pair is left
-    untested because its nodes were linked to others before.
+    untested because its nodes were linked to others before. Links that are ``known``
+    beforehand are kept, and what they settle is not compared again.
     """
     by_ball = Window.partitionBy("_ball")
     item = F.struct("node", "_size", "_pos")
-    found = judged = None
+    found, judged = known, None
 
     def judge(pairs: DataFrame) -> None:
         nonlocal found, judged
@@ -252,7 +266,8 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
             alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
         now = alike.unionByName(tested.where("NOT maybe").select("a", "b", F.lit(False).alias("ok")))
         judged = now if judged is None else judged.unionByName(now)
-        found = judged.where("ok").select("a", "b")
+        alike = judged.where("ok").select("a", "b")
+        found = alike if known is None else known.select("a", "b").unionByName(alike)
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """Balls that hold several components, with the component of each node."""
@@ -261,7 +276,7 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
         spread = placed.withColumns({"_first": F.min("_of").over(by_ball), "_last": F.max("_of").over(by_ball)})
         return cut_lineage(spread.where("_first < _last").drop("_first", "_last"))
 
-    rows = met
+    rows = met if known is None else unsettled(met)
     for _ in range(2):
         led = rows.withColumns({"_x": item, "_low": F.min(item).over(by_ball)})
         if "_of" in rows.columns:
@@ -330,6 +345,7 @@ def near_copy_nodes(docs: DataFrame, words: int, similarity: float, id_col: str,
     nodes = cut_lineage(slim.groupBy("_digest").agg(F.min("_first").alias("_first")).withColumn("node", F.monotonically_increasing_id()))
     # One row stands for all copies of a text (a repeated row may come twice, which changes nothing).
     texts = slim.join(small_side(nodes), ["_digest", "_first"]).select("node", "_text")
+    near = simhash_links(cut_lineage(fingerprints(texts, id_col="node", text_col="_text")))
     common, counts = _common_shingles(texts, nodes.count(), words)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,9 +363,9 @@ def near_copy_nodes(docs: DataFrame, words: int, similarity: float, id_col: str,
     met = _shared(map_batches(texts, tokens, "_ball bigint, node bigint, _size int, _pos int"))
     shingles = cut_lineage(map_batches(texts.join(small_side(met.select("node").distinct()), "node", "left_semi"), sets,
                                        "node bigint, size bigint, sketch binary, shingles binary"))
-    found = link_balls(met, shingles, similarity)
+    found = link_balls(met, shingles, similarity, near)
     groups = cut_lineage(components(found, "a", "b"))
-    release(met, shingles, found)
+    release(met, shingles, found)  # the files of `near` are among those of `found`
     return nodes.join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -357,9 +373,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """``id_col`` and ``component_id`` of every row with an id, by near-copy links.
 
     Nodes are the different texts: equal texts are one, and two texts under one
-    id are two (their rows may then have different components). A link needs a
-    Jaccard similarity of at least ``similarity`` between the ``words``-word shingle
-    sets. Every such pair meets on one of its rarest shingles
+    id are two (their rows may then have different components). Texts are linked by
+    SimHash, as in :func:`simhash_groups`: fingerprints of 3-word shingles that differ in
+    at most 2 bits meet on a ball. A cut tail or an added block changes more bits, so
+    texts with a Jaccard similarity of at least ``similarity`` between their ``words``-word
+    shingle sets are linked as well. Every such pair meets on one of its rarest shingles
     (:func:`first_tokens`), and all that meet are linked or compared
     (:func:`link_balls`), so no link is lost wherever the texts differ: in
     scattered words, a cut tail or an added block. ``component_id`` is the smallest

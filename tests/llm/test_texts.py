@@ -447,3 +447,16 @@ def test_characters_of_one_class_are_told_apart(spark):
     assert max(got[i].perplexity for i in range(40, 44)) < min(got[i].perplexity for i in range(40))
     rest = sum(np.log(p[ord(c)]) for c in good[35])
     assert got[35].char_perplexity == pytest.approx(got[35].perplexity * np.exp(-rest / 200), rel=1e-4)
+
+
+def test_near_copies_are_linked_by_simhash(spark):
+    r = random.Random(9)
+    passage = " ".join("p%d" % i for i in range(11))  # an odd number: no bit is a tie
+    # One passage for the most part, and ends that make the shingle sets unlike.
+    texts = [(passage + " ") * 300 + " ".join("%s%d" % (r.choice("xyz"), r.randrange(10**6)) for _ in range(8)) for _ in range(4)]
+    texts += [" ".join("w%d" % r.randrange(10**6) for _ in range(80)) for _ in range(4)]
+    assert len(set(brute_groups(texts).values())) == 8
+    want = {x.doc_id: x.component_id for x in simhash.simhash_groups(frame(spark, texts)).collect()}
+    assert len(set(want.values())) == 5
+    assert {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, texts)).collect()} == want
+    assert sorted(x.doc_id for x in simhash.drop_near_copies(frame(spark, texts)).collect()) == [0, 4, 5, 6, 7]
