@@ -29,9 +29,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowloom.llm.common import chunks, cut_lineage, given_back, map_batches, release, renamed, ship
+from flowloom.llm.common import batches_of, chunks, cut_lineage, given_back, map_batches, release, renamed, ship
 
 WINDOW = 128
+PIECE = 1 << 18  # bytes of text that a task looks for anchors in at once; a dozen arrays of 8 bytes for each of them
+ROWS = 1000  # texts that a task gets at once
 SHALLOW_WORDS = 2
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -268,7 +270,7 @@ def repeated_intervals(docs: DataFrame, length: int = 200, id_col: str = "doc_id
     tail = -(-length // 8) * 8
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
+        for batch in chunks(batches, "_text", PIECE):
             texts = [(t or "").encode() for t in batch.column("_text").to_pylist()]
             buf, t, a, first, last, offset = anchors(texts, length)
             whole = last + length - first
@@ -280,7 +282,8 @@ def repeated_intervals(docs: DataFrame, length: int = 200, id_col: str = "doc_id
             ], ["_id", "_row", "core", "whole", "at", "first", "last"])
 
     slim = keyed(docs, id_col, text_col).select("_id", "_row", F.col(text_col).alias("_text"))
-    found = cut_lineage(map_batches(slim, find, "_id bigint, _row bigint, core bigint, whole bigint, `at` int, first int, last int"))
+    with batches_of(docs.sparkSession, ROWS):
+        found = cut_lineage(map_batches(slim, find, "_id bigint, _row bigint, core bigint, whole bigint, `at` int, first int, last int"))
     # Map-side combined counts: however many copies there are, one row a task.
     by_run = found.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row", "at", "first", "last")).alias("one"))
     by_core = by_run.groupBy("core").agg(F.sum("n").alias("_all"), F.count("*").alias("kinds")).where("_all > 1").drop("_all")
@@ -318,10 +321,11 @@ def _contexts(slim: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
 
     asked = open_runs.groupBy("_id", "_row").agg(F.collect_list(F.struct("core", "kinds", "ask", "at", "first", "last")).alias("asked"))
     # A repeated row is read as often as it occurs; one of them serves.
-    return cut_lineage(map_batches(
-        slim.join(asked, ["_id", "_row"]), contexts,
-        "_id bigint, _row bigint, core bigint, kinds bigint, ask boolean, `at` int, first int, last int, `left` binary, `right` binary"
-    ).dropDuplicates(["_id", "_row", "core", "at"]))
+    with batches_of(slim.sparkSession, ROWS):
+        return cut_lineage(map_batches(
+            slim.join(asked, ["_id", "_row"]), contexts,
+            "_id bigint, _row bigint, core bigint, kinds bigint, ask boolean, `at` int, first int, last int, `left` binary, `right` binary"
+        ).dropDuplicates(["_id", "_row", "core", "at"]))
 
 
 def _borders(around: DataFrame, length: int, core: int, tail: int, rows_per_task: int, largest_group: int) -> DataFrame:

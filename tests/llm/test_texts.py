@@ -460,3 +460,30 @@ def test_near_copies_are_linked_by_simhash(spark):
     assert len(set(want.values())) == 5
     assert {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, texts)).collect()} == want
     assert sorted(x.doc_id for x in simhash.drop_near_copies(frame(spark, texts)).collect()) == [0, 4, 5, 6, 7]
+
+
+def test_shuffle_files_go_with_the_stage(tmp_path):
+    import subprocess
+    import sys
+
+    # A session of its own: the other tests' files lie in the same folder.
+    code = """
+import glob, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.local.dir", sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+from flowloom.session import DROP_SHUFFLES, cut_lineage
+rows = cut_lineage(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count())
+assert rows.count() == 7 and spark.conf.get(DROP_SHUFFLES, None) in (None, "false"), spark.conf.get(DROP_SHUFFLES, None)
+again = cut_lineage(rows.repartition(3, "k"))
+assert sorted(again.collect()) == sorted(rows.collect())
+import time; time.sleep(1)
+before = set(glob.glob(sys.argv[1] + "/**/shuffle_*_*_*.data", recursive=True))
+cut_lineage(rows.repartition(3, "k"))
+time.sleep(1)
+after = set(glob.glob(sys.argv[1] + "/**/shuffle_*_*_*.data", recursive=True))
+print("left", len(after - before))
+"""
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, timeout=120, cwd=root)
+    assert "left 0" in done.stdout, done.stdout + done.stderr[-2000:]
