@@ -112,6 +112,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
 
 # -- near-duplicate texts: SimHash links, and links by shingles ------------
 
+ROWS = 1000  # texts that a task gets at once
 TILE = 512
 SAMPLE = 4096
 COMMON = 200_000
@@ -258,9 +259,12 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
 
     def judge(pairs: DataFrame) -> None:
         nonlocal found, judged
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if judged is None:
+            pairs = pairs.distinct()
+        else:  # counted, not joined: a broadcast by two columns takes a page of memory on every executor
+            both = pairs.withColumn("_old", F.lit(False)).unionByName(judged.select("a", "b", F.lit(True).alias("_old")))
+            pairs = both.groupBy("a", "b").agg(F.max("_old").alias("_old")).where("NOT _old").drop("_old")
         with batches_of(pairs.sparkSession, 256):  # two sketches or two whole sets a row
             tested = cut_lineage(_maybe(pairs, shingles, similarity))
             alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
@@ -331,7 +335,7 @@ def _with_digest(docs: DataFrame, text_col: str, name: str = "_digest") -> DataF
 
 
 def near_copy_nodes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``_digest``, ``_first`` (smallest id), ``node`` and ``component`` (numbers) of every different text."""
+    """``_digest``, ``_first`` (smallest id), ``_n`` (rows with both), ``node`` and ``component`` (numbers) of every different text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
@@ -340,13 +344,18 @@ def near_copy_nodes(docs: DataFrame, words: int, similarity: float, id_col: str,
                 [batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()),
                  pa.array([packed_set(x) for x in found], pa.binary())], ["node", "size", "sketch", "shingles"])
 
+    spark = docs.sparkSession
     slim = _with_digest(docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS _first", f"`{text_col}` AS _text").where("_first IS NOT NULL"), "_text")
+    rows = slim.groupBy("_digest", "_first").agg(F.count("*").alias("_n"))
+    least = rows.groupBy("_digest").agg(F.min(F.struct("_first", "_n")).alias("_l")).select("_digest", "_l.*")
     # Numbers are drawn while the table is written, so they are unique and stay.
-    nodes = cut_lineage(slim.groupBy("_digest").agg(F.min("_first").alias("_first")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut_lineage(least.withColumn("node", F.monotonically_increasing_id()))
     # One row stands for all copies of a text (a repeated row may come twice, which changes nothing).
-    texts = slim.join(small_side(nodes), ["_digest", "_first"]).select("node", "_text")
-    near = simhash_links(cut_lineage(fingerprints(texts, id_col="node", text_col="_text")))
-    common, counts = _common_shingles(texts, nodes.count(), words)
+    # It is written, as four jobs read it: each join would leave its broadcast of all digests in the executors' heap.
+    texts = cut_lineage(slim.join(small_side(nodes.select("_digest", "_first", "node")), ["_digest", "_first"]).select("node", "_text"))
+    with batches_of(spark, ROWS):
+        near = simhash_links(cut_lineage(fingerprints(texts, id_col="node", text_col="_text")))
+        common, counts = _common_shingles(texts, nodes.count(), words)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
@@ -360,9 +369,11 @@ def near_copy_nodes(docs: DataFrame, words: int, similarity: float, id_col: str,
                  pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, many)]).astype(np.int32))],
                 ["_ball", "node", "_size", "_pos"])
 
-    met = _shared(map_batches(texts, tokens, "_ball bigint, node bigint, _size int, _pos int"))
-    shingles = cut_lineage(map_batches(texts.join(small_side(met.select("node").distinct()), "node", "left_semi"), sets,
-                                       "node bigint, size bigint, sketch binary, shingles binary"))
+    with batches_of(spark, ROWS):
+        met = _shared(map_batches(texts, tokens, "_ball bigint, node bigint, _size int, _pos int"))
+        shingles = cut_lineage(map_batches(texts.join(small_side(met.select("node").distinct()), "node", "left_semi"), sets,
+                                           "node bigint, size bigint, sketch binary, shingles binary"))
+    release(texts)
     found = link_balls(met, shingles, similarity, near)
     groups = cut_lineage(components(found, "a", "b"))
     release(met, shingles, found)  # the files of `near` are among those of `found`
@@ -395,15 +406,16 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     smallest id stays, once if it is repeated. Rows without an id stay. Two unlike
     texts under one id both stay. Empty texts are copies of each other."""
     placed = cut_lineage(near_copy_nodes(docs, words, similarity, id_col, text_col))
-    stay = placed.groupBy("component").agg(F.min_by(F.struct("_digest", "_first"), F.struct("_first", "node")).alias("s")).select("s.*")
+    stay = placed.groupBy("component").agg(F.min_by(F.struct("_digest", "_first", "_n"), F.struct("_first", "node")).alias("s")).select("s.*")
     # The caller's columns may have any names.
     digest, first = free_name(docs, "_digest"), free_name(docs, "_first")
     key = [digest, first]
-    stay = stay.select(F.col("_digest").alias(digest), F.col("_first").alias(first))
+    stay = cut_lineage(stay)
+    named = stay.select(F.col("_digest").alias(digest), F.col("_first").alias(first), "_n")
     keyed = _with_digest(docs, text_col, digest).withColumn(first, F.col(f"`{id_col}`").cast("bigint"))
-    left = keyed.join(small_side(stay), key, "left_semi")
+    left = keyed.join(small_side(named.select(*key)), key, "left_semi")
     # A row that is repeated as a whole key is rare; only its copies are moved.
-    several = cut_lineage(left.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key))
+    several = cut_lineage(named.where("_n > 1").select(*key))
     if several.limit(1).count():
         once = left.join(small_side(several), key, "left_semi").dropDuplicates(key)
         left = left.join(small_side(several), key, "left_anti").unionByName(once)

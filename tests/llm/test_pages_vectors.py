@@ -159,3 +159,28 @@ def test_rare_isolated_pairs_are_found(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_vectors(df).collect()}
     assert all(got[i] == (0, i) for i in range(400, 10_000))
     assert sum(got[10_000 + i] == (1, i) for i in range(400)) >= 0.97 * 400
+
+
+def test_components_end_with_the_stars(spark, monkeypatch):
+    """No round more than it takes, and no broadcast join of all edges to see that."""
+    written = []
+    made = common.cut_lineage
+    monkeypatch.setattr(common, "cut_lineage", lambda df: written.append(1) or made(df))
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    least = {x: x for p in pairs for x in p}
+    while True:
+        now = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if now == least:
+            break
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    alone = {a for a, b in pairs if a == b}
+    assert got == {n: c for n, c in least.items() if n in got} and set(least) - set(got) <= alone
+    written.clear()
+    common.components(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), "a", "b")
+    assert len(written) == 2
+    written.clear()
+    common.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), "a", "b")
+    assert len(written) == 2  # the first round makes the star

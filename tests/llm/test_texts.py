@@ -487,3 +487,27 @@ print("left", len(after - before))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, timeout=120, cwd=root)
     assert "left 0" in done.stdout, done.stdout + done.stderr[-2000:]
+
+
+def test_texts_meet_their_digests_once(spark, monkeypatch):
+    """What reads the different texts reads a written table; the join with all digests is not planned again."""
+    plans = []
+    made = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, *a, **k: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or made(d, *a, **k))
+    texts = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y z u v w"), (3, "x y z u v w")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert plans and not any("Join" in p for p in plans)
+
+
+def test_pipeline_stages_bound_their_batches(spark):
+    import corpus_pipeline
+    from flowloom.llm.common import ARROW_ROWS
+    before = spark.conf.get(ARROW_ROWS)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "pii":
+            continue  # runs no Python
+        spark.conf.set(ARROW_ROWS, "10000")
+        stage(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0), "/root/testdata/sf0.001")
+        assert int(spark.conf.get(ARROW_ROWS)) <= corpus_pipeline.ROWS
+    spark.conf.set(ARROW_ROWS, before)
