@@ -139,6 +139,7 @@ def pieces(docs: DataFrame, size: int, tokenizer: str = "word_bpe_49k.json", end
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        words.known.clear()  # over 100 MB that the worker would keep through later stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(

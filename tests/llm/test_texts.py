@@ -511,3 +511,18 @@ def test_pipeline_stages_bound_their_batches(spark):
         stage(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0), "/root/testdata/sf0.001")
         assert int(spark.conf.get(ARROW_ROWS)) <= corpus_pipeline.ROWS
     spark.conf.set(ARROW_ROWS, before)
+
+
+def test_packing_task_leaves_no_words_behind(spark):
+    """Workers outlive their tasks: the words one has met are gone when it ends."""
+    from flowloom.llm import common
+
+    def held(batches):
+        from flowloom.llm import packing as there
+        for batch in batches:
+            words = there.word_ids(there.tokenizer_path("word_bpe_49k.json"))
+            yield batch.from_pydict({"n": [len(words.known)]})
+
+    docs = frame(spark, odd_texts(3, 60)).coalesce(1)
+    assert packing.pieces(docs, 2048).count() >= 60
+    assert common.map_batches(spark.range(1).coalesce(1), held, "n long").first().n == 0
