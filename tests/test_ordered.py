@@ -58,3 +58,18 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 
     first = checkpoint_dir(spark)
     assert checkpoint_dir(spark) == first == spark.sparkContext.getCheckpointDir()
+
+
+def test_text_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Slab borders take a second pass: over stored columns, never over text files."""
+    from flowloom.functions import ordered
+    written = []
+    made = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: written.append(df) or made(df))
+    rows = spark.range(50).selectExpr("id", "id % 3 AS g")
+    rows.write.parquet(f"{tmp_path}/p")
+    rows.write.csv(f"{tmp_path}/c")
+    ordered.lay_out(spark.read.parquet(f"{tmp_path}/p").where("id >= 0"), ["g"], [F.col("id")])
+    assert len(written) == 1
+    laid = ordered.lay_out(spark.read.schema("id long, g long").csv(f"{tmp_path}/c").where("id >= 0"), ["g"], [F.col("id")])
+    assert len(written) == 3 and laid.count() == 50
