@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.config import GraphConfig, SequenceConfig, WindowConfig
 from flowloom.functions.ordered import small_side
-from flowloom.operators.graph import BROADCAST_NODES, GraphBuild, GraphTables, with_window_idx
+from flowloom.operators.graph import BROADCAST_NODES, GraphBuild, GraphTables, graph_table, with_window_idx
 from flowloom.operators.sequences import build_sequences
 from flowloom.operators.windows import WIN, assign_windows, drop_background, number_windows
 from flowloom.session import cut_lineage, delete, stages
@@ -109,7 +109,11 @@ def graphs_by_window(spark: SparkSession, flow_path: str, root: str, win_cfg: Wi
         try:
             progress.write(tables.nodes, "nodes", run)
             progress.write(tables.edges, "edges", run)
-            progress.write(tables.graphs.drop("window_idx"), "graphs", run)
+            # Sizes and labels are counted from what was just written: aggregating the
+            # flows' table to pairs and roles once more would cost as much as either table.
+            stored = graph_table(stores.read_parts(spark, f"{root}/nodes/{run}", "scenario string, window_start timestamp, y int"),
+                                 stores.read_parts(spark, f"{root}/edges/{run}", "scenario string, window_start timestamp"))
+            progress.write(stored.drop("window_idx"), "graphs", run)
         finally:
             tables.release()
         built = stores.read_parts(spark, f"{root}/graphs/{run}", "scenario string, window_start timestamp")

@@ -203,3 +203,18 @@ def test_a_hot_destination_is_no_single_task(spark):
     assert G.join_splitting_hot(rows.limit(0), side, keys).count() == 0
     nodes = rows.select(*G.WIN, F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct().withColumn("node_idx", F.hash("ip"))
     assert content(G.with_node_index(rows, nodes, split_hot=True)) == content(G.with_node_index(rows, nodes).select(*G.with_node_index(rows, nodes, split_hot=True).columns))
+
+
+def test_graph_rows_are_counted_from_the_written_tables(spark, tmp_path, monkeypatch):
+    """The third table of a run does not aggregate the flows again; its rows are those of a plain build."""
+    path, root = f"{tmp_path}/flows", f"{tmp_path}/graphs"
+    stores.write_flows(window_flows(spark, [0, 1, 2]), path)
+    plans, write = {}, progress.WindowProgress.write
+    monkeypatch.setattr(progress.WindowProgress, "write", lambda self, df, table, run: plans.update(
+        {table: df._jdf.queryExecution().optimizedPlan().toString()}) or write(self, df, table, run))
+    progress.graphs_by_window(spark, path, root, WIN_CFG, CFG)
+    assert "bytes_fwd" in plans["edges"] and "bytes_fwd" not in plans["graphs"]
+    columns = ["scenario", "window_start", "n_nodes", "n_edges", "n_bot_nodes", "graph_y", "window_idx"]
+    want = G.build_graphs(stores.read_flows(spark, path), WIN_CFG, CFG).graphs.select(*columns)
+    got = progress.read_graphs_by_window(spark, root).graphs.select(*columns)
+    assert got.count() == 3 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
