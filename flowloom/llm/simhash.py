@@ -11,6 +11,7 @@ fingerprints are one row before anything is emitted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,9 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
 # -- near-duplicate texts: SimHash links, and links by shingles ------------
 
 ROWS = 1000  # texts that a task gets at once
-TILE = 512
+TILE = 512  # nodes of one side of a tile, about
+TILE_SHINGLES = 1 << 18  # and their shingles
+CROWD = 128  # nodes of a ball from which on it is compared in tiles
 SAMPLE = 4096
 COMMON = 200_000
 
@@ -249,16 +252,26 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
     which joins most groups of copies by one comparison a text. It then leaves the
     ball, as every pair with it is tested. A ball stays while it holds more
     than one component; at last all pairs of nodes of different components in the
-    remaining balls are compared, large balls tile by tile. So no pair is left
+    remaining balls are compared. So no pair is left
     untested because its nodes were linked to others before. Links that are ``known``
     beforehand are kept, and what they settle is not compared again.
+
+    Balls of more than CROWD nodes come first and never become pairs: their sets meet in
+    tiles, which return links alone (:func:`_tile_links`). Tiles are first laid so
+    that each node is in one of its ball, which joins most of a cloud of copies; then nodes outside
+    the ball's largest component meet those of the other tiles.
     """
     by_ball = Window.partitionBy("_ball")
     item = F.struct("node", "_size", "_pos")
-    found, judged = known, None
+    found, judged, tiled = known, None, []
+
+    def gather() -> None:
+        nonlocal found
+        links = [t.select("a", "b") for t in (known, judged and judged.where("ok"), *tiled) if t is not None]
+        found = reduce(DataFrame.unionByName, links)
 
     def judge(pairs: DataFrame) -> None:
-        nonlocal found, judged
+        nonlocal judged
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if judged is None:
             pairs = pairs.distinct()
@@ -270,8 +283,12 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
             alike = cut_lineage(_similar(tested.where("maybe").select("a", "b"), shingles, similarity))
         now = alike.unionByName(tested.where("NOT maybe").select("a", "b", F.lit(False).alias("ok")))
         judged = now if judged is None else judged.unionByName(now)
-        alike = judged.where("ok").select("a", "b")
-        found = alike if known is None else known.select("a", "b").unionByName(alike)
+        gather()
+
+    def compare(tiles: DataFrame, inside: bool) -> None:
+        whole = tiles.join(shingles.select("node", "shingles"), "node")
+        tiled.append(cut_lineage(whole.groupBy("_ball", "_i", "_j").applyInArrow(_tile_links(similarity, inside), "a bigint, b bigint")))
+        gather()
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """Balls that hold several components, with the component of each node."""
@@ -291,31 +308,91 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
         before, rows = rows, unsettled(rest)
         if before is not met:
             release(before)
+    crowds = cut_lineage(_sized(rows).where(F.col("_n") > CROWD))
+    if crowds.limit(1).count():
+        compare(crowds.withColumns({"_i": F.lit(-1), "_j": F.col("_mine"), "_left": F.col("_minor"), "_right": F.lit(True)}), True)
+        rest = unsettled(crowds.where("_parts > 1").select("_ball", "node", "_size", "_pos"))
+        if rest.limit(1).count():
+            left = _sized(rest).withColumns({"_left": F.lit(True), "_right": F.lit(False)}).where("_minor").withColumns(
+                {"_i": F.col("_slice"), "_j": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))})
+            right = _sized(rest).withColumns({"_left": F.lit(False), "_right": F.lit(True)}).withColumns(
+                {"_i": F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)), "_j": F.col("_mine")})
+            compare(left.unionByName(right), False)
+        before, rows = rows, unsettled(rows.join(crowds.select("_ball").distinct(), "_ball", "left_anti").drop("_of"))
+        release(before, rest)
+    release(crowds)
     if rows.limit(1).count():
-        sizes = rows.groupBy("_ball").agg(F.count("*").alias("_n"))
-        parts = F.ceil(F.col("_n") / TILE).cast("int")
-        laid = rows.join(sizes, "_ball").withColumns({"_parts": parts, "_mine": F.pmod(F.xxhash64("node"), parts).cast("int")})
-        laid = laid.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns(
-            {"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
-        judge(laid.groupBy("_ball", "_i", "_j").applyInArrow(_cross_pairs(similarity), "a bigint, b bigint"))
+        judge(rows.groupBy("_ball").applyInArrow(_cross_pairs(similarity), "a bigint, b bigint"))
     release(rows)
     return found
 
 
-def _cross_pairs(similarity: float):
-    """The pairs of one tile that are in different components and can be similar."""
+def _sized(rows: DataFrame) -> DataFrame:
+    """Adds ``_n`` (nodes of the ball), ``_minor`` (whether a node is outside the ball's largest
+    component), the tile ``_mine`` of ``_parts`` and, among the minor ones, the tile ``_slice`` of ``_slices``."""
+
+    def tiles(nodes, shingles):
+        return F.ceil(F.greatest(nodes / TILE, shingles / TILE_SHINGLES)).cast("int")
+
+    groups = rows.groupBy("_ball", "_of").agg(F.count("*").alias("_k"), F.sum("_size").alias("_s"))
+    balls = groups.groupBy("_ball").agg(
+        F.sum("_k").alias("_n"), F.sum("_s").alias("_all"), F.max(F.struct("_k", "_of", "_s")).alias("_major"))
+    balls = balls.select(
+        "_ball", "_n", F.col("_major._of").alias("_major"), tiles(F.col("_n"), F.col("_all")).alias("_parts"),
+        tiles(F.col("_n") - F.col("_major._k"), F.col("_all") - F.col("_major._s")).alias("_slices"))
+    code = F.xxhash64("node")
+    return rows.join(balls, "_ball").withColumns(
+        {"_minor": F.col("_of") != F.col("_major"), "_mine": F.pmod(code, "_parts").cast("int"), "_slice": F.pmod(code, "_slices").cast("int")}).drop("_major")
+
+
+def _tile_links(similarity: float, inside: bool):
+    """Links that join what is similar in one tile: nodes that are ``_left`` against those that are
+    ``_right`` and of the same tile ``_mine`` (``inside``) or of another one. Nodes that are linked
+    already are not compared, so there are fewer links than components."""
 
     def run(table: pa.Table) -> pa.Table:
         node, of, size, pos, mine = (table.column(c).to_numpy() for c in ("node", "_of", "_size", "_pos", "_mine"))
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("_left", "_right"))
+        sets = [unpacked_set(x) for x in table.column("shingles").to_pylist()]
+        many = np.array([len(x) for x in sets])
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        # (shingle, node) once each, by shingle: the nodes of every shingle lie together.
+        held = np.unique(code * len(sets) + np.repeat(np.arange(len(sets)), many))
+        edges, owner = np.searchsorted(held, np.arange(len(values) + 1) * len(sets)), held % len(sets)
+        at, of = np.cumsum(many) - many, of.copy()
         out_a, out_b = [], []
-        right = np.flatnonzero(mine == j)
-        for x in np.flatnonzero(mine == i):
+        for x in left:
             n, m = size[x], size[right]
-            fits = (of[right] != of[x]) & ((node[right] > node[x]) if i == j else True)
+            fits = (of[right] != of[x]) & ((mine[right] == mine[x]) == inside)
             fits &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
             fits &= np.minimum(n - pos[x], m - pos[right]) * (1 + similarity) >= similarity * (n + m) - 1e-6
-            out_b.append(node[right[fits]])
+            y = right[fits]
+            if not len(y):
+                continue
+            own = np.unique(code[at[x]:at[x] + many[x]])
+            shared = np.bincount(np.concatenate([owner[edges[c]:edges[c + 1]] for c in own.tolist()]), minlength=len(sets))[y]
+            y = y[shared >= similarity * (many[x] + many[y] - shared)]
+            groups, first = np.unique(of[y], return_index=True)
+            out_a += [node[x]] * len(groups)
+            out_b += node[y[first]].tolist()
+            of[np.isin(of, groups)] = of[x]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def _cross_pairs(similarity: float):
+    """The pairs of one ball that are in different components and can be similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, of, size, pos = (table.column(c).to_numpy() for c in ("node", "_of", "_size", "_pos"))
+        out_a, out_b = [], []
+        for x in range(len(node)):
+            n, m = size[x], size
+            fits = (of != of[x]) & (node > node[x])
+            fits &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+            fits &= np.minimum(n - pos[x], m - pos) * (1 + similarity) >= similarity * (n + m) - 1e-6
+            out_b.append(node[fits])
             out_a.append(np.full(len(out_b[-1]), node[x]))
         empty = np.empty(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})

@@ -526,3 +526,34 @@ def test_packing_task_leaves_no_words_behind(spark):
     docs = frame(spark, odd_texts(3, 60)).coalesce(1)
     assert packing.pieces(docs, 2048).count() >= 60
     assert common.map_batches(spark.range(1).coalesce(1), held, "n long").first().n == 0
+
+
+def test_a_cloud_of_copies_makes_few_pairs(spark, monkeypatch):
+    """Nodes of crowded balls meet in tiles: the pairs that become rows grow no faster than the texts, no link is lost."""
+    monkeypatch.setattr(simhash, "CROWD", 24)
+    monkeypatch.setattr(simhash, "TILE", 40)
+    made, rows = simhash._maybe, []
+    monkeypatch.setattr(simhash, "_maybe", lambda pairs, *a: rows.append(pairs.count()) or made(pairs, *a))
+    r = random.Random(31)
+    base, texts = ["w%d" % i for i in range(150)], []
+    for _ in range(240):  # up to ten words differ, so many are like few others and some like none
+        w = list(base)
+        for at in r.sample(range(150), r.randint(1, 10)):
+            w[at] = "z%d" % r.randrange(10**6)
+        texts.append(" ".join(w))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, texts)).collect()}
+    want = brute_groups(texts)
+    assert len(set(want.values())) > 20 and got == want
+    assert sum(rows) <= 10 * len(texts)
+
+
+def test_tiles_link_what_is_similar_once():
+    import pyarrow as pa
+    # 0 and 1 are in one tile, and what joins 2 to one of them joins it to both.
+    sets = [range(0, 100), range(5, 105), range(10, 110), range(500, 600), range(505, 605)]
+    columns = {"node": range(5), "_of": range(5), "_size": [100] * 5, "_pos": [0] * 5, "_mine": [0, 0, 1, 0, 1]}
+    table = {k: pa.array(list(v), pa.int64()) for k, v in columns.items()}
+    table |= {"_left": pa.array([True] * 5), "_right": pa.array([True] * 5)}
+    table |= {"shingles": pa.array([simhash.packed_set(np.array(s, np.uint64)) for s in sets])}
+    links = [simhash._tile_links(0.8, inside)(pa.table(table)).to_pydict() for inside in (True, False)]
+    assert links == [{"a": [0], "b": [1]}, {"a": [0, 1, 3], "b": [2, 2, 4]}]
