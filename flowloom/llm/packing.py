@@ -47,7 +47,8 @@ class Capacity:
 class WordIds:
     """Ids of whole texts, put together from those of their space-separated parts.
 
-    The vocabulary drops white space before it merges, so no token crosses it.
+    The vocabulary drops white space before it merges, so no token crosses it; nor does
+    one hold a letter and the mark that ends its part, so such marks are parts of their own.
     A chunk's parts are numbered by Arrow; only its different ones are looked
     up, and the library encodes each once per task (a bounded table).
     """
@@ -56,31 +57,61 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {ord(c): np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
-        self.known: dict[bytes, bytes] = {}
+        self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids
         # The vocabulary is lower case. Special ids are spelt in lower case as
         # well, so texts with such brackets keep their letters.
         self.folding, self.plain = byte_table(b" \n", fold=True), byte_table(b" \n")
-
-    def of_parts(self, parts: list[bytes]) -> list[bytes]:
-        """Ids (as bytes) of different parts."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # places in `ids`
+        self.ids = pa.array([], pa.large_binary())
+
+    def each(self, words: list[bytes]) -> pa.Array:
+        """Ids (as bytes) of words without white space."""
+        held = np.array([b"," in w for w in words], bool)
+        order = np.argsort(held, kind="stable")
+        clean = [words[i] for i in order[:len(words) - int(held.sum())].tolist()]
+        single, sizes, flat = [words[i] for i in order[len(clean):].tolist()], [], []
+        for at in range(0, len(clean), 20_000):
+            # Some 250 words in one call, and a comma behind each, which marks their ends.
+            some = clean[at:at + 20_000]
+            lines = [b" , ".join([*some[i:i + 250], b""]).decode("utf-8", "replace") for i in range(0, len(some), 250)]
+            ids = np.concatenate([np.frombuffer(array("I", e.ids), np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            mark = ids == self.comma[0]
+            if len(self.comma) > 1 or mark.sum() != len(some):
+                single = clean[at:] + single
+                break
+            ends = np.flatnonzero(mark)
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            flat.append(ids[~mark])
+        for at in range(0, len(single), 20_000):
+            some = [w.decode("utf-8", "replace") for w in single[at:at + 20_000]]
+            ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.array([len(i) for i in ids], np.int64))
+            flat.append(np.frombuffer(b"".join(ids), np.uint32))
+        offsets = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])) * 4
+        body = pa.py_buffer(np.concatenate([np.empty(0, np.uint32), *flat]))
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), body]).take(pa.array(np.argsort(order)))
+
+    def of_parts(self, parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """Ids (as bytes) of many words, and the place there of each of ``parts``, which are different."""
         if len(self.known) + len(parts) > KNOWN_TOKENS:
-            self.known.clear()
-        known, long = self.known, {}
-        new = [w for w in parts if w not in known]
-        # A letter and a following mark never share a token: encode the word
-        # without its mark once for all marks.
-        marked = [w for w in new if w[-1] in self.marks and w[:-1].decode("utf-8", "replace")[-1:].isalpha()]
-        stems = {w[:-1] for w in marked}
-        ask = list(stems.difference(known).union(new).difference(marked))
-        for at in range(0, len(ask), 20_000):
-            piece = ask[at:at + 20_000]
-            for w, e in zip(piece, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in piece], add_special_tokens=False)):
-                (known if len(w) <= KEPT_LENGTH else long)[w] = array("I", e.ids).tobytes()
-        for w in marked:
-            stem = w[:-1]
-            (known if len(w) <= KEPT_LENGTH else long)[w] = (known[stem] if stem in known else long[stem]) + self.marks[w[-1]]
-        return [known[w] if w in known else long[w] for w in parts]
+            self.forget()
+        place = np.fromiter((self.known.get(w, -1) for w in parts), np.int64, len(parts))
+        missing = np.flatnonzero(place < 0)
+        new = [parts[i] for i in missing.tolist()]
+        if not new:
+            return self.ids, place
+        long = np.array([len(w) > KEPT_LENGTH for w in new], bool)
+        order = np.argsort(long, kind="stable")
+        place[missing[order]] = len(self.ids) + np.arange(len(new))
+        new = [new[i] for i in order.tolist()]
+        kept = len(new) - int(long.sum())
+        self.known.update(zip(new[:kept], range(len(self.ids), len(self.ids) + kept)))
+        ids = pa.concat_arrays([self.ids, self.each(new)])
+        self.ids = pa.concat_arrays([ids.slice(0, len(self.known))])
+        return ids, place
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every row of a binary column."""
@@ -89,16 +120,11 @@ class WordIds:
         cuts = np.r_[0, np.flatnonzero(np.diff(special)) + 1, len(special)]
         for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if end > at:
-                words = flat_words(texts.slice(at, end - at), self.plain if special[at] else self.folding)
-                parts = self.of_parts(words.names.to_pylist())
-                size = np.array([len(p) // 4 for p in parts], np.int64)
-                ids, first = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
-                length = size[words.code]
-                before = np.cumsum(length) - length
-                at_id = np.arange(int(length.sum()))
-                at_id += np.repeat(first[words.code] - before, length)
-                flat = ids.take(at_id)
-                edges = np.r_[before, len(flat)][np.r_[0, np.cumsum(words.count)]]
+                words = flat_words(texts.slice(at, end - at), self.plain if special[at] else self.folding, apart=b".,")
+                ids, place = self.of_parts(words.names.to_pylist())
+                taken = ids.take(pa.array(place[words.code]))
+                edges = np.frombuffer(taken.buffers()[1], np.int64)[np.r_[0, np.cumsum(words.count)] + taken.offset] // 4
+                flat = np.frombuffer(taken.buffers()[2] or b"", np.uint32)
                 out += [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         return out
 
@@ -139,7 +165,7 @@ def pieces(docs: DataFrame, size: int, tokenizer: str = "word_bpe_49k.json", end
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-        words.known.clear()  # over 100 MB that the worker would keep through later stages
+        words.forget()  # over 100 MB that the worker would keep through later stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(

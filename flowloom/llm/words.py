@@ -31,8 +31,9 @@ class FlatWords:
     names: pa.Array
 
 
-def flat_words(texts: pa.Array, table: np.ndarray) -> FlatWords:
-    """Cut a binary column (NULL counts as empty) at the separators of ``table``."""
+def flat_words(texts: pa.Array, table: np.ndarray, apart: bytes = b"") -> FlatWords:
+    """Cut a binary column (NULL counts as empty) at the separators of ``table``. A byte of
+    ``apart`` that ends a word after one of A-Z or a-z is a word of its own."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     rows = len(texts)
     edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + rows + 1] if rows else np.zeros(1, np.int64)
@@ -46,6 +47,12 @@ def flat_words(texts: pa.Array, table: np.ndarray) -> FlatWords:
     filled = edges[1:] > edges[:-1]
     opens[edges[:-1][filled]] = True
     closes[edges[1:][filled] - 1] = True
+    if apart:
+        marks = np.zeros(256, bool)
+        marks[np.frombuffer(apart, np.uint8)] = True
+        at = np.flatnonzero(marks[folded] & closes & ~opens)
+        at = at[(folded[at - 1] | 32) - 97 < 26]  # unsigned: smaller ones wrap around
+        opens[at], closes[at - 1] = True, True
     starts, ends = np.flatnonzero(letter & opens), np.flatnonzero(letter & closes) + 1
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])

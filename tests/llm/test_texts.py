@@ -557,3 +557,18 @@ def test_tiles_link_what_is_similar_once():
     table |= {"shingles": pa.array([simhash.packed_set(np.array(s, np.uint64)) for s in sets])}
     links = [simhash._tile_links(0.8, inside)(pa.table(table)).to_pydict() for inside in (True, False)]
     assert links == [{"a": [0], "b": [1]}, {"a": [0, 1, 3], "b": [2, 2, 4]}]
+
+
+def test_marks_and_commas_keep_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    words, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    texts = EDGE + [".", ",", "a.", "A., b", "\u00e9, e\u0301. 1,2, 3.", "x<|endoftext|>, Y.", " , \n,", "\u00a0 \u00a0, \u3000", "z" * 50 + ", " + "q" * 45 + "."] + odd_texts(8)
+    for _ in range(2):  # all new, then all known but the long ones
+        got = words.encode(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+        assert [g.tolist() for g in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # A letter's mark is a word of its own, so a word is known once whatever ends it.
+    words.forget()
+    words.encode(pa.array([b"then then, then. Then, then."], pa.binary()))
+    assert set(words.known) == {b"then", b",", b"."} and len(words.ids) == 3
