@@ -6,7 +6,7 @@ same offset, so equal strings meet when anchors with an equal *core* (the bytes
 from the anchor on that all its strings share) meet.
 
 1. Anchors of all texts are found (about one per WINDOW / 2 bytes).
-2. Counts per core and per whole run of strings, combined before the shuffle,
+2. Counts per core, then per whole run of strings, combined before the shuffle,
    settle most of them: a core that occurs once has no partner, and a run whose
    bytes occur twice repeats as a whole. Copies of any number are one row here.
 3. What remains are the borders of repeated passages. Their suffixes to the
@@ -284,9 +284,14 @@ def repeated_intervals(docs: DataFrame, length: int = 200, id_col: str = "doc_id
     slim = keyed(docs, id_col, text_col).select("_id", "_row", F.col(text_col).alias("_text"))
     with batches_of(docs.sparkSession, ROWS):
         found = cut_lineage(map_batches(slim, find, "_id bigint, _row bigint, core bigint, whole bigint, `at` int, first int, last int"))
+    # Most cores occur once and have no partner: their anchors leave before wide rows are grouped. Each
+    # statement's shuffle files go at its end, so the counts do not lie beside the anchors that are joined.
+    often = cut_lineage(found.groupBy("core").count().where("count > 1").select("core"))
+    every, found = found, cut_lineage(found.join(often, "core", "left_semi"))
+    release(every, often)
     # Map-side combined counts: however many copies there are, one row a task.
     by_run = found.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row", "at", "first", "last")).alias("one"))
-    by_core = by_run.groupBy("core").agg(F.sum("n").alias("_all"), F.count("*").alias("kinds")).where("_all > 1").drop("_all")
+    by_core = by_run.groupBy("core").agg(F.count("*").alias("kinds"))
     runs = cut_lineage(by_run.join(by_core, "core"))
     repeated = runs.where("n > 1").select("core", "whole")
     settled = found.join(repeated, ["core", "whole"]).selectExpr("_id", "_row", "first AS a", f"last + {length} AS b")

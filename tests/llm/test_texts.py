@@ -572,3 +572,22 @@ def test_marks_and_commas_keep_the_ids_of_the_library():
     words.forget()
     words.encode(pa.array([b"then then, then. Then, then."], pa.binary()))
     assert set(words.known) == {b"then", b",", b"."} and len(words.ids) == 3
+
+
+def test_anchors_without_a_partner_leave_before_runs_are_counted(spark, monkeypatch):
+    sizes = []
+    made = suffixes.cut_lineage
+
+    def counted(df):
+        done = made(df)
+        if {"core", "whole", "at"} <= set(done.columns):
+            sizes.append(done.count())
+        return done
+
+    monkeypatch.setattr(suffixes, "cut_lineage", counted)
+    r = random.Random(77)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(6000)) for _ in range(12)]
+    texts[3] = texts[3][:2000] + texts[8][500:1100] + texts[3][2000:]
+    got = {x.doc_id: x.n_removed for x in suffixes.cut_repeats(frame(spark, texts)).collect()}
+    assert {k for k, n in got.items() if n} == {3, 8} and got[3] == got[8] >= 600
+    assert len(sizes) == 2 and 0 < sizes[1] < sizes[0] / 10
