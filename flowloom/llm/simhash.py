@@ -215,6 +215,13 @@ def _maybe(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "_ka", "_kb", "_na", "_nb"), run, "a bigint, b bigint, maybe boolean")
 
 
+def _sets_of(rows: DataFrame, node: str, sets: DataFrame) -> DataFrame:
+    """``node`` and ``shingles`` of the nodes in the column ``node`` of ``rows``; other sets are dropped while
+    they are scanned, so they are not shuffled."""
+    wanted = small_side(rows.select(F.col(node).alias("node")).distinct())
+    return sets.join(wanted, "node", "left_semi").select("node", "shingles")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Adds ``ok``: whether the shingle sets of ``a`` and ``b`` are similar enough.
     Only sets of nodes in ``pairs`` leave the table."""
@@ -230,8 +237,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     def side(node: str, column: str) -> DataFrame:
-        wanted = small_side(pairs.select(F.col(node).alias("node")).distinct())
-        return sets.join(wanted, "node", "left_semi").select(F.col("node").alias(node), F.col("shingles").alias(column))
+        return _sets_of(pairs, node, sets).select(F.col("node").alias(node), F.col("shingles").alias(column))
 
     return map_batches(pairs.join(side("a", "_sa"), "a").join(side("b", "_sb"), "b").select("a", "b", "_sa", "_sb"), run, "a bigint, b bigint, ok boolean")
 
@@ -286,8 +292,10 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
         gather()
 
     def compare(tiles: DataFrame, inside: bool) -> None:
-        whole = tiles.join(shingles.select("node", "shingles"), "node")
+        tiles = cut_lineage(tiles)
+        whole = tiles.join(_sets_of(tiles, "node", shingles), "node")
         tiled.append(cut_lineage(whole.groupBy("_ball", "_i", "_j").applyInArrow(_tile_links(similarity, inside), "a bigint, b bigint")))
+        release(tiles)
         gather()
 
     def unsettled(rows: DataFrame) -> DataFrame:
@@ -401,10 +409,21 @@ def _cross_pairs(similarity: float):
 
 
 def _shared(balls: DataFrame) -> DataFrame:
-    """The rows of balls that hold several nodes."""
+    """The rows of balls that hold several nodes; balls that hold the same nodes become one.
+
+    A copy shares many shingles with its original, and each would be a ball of the same two. A
+    node has its first place among the balls that become one: the bound of :func:`_possible`
+    only grows by that. A ball is named by a hash of what its nodes and sizes add up to; if two
+    different ones got one name, their nodes would meet as well, so no pair is lost.
+    """
     by_ball = Window.partitionBy("_ball")
-    ends = balls.withColumns({"_first": F.min("node").over(by_ball), "_last": F.max("node").over(by_ball)})
-    return cut_lineage(ends.where("_first < _last").drop("_first", "_last"))
+    # Plain columns: a hash of each node would be one more column to shuffle. A sum that overflows is NULL.
+    ends = balls.withColumns({
+        "_first": F.min("node").over(by_ball), "_last": F.max("node").over(by_ball),
+        "_xor": F.bit_xor("node").over(by_ball), "_sum": F.try_sum("node").over(by_ball),
+        "_sizes": F.struct(F.bit_xor("_size").over(by_ball), F.try_sum("_size").over(by_ball))})
+    named = ends.where("_first < _last").withColumn("_ball", F.xxhash64("_first", "_last", "_xor", "_sum", "_sizes"))
+    return cut_lineage(named.groupBy("_ball", "node").agg(F.max("_size").alias("_size"), F.min("_pos").alias("_pos")))
 
 
 def _with_digest(docs: DataFrame, text_col: str, name: str = "_digest") -> DataFrame:

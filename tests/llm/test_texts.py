@@ -574,6 +574,33 @@ def test_marks_and_commas_keep_the_ids_of_the_library():
     assert set(words.known) == {b"then", b",", b"."} and len(words.ids) == 3
 
 
+def test_balls_of_the_same_texts_are_one(spark):
+    balls = {1: "ab", 2: "ab", 3: "ab", 4: "abc", 5: "c", 6: "bca", 7: "ac"}
+    rows = [(b, ord(n), 10 * ord(n), b + (n == "b")) for b, ns in balls.items() for n in ns]
+    met = simhash._shared(spark.createDataFrame(rows + rows[:2], "_ball long, node long, _size int, _pos int"))
+    got = {}
+    for r in met.collect():
+        got.setdefault(r._ball, []).append((chr(r.node), r._size, r._pos))
+    # Ball 1 has repeated rows, so it may stand apart from 2 and 3; places are the first of each node.
+    assert sorted(sorted(g) for g in got.values()) == [
+        [("a", 970, 1), ("b", 980, 2)], [("a", 970, 2), ("b", 980, 3)], [("a", 970, 4), ("b", 980, 5), ("c", 990, 4)], [("a", 970, 7), ("c", 990, 7)]]
+
+
+def test_tiles_shuffle_the_sets_of_their_nodes_only(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    plans = []
+    made = simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or made(d))
+    sets = {n: range(1000 * n, 1000 * n + 100) for n in range(1, 12)}
+    sets |= {n + 20: range(1000 * n + 5, 1000 * n + 105) for n in range(1, 12)}
+    met = spark.createDataFrame([(7, n, 100, 0) for n in sets], "_ball long, node long, _size int, _pos int")
+    rows = [(n, len(s), bytearray(simhash.sketch(np.array(s, np.uint64))), bytearray(simhash.packed_set(np.array(s, np.uint64)))) for n, s in sets.items()]
+    found = simhash.link_balls(met, spark.createDataFrame(rows, "node long, size long, sketch binary, shingles binary"), 0.8)
+    assert {(r.a % 20, r.b % 20) for r in found.collect()} == {(n, n) for n in range(1, 12)}
+    tiles = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert tiles and all("LeftSemi" in p for p in tiles)
+
+
 def test_anchors_without_a_partner_leave_before_runs_are_counted(spark, monkeypatch):
     sizes = []
     made = suffixes.cut_lineage
