@@ -117,6 +117,9 @@ ROWS = 1000  # texts that a task gets at once
 TILE = 512  # nodes of one side of a tile, about
 TILE_SHINGLES = 1 << 18  # and their shingles
 CROWD = 128  # nodes of a ball from which on it is compared in tiles
+FEW = 8  # nodes of a ball from which on its sketches meet first
+SKETCHES = 2048  # nodes of one side of a tile of sketches, about
+SKETCH_SHINGLES = 1 << 22  # and their shingles
 SAMPLE = 4096
 COMMON = 200_000
 
@@ -215,11 +218,11 @@ def _maybe(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "_ka", "_kb", "_na", "_nb"), run, "a bigint, b bigint, maybe boolean")
 
 
-def _sets_of(rows: DataFrame, node: str, sets: DataFrame) -> DataFrame:
-    """``node`` and ``shingles`` of the nodes in the column ``node`` of ``rows``; other sets are dropped while
+def _sets_of(rows: DataFrame, node: str, sets: DataFrame, columns: tuple[str, ...] = ("shingles",)) -> DataFrame:
+    """``node`` and ``columns`` of the nodes in the column ``node`` of ``rows``; other sets are dropped while
     they are scanned, so they are not shuffled."""
     wanted = small_side(rows.select(F.col(node).alias("node")).distinct())
-    return sets.join(wanted, "node", "left_semi").select("node", "shingles")
+    return sets.join(wanted, "node", "left_semi").select("node", *columns)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -262,6 +265,10 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
     untested because its nodes were linked to others before. Links that are ``known``
     beforehand are kept, and what they settle is not compared again.
 
+    What lies in balls of more than FEW nodes by then meets by its sketches (:func:`_chances`), and nodes
+    that can be similar to none of another component leave the ball. So a text that shares a passage with
+    many others is sent once a ball as a sketch, not as its whole set or a pair with each of them.
+
     Balls of more than CROWD nodes come first and never become pairs: their sets meet in
     tiles, which return links alone (:func:`_tile_links`). Tiles are first laid so
     that each node is in one of its ball, which joins most of a cloud of copies; then nodes outside
@@ -298,6 +305,28 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
         release(tiles)
         gather()
 
+    def hopeful(rows: DataFrame) -> DataFrame:
+        """The rows of small balls, and of other balls those whose sketches leave a chance."""
+        sized = cut_lineage(_sized(rows, SKETCHES, SKETCH_SHINGLES))
+        many, columns = sized.where(F.col("_n") > FEW), rows.columns
+        if not many.limit(1).count():
+            release(sized)
+            return rows
+        # A node that is on both sides of a tile is sent once.
+        right = many.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_slices"), F.lit(1)) - 1))).withColumns(
+            {"_j": F.col("_mine"), "_left": F.col("_minor") & (F.col("_slice") == F.col("_i")), "_right": F.lit(True)})
+        left = many.where("_minor").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).where("_j <> _mine").withColumns(
+            {"_i": F.col("_slice"), "_left": F.lit(True), "_right": F.lit(False)})
+        sent = ["_i", "_j", "_left", "_right", *columns]
+        tiles = right.select(*sent).unionByName(left.select(*sent))
+        whole = tiles.join(_sets_of(many, "node", shingles, ("size", "sketch")), "node")
+        kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        kept = cut_lineage(whole.groupBy("_ball", "_i", "_j").applyInArrow(_chances(similarity, columns), kinds))
+        few = sized.where(F.col("_n") <= FEW).select(*columns)
+        left_over = cut_lineage(few.unionByName(kept.distinct()))
+        release(sized, kept, rows)
+        return left_over
+
     def unsettled(rows: DataFrame) -> DataFrame:
         """Balls that hold several components, with the component of each node."""
         groups = components(found, "a", "b")
@@ -316,6 +345,7 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
         before, rows = rows, unsettled(rest)
         if before is not met:
             release(before)
+    rows = hopeful(rows)
     crowds = cut_lineage(_sized(rows).where(F.col("_n") > CROWD))
     if crowds.limit(1).count():
         compare(crowds.withColumns({"_i": F.lit(-1), "_j": F.col("_mine"), "_left": F.col("_minor"), "_right": F.lit(True)}), True)
@@ -335,12 +365,14 @@ def link_balls(met: DataFrame, shingles: DataFrame, similarity: float, known: Da
     return found
 
 
-def _sized(rows: DataFrame) -> DataFrame:
+def _sized(rows: DataFrame, most: int | None = None, most_shingles: int | None = None) -> DataFrame:
     """Adds ``_n`` (nodes of the ball), ``_minor`` (whether a node is outside the ball's largest
-    component), the tile ``_mine`` of ``_parts`` and, among the minor ones, the tile ``_slice`` of ``_slices``."""
+    component), the tile ``_mine`` of ``_parts`` and, among the minor ones, the tile ``_slice`` of ``_slices``; tiles have about
+    ``most`` nodes (TILE) and ``most_shingles`` (TILE_SHINGLES)."""
+    most, most_shingles = most or TILE, most_shingles or TILE_SHINGLES
 
     def tiles(nodes, shingles):
-        return F.ceil(F.greatest(nodes / TILE, shingles / TILE_SHINGLES)).cast("int")
+        return F.ceil(F.greatest(nodes / most, shingles / most_shingles)).cast("int")
 
     groups = rows.groupBy("_ball", "_of").agg(F.count("*").alias("_k"), F.sum("_size").alias("_s"))
     balls = groups.groupBy("_ball").agg(
@@ -353,6 +385,48 @@ def _sized(rows: DataFrame) -> DataFrame:
         {"_minor": F.col("_of") != F.col("_major"), "_mine": F.pmod(code, "_parts").cast("int"), "_slice": F.pmod(code, "_slices").cast("int")}).drop("_major")
 
 
+def _chances(similarity: float, columns: list[str]):
+    """The rows of one tile, as ``columns``, whose sketch leaves a chance with one of another component:
+    nodes that are ``_left`` against those that are ``_right``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        of, n, size, pos = (table.column(c).to_numpy() for c in ("_of", "size", "_size", "_pos"))
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("_left", "_right"))
+        raw = table.column("sketch").to_pylist()
+        length, full = np.array([len(s) for s in raw], np.int64), np.array([255 in s for s in raw], bool)
+        of_length = {p: right[length[right] == p] for p in np.unique(length[right]).tolist()}
+        folded: dict[tuple[int, int], np.ndarray] = {}
+
+        def fold(nodes, patterns: int, to: int) -> np.ndarray:
+            counts = np.frombuffer(b"".join(raw[k] for k in nodes), np.uint8).reshape(len(nodes), patterns // to, to)
+            return counts[:, 0] if patterns == to else counts.sum(axis=1, dtype=np.uint16)
+
+        chance = np.zeros(len(raw), bool)
+        for x in left:
+            for p, y in of_length.items():
+                # What has a chance already need not be compared with its like.
+                fits = (of[y] != of[x]) & ~(chance[x] & chance[y])
+                fits &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+                fits &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+                fits &= np.minimum(size[x] - pos[x], size[y] - pos[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
+                at = np.flatnonzero(fits)
+                if not len(at):
+                    continue
+                to = min(p, int(length[x]))
+                if (p, to) not in folded:
+                    folded[p, to] = fold(y, p, to)
+                own = fold([x], int(length[x]), to)
+                for k in range(0, len(at), 256):  # a few hundred KB at once
+                    z = y[at[k:k + 256]]
+                    both = np.minimum(folded[p, to][at[k:k + 256]], own).sum(axis=1, dtype=np.int64)
+                    ok = (both * (1 + similarity) >= similarity * (n[x] + n[z]) - 1e-6) | full[x] | full[z]
+                    chance[z[ok]] = True
+                    chance[x] |= ok.any()
+        return table.select(columns).filter(pa.array(chance))
+
+    return run
+
+
 def _tile_links(similarity: float, inside: bool):
     """Links that join what is similar in one tile: nodes that are ``_left`` against those that are
     ``_right`` and of the same tile ``_mine`` (``inside``) or of another one. Nodes that are linked

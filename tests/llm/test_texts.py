@@ -618,3 +618,21 @@ def test_anchors_without_a_partner_leave_before_runs_are_counted(spark, monkeypa
     got = {x.doc_id: x.n_removed for x in suffixes.cut_repeats(frame(spark, texts)).collect()}
     assert {k for k, n in got.items() if n} == {3, 8} and got[3] == got[8] >= 600
     assert len(sizes) == 2 and 0 < sizes[1] < sizes[0] / 10
+
+
+def test_texts_with_a_common_passage_do_not_send_their_sets(spark, monkeypatch):
+    """Of a crowded ball only nodes whose sketch leaves a chance are compared by their sets."""
+    monkeypatch.setattr(simhash, "CROWD", 24)
+    made, tiles = simhash._tile_links, []
+    monkeypatch.setattr(simhash, "_tile_links", lambda *a: tiles.append(a) or made(*a))
+    paired, pairs = simhash._maybe, []
+    monkeypatch.setattr(simhash, "_maybe", lambda p, *a: pairs.append(p.count()) or paired(p, *a))
+    pool = np.unique(np.random.default_rng(6).integers(0, 2**63, 9000, np.int64)).astype(np.uint64)
+    sets = {n: np.r_[pool[:30], pool[100 * n + 30:100 * n + 100 + n % 9]] for n in range(60)}
+    sets[60] = np.r_[sets[41][:-8], pool[8000:8008]]
+    # Node 60 is the last one, so no ball's smallest node meets it.
+    met = spark.createDataFrame([(7, n, len(s), 0) for n, s in sets.items()], "_ball long, node long, _size int, _pos int")
+    rows = [(n, len(s), bytearray(simhash.sketch(s)), bytearray(simhash.packed_set(s))) for n, s in sets.items()]
+    found = simhash.link_balls(met, spark.createDataFrame(rows, "node long, size long, sketch binary, shingles binary"), 0.8)
+    assert [(r.a, r.b) for r in found.collect()] == [(41, 60)]
+    assert not tiles and sum(pairs) < 130
