@@ -1,5 +1,7 @@
 """Page and vector operators against brute force and edge cases."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -184,3 +186,72 @@ def test_components_end_with_the_stars(spark, monkeypatch):
     written.clear()
     common.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), "a", "b")
     assert len(written) == 2  # the first round makes the star
+
+
+def valid_classes(pages, support=0.5, least_pages=2, least_size=2):
+    """Valid classes of one host's pages (lists of tokens), with whole vectors and by comparing all orders."""
+    seen = {}
+    for t in {t for p in pages for t in p}:
+        seen.setdefault(tuple(p.count(t) for p in pages), set()).add(t)
+    classes = []
+    for vector, members in seen.items():
+        on = [k for k, n in enumerate(vector) if n]
+        if len(on) < max(least_pages, support * len(pages)):
+            continue
+        order = [t for t in dict.fromkeys(pages[on[0]]) if t in members]
+        moved = {t for k in on for t in article.moved_tokens([x for x in pages[k] if x in members], order)}
+        classes += [(len(on), [t for t in order if t not in moved])] + [(len(on), [t]) for t in moved]
+    size = lambda c: sum(1 if k == "e" else len(x.split()) for k, x in c)
+    classes = sorted(((n, size(c), c) for n, c in classes if size(c) >= least_size), key=lambda c: c[:2], reverse=True)
+
+    def cross(a, b):
+        for p in pages:
+            tuples = []
+            for c in (a, b):
+                at = [k for k, t in enumerate(p) if t in c]
+                tuples.append([at[k:k + len(c)] for k in range(0, len(at), len(c))])
+            for x in tuples[0]:
+                for y in tuples[1]:
+                    row = "".join(w for _, w in sorted([(k, "x") for k in x] + [(k, "y") for k in y]))
+                    if "xyxy" in re.sub(r"(.)\1+", r"\1", row) or "yxyx" in re.sub(r"(.)\1+", r"\1", row):
+                        return True
+        return False
+
+    stay = []
+    for _, _, c in classes:
+        if not any(cross(c, x) for x in stay):
+            stay.append(c)
+    return {t for c in stay for t in c}
+
+
+def test_classes_of_the_template_are_ordered_and_nested(spark):
+    def page(k):
+        ad = "<div class=x><p>see all of our offers</p></div>"
+        body = "<section><h2>part</h2><p>own text %d</p></section>" % k * (1 + k % 3)
+        # The offers move; "yes" is one word with a vector of its own; a notice holds the ends of two classes on some pages.
+        notice = "<i1>n</i1><dl>a b</dl><ol>c d</ol>" if k % 4 else ""
+        rest = "<ul>e f</ul>" if k % 4 else ""
+        first, last = (ad, "") if k % 2 else ("", ad)
+        return "<body>" + first + notice + body + rest + "<h3>own %d</h3>" % k + "<h3>yes</h3>" * (k % 5 + 1) + last + "<h4>the very end</h4></body>"
+
+    def crossed(k):  # two classes of their own vectors, one inside the other on some pages, crossing on one
+        a, b = ["<b1>a a</b1>", "<b2>a b</b2>"], ["<c1>c c</c1>", "<c2>c d</c2>"]
+        inner = b if k % 5 else []
+        return "".join((a + inner) if k == 1 else a[:1] + inner + a[1:] if k != 3 else [a[0], b[0], a[1], b[1]]) if k != 4 else ""
+
+    import xxhash
+    for make in (page, crossed):
+        html = [make(k) for k in range(12)]
+        pages = spark.createDataFrame([(k, "h", h) for k, h in enumerate(html)] + [(50 + k, None, h) for k, h in enumerate(html)], "_page long, host string, html string")
+        got = {r.host: set(r.tokens) | set(r.texts) for r in article.template(pages).collect()}
+        want = {x if k == "e" else str(xxhash.xxh64_intdigest(x)) for k, x in valid_classes([article.read_tokens(h)[0] for h in html])}
+        share = {t for t in {t for h in html for t in article.read_tokens(h)[0]} if sum(t in article.read_tokens(h)[0] for h in html) >= 6}
+        assert got == {"h": want, None: want} and want and len(want) < len(share)
+
+
+def test_moved_tokens_and_crossings():
+    assert article.moved_tokens(list("abab"), list("ab")) == [] and article.moved_tokens(list("aabb"), list("ab")) == ["a", "b"]
+    assert article.moved_tokens(list("bcda"), list("abcd")) == ["a"]
+    sizes = {"a": 2, "b": 2, "c": 1}
+    assert article.crossings("abba", sizes) == set() == article.crossings("abcbaaca", sizes) == article.crossings("aabb", sizes)
+    assert article.crossings("abab", sizes) == {("a", "b")} == article.crossings("aaabba" + "abab", sizes)
