@@ -636,3 +636,43 @@ def test_texts_with_a_common_passage_do_not_send_their_sets(spark, monkeypatch):
     found = simhash.link_balls(met, spark.createDataFrame(rows, "node long, size long, sketch binary, shingles binary"), 0.8)
     assert [(r.a, r.b) for r in found.collect()] == [(41, 60)]
     assert not tiles and sum(pairs) < 130
+
+
+@pytest.mark.parametrize("rows_at_once", [2_000_000, 300])
+def test_model_of_all_characters_by_hand(spark, monkeypatch, rows_at_once):
+    """Every character is a symbol and a context of its own, also if the model is read in parts."""
+    from flowloom.llm import ngrams
+    monkeypatch.setattr(ngrams, "ROWS_AT_ONCE", rows_at_once)
+    r = random.Random(11)
+    letters = [chr(0x4E00 + i) for i in range(120)] + list("abcDE \U0001F600")
+    follows = {c: r.sample(letters, 3) for c in letters}  # what comes next depends on the character, not on its class
+
+    def write(n):
+        out = [r.choice(letters)]
+        while len(out) < n:
+            out.append(r.choice(follows[out[-1]]))
+        return "".join(out)
+
+    good = [write(r.randint(1, 200)) for _ in range(50)]
+    junk = ["".join(r.choice(letters) for _ in range(200)) for _ in range(5)]  # the same characters in any order
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    docs = frame(spark, good + junk + ["Ж" * 30, None])
+    judged = perplexity.judge(docs, labels)
+    assert judged.columns.index("text_perplexity")
+    got = {x.doc_id: x for x in judged.collect()}
+    p = kneser_ney_by_hand([list("   " + t) for t in good[:40]], symbols=0x110000)
+    for i, t in enumerate(good + junk):
+        logs = [np.log(p(tuple(("   " + t)[k:k + 3]), c)) for k, c in enumerate(t)]
+        assert got[i].text_perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-3)
+    assert {i for i in got if got[i].kept} == set(range(50)) and got[56].text_perplexity is None
+
+
+def test_different_grams_of_any_alphabet():
+    from flowloom.llm import ngrams
+    rng = np.random.default_rng(3)
+    context, x = rng.integers(0, 1 << 63, 500, np.int64), rng.integers(1, 1 << 20, 500, np.int64)
+    context, x = np.r_[context, context], np.r_[x, x]
+    for base, keep in ((1 << 21, ngrams.LOW), (400, 255)):  # with numbers too large for one integer, and small ones
+        some = sum((context >> k * ngrams.BITS & keep) << k * ngrams.BITS for k in range(3))
+        at, last, which = ngrams.distinct(some, x & keep, base)
+        assert len(at) == len(set(zip(some.tolist(), (x & keep).tolist()))) and (at[which] == some).all() and (last[which] == x & keep).all()
