@@ -47,3 +47,27 @@ def test_stages_take_odd_rows(spark):
     assert {r[n] for r in odd.collect() for n in names} == set(names)
     packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
     assert packed.where("piece = 0").count() == odd.count()
+
+
+def test_order_of_rare_characters_decides_quality(spark, tmp_path):
+    """Junk of the characters of a good text, all of them outside the most frequent ones, is told by their order."""
+    import random
+
+    r = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(150)]
+    follows = {c: r.sample(letters, 2) for c in letters}
+
+    def write(n):
+        out = [r.choice(letters)]
+        while len(out) < n:
+            out.append(r.choice(follows[out[-1]]))
+        return "".join(out)
+
+    common = "".join(chr(0x410 + i) for i in range(40)) * 2000  # takes all symbols of the class model
+    good = [write(300) for _ in range(60)]
+    junk = ["".join(r.choice(letters) for _ in range(300)) for _ in range(6)]
+    rows = [(i, t, "zh", "s", len(t)) for i, t in enumerate(good + junk)] + [(100 + i, common[i:], "ru", "s", len(common) - i) for i in range(4)]
+    spark.createDataFrame([(i, 1, 0) for i in [*range(50), 100, 101, 102, 103]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == {*range(60), 100, 101, 102, 103}
